@@ -197,7 +197,8 @@ def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), shards: int = S
     recipe = materialize(source_targets(sizes).withColumn("n_blocks", F.ceil(F.col("source_size") / BLOCK).cast("long")), "recipe")
     slots = slot_table(recipe, shards).select(_key().alias("s"), "block", "pass", "shard", "words")
     pieces = placed.withColumn("block", F.explode_outer(F.expr(f"CASE WHEN size > 0 THEN sequence(at div {BLOCK}, (at + size - 1) div {BLOCK}) END"))).withColumn("s", _key())
-    used = pieces.join(slots, ["s", "block"], "left")
+    # The planner takes slots for small, since they come from a row per source; they grow with the words.
+    used = pieces.join(slots.hint("merge"), ["s", "block"], "left")
     first = F.col("block") * BLOCK - F.col("at")
     lo = F.greatest(first, F.lit(0))
     hi = F.least(F.col("size"), first + F.coalesce("words", F.lit(0)))  # least() passes over nulls
