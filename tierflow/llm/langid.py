@@ -37,8 +37,8 @@ GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
 WORDS = 1 << 15
 SPAN = 32
-PER_LANGUAGE = 1500
-STRETCH = 1200
+PER_LANGUAGE = 1000
+STRETCH = 1000
 EPOCHS = 6
 
 
@@ -172,15 +172,14 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 3)
         at = np.repeat(np.arange(len(s)), np.diff(off))
         for size in GRAMS:
             g = K.gram_buckets(framed, off, size, BUCKETS)
-            grams.append(g[g < BUCKETS])
-            gram_word.append(at[g < BUCKETS] + base)
+            grams.append(g[g < BUCKETS].astype(np.int32))
+            gram_word.append((at[g < BUCKETS] + base).astype(np.int32))
         words.append(unique)
         owner.append((text + lo, inverse + base))
     bucket, of_word = np.concatenate(grams), np.concatenate(gram_word)
     order = np.argsort(of_word, kind="stable")
     bucket, of_word = bucket[order], of_word[order]
     lexicon = (np.concatenate(words) % np.uint64(WORDS)).astype(np.int64)
-    n_words = len(lexicon)
     doc = np.concatenate([x for x, _ in owner])
     word = np.concatenate([y for _, y in owner])
     gold_of = np.array([labels.index(x) for x in langs])
@@ -192,7 +191,6 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 3)
     if not usable:
         return model
     squares = [np.full_like(x, 1e-6) for x in (model.grams, model.words, model.moves, model.start)]
-    g_word = np.zeros((n_words, L))
     for epoch in range(epochs):
         rate = 0.5 / (1 + epoch)
         for _ in range(16):
@@ -213,7 +211,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 3)
             lo, hi = np.searchsorted(of_word, used), np.searchsorted(of_word, used, "right")
             size = hi - lo
             flat = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            b = bucket[flat]
+            b = bucket[flat].astype(np.int64)
             who = np.repeat(np.arange(len(used)), size)
             w = model.words[lexicon[used]].astype(float)
             for c in range(L):

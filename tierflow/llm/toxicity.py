@@ -38,8 +38,8 @@ BUCKETS = 1 << 17
 WORDS = 1 << 16
 DIM = 5
 HIDDEN = 8
-PER_CLASS = 2500
-LONGEST = 6000
+PER_CLASS = 2000
+LONGEST = 5000
 EPOCHS = 6
 #: A feature is evidence from this share of the toxic training documents on (and from three).
 LEAST_SHARE = 0.01
@@ -203,30 +203,39 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
         at = np.repeat(np.arange(len(s)), np.diff(off))
         for k in GRAMS:
             b = K.gram_buckets(framed, off, k, BUCKETS)
-            grams.append(b[b < BUCKETS]), gram_word.append(at[b < BUCKETS] + base)
+            grams.append(b[b < BUCKETS].astype(np.int32)), gram_word.append((at[b < BUCKETS] + base).astype(np.int32))
         words.append(unique), owner.append((text + lo, inverse + base)), size.append(np.diff(off))
     lexicon = (np.concatenate(words) % np.uint64(WORDS)).astype(np.int64)
     n_words, length = len(lexicon), np.concatenate(size)
     bucket, of_word = np.concatenate(grams), np.concatenate(gram_word)
     doc, word = np.concatenate([a for a, _ in owner]), np.concatenate([b for _, b in owner])
 
-    def evidence(items: np.ndarray, docs: np.ndarray, buckets: int) -> np.ndarray:
+    order = np.argsort(of_word, kind="stable")
+    bucket, of_word = bucket[order], of_word[order]
+    del order, words, grams, gram_word, owner
+    used = np.unique(word * len(y) + doc)
+    used = used[np.argsort(used % len(y), kind="stable")]  # by document
+    seen_word, seen_doc = used // len(y), used % len(y)
+    del used
+    counts = {k: np.zeros((2, n), np.int64) for k, n in (("word", WORDS), ("gram", BUCKETS + 1))}
+    for a in range(0, len(y), 100):  # documents counted together
+        at = slice(*np.searchsorted(seen_doc, [a, a + 100]))
+        lo, hi = np.searchsorted(of_word, seen_word[at]), np.searchsorted(of_word, seen_word[at], "right")
+        n = hi - lo
+        flat = bucket[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        for name, items, docs in (("word", lexicon[seen_word[at]], seen_doc[at]), ("gram", flat.astype(np.int64), np.repeat(seen_doc[at], n))):
+            pairs = np.unique(items * len(y) + docs)
+            for c in (0, 1):
+                np.add.at(counts[name][c], pairs[y[pairs % len(y)] == c] // len(y), 1)
+    del seen_word, seen_doc
+
+    def evidence(none: np.ndarray, one: np.ndarray) -> np.ndarray:
         """Positive log odds of a feature's document frequency, none for a feature of few toxic documents."""
-        pairs = np.unique(items.astype(np.int64) * len(y) + docs)
-        item, label = pairs // len(y), y[pairs % len(y)]
-        one, none = np.bincount(item[label == 1], minlength=buckets), np.bincount(item[label == 0], minlength=buckets)
         odds = np.log((one + 0.5) / (y.sum() + 1)) - np.log((none + 0.5) / ((1 - y).sum() + 1))
         return np.where(one >= max(3, LEAST_SHARE * y.sum()), np.clip(odds, 0, 6), 0).astype(np.float32) / 3
 
-    used = np.unique(word * len(y) + doc)
-    seen_word, seen_doc = used // len(y), used % len(y)
-    model.word_evidence = evidence(lexicon[seen_word], seen_doc, WORDS)
-    order = np.argsort(of_word, kind="stable")
-    bucket, of_word = bucket[order], of_word[order]
-    lo, hi = np.searchsorted(of_word, seen_word), np.searchsorted(of_word, seen_word, "right")
-    n = hi - lo
-    flat = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-    model.gram_evidence = np.append(evidence(bucket[flat], np.repeat(seen_doc, n), BUCKETS), np.float32(0))
+    model.word_evidence, model.gram_evidence = evidence(*counts["word"]), evidence(*counts["gram"])
+    model.gram_evidence[BUCKETS] = 0
 
     index, of_doc = windows(doc, len(y))
     index = np.where(index >= 0, word[np.maximum(index, 0)], -1)
@@ -237,7 +246,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
         """Inputs of some distinct words; their grams' buckets and whose they are."""
         lo, hi = np.searchsorted(of_word, which), np.searchsorted(of_word, which, "right")
         n = hi - lo
-        b = bucket[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        b = bucket[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int64)
         who = np.repeat(np.arange(len(which)), n)
         means = np.stack([np.bincount(who, model.gram_vectors[b, k], len(which)) for k in range(DIM)], axis=1) / length[which, None]
         x = np.concatenate([model.word_vectors[lexicon[which]], means, model.word_evidence[lexicon[which]][:, None], strongest[which, None]], axis=1)
@@ -258,7 +267,8 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
         if epoch == 0:  # before anything is learned, the evidence points at the window
             score = np.where(index >= 0, np.maximum(model.word_evidence[lexicon], strongest)[np.maximum(index, 0)], 0).max(1)
         else:
-            gates = gate_rows(model, inputs(every)[0])
+            x = np.concatenate([inputs(every[a : a + 20_000])[0] for a in range(0, n_words, 20_000)])
+            gates = gate_rows(model, x)
             score = np.concatenate([logits(model, gates, index[a : a + CHUNK]) for a in range(0, len(index), CHUNK)])
         best = np.lexsort((-score, of_doc))
         first = best[np.searchsorted(of_doc[best], np.arange(len(y)))]
