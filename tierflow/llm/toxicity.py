@@ -41,8 +41,10 @@ HIDDEN = 8
 PER_CLASS = 2000
 LONGEST = 5000
 EPOCHS = 6
+#: Training steps at least; small samples go round more often, in smaller batches.
+LEAST_STEPS = 200
 #: A feature is evidence from this share of the toxic training documents on (and from three).
-LEAST_SHARE = 0.01
+LEAST_SHARE = 0.02
 THRESHOLD = 0.3
 #: Windows of a training step, and windows scored at once (so many that they stay in the cache).
 BATCH, CHUNK = 256, 2048
@@ -257,13 +259,14 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
         rows, place = np.unique(at, return_inverse=True)
         total = np.stack([np.bincount(place, g[:, k], len(rows)) for k in range(DIM)], axis=1).astype(np.float32)
         squares[rows] += (total**2).mean(1)
-        vectors[rows] -= 0.05 * total / np.sqrt(squares[rows])[:, None]
+        vectors[rows] -= 0.02 * total / np.sqrt(squares[rows])[:, None]
 
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items()}
     sq_gram, sq_word = np.full(BUCKETS + 1, 1e-6, np.float32), np.full(WORDS, 1e-6, np.float32)
     step = 0
     every = np.arange(n_words)
-    for epoch in range(epochs):
+    batch = max(32, min(BATCH, 2 * len(y) // 12))
+    for epoch in range(max(epochs, LEAST_STEPS * batch // (2 * len(y)))):
         if epoch == 0:  # before anything is learned, the evidence points at the window
             score = np.where(index >= 0, np.maximum(model.word_evidence[lexicon], strongest)[np.maximum(index, 0)], 0).max(1)
         else:
@@ -275,8 +278,8 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
         clean = np.flatnonzero(y[of_doc] == 0)
         chosen = np.concatenate([first, rng.choice(clean, min(len(clean), len(y)), replace=False)])
         rng.shuffle(chosen)
-        for a in range(0, len(chosen), BATCH):
-            part = chosen[a : a + BATCH]
+        for a in range(0, len(chosen), batch):
+            part = chosen[a : a + batch]
             # An empty window is clean.
             rows = np.concatenate([index[part], np.full((1, WINDOW), -1)])
             want = np.append(y[of_doc[part]], 0).astype(np.float32)
@@ -284,6 +287,9 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
             near = np.full(rows.shape, -1)
             near[rows >= 0] = local
             x, b, who = inputs(used)
+            # Half of the words lose their learned vectors, so that rare ones are not learned by heart.
+            keep = (rng.random((len(used), 1)) < 0.5).astype(np.float32)
+            x[:, : 2 * DIM] *= keep
             _, g, dg = gradients(model, gate_rows(model, x), near, want)
             g["wf"], g["wb"] = x.T @ dg[:-1, : 3 * H], x.T @ dg[:-1, 3 * H :]
             g["bf"], g["bb"] = dg[:-1, : 3 * H].sum(0), dg[:-1, 3 * H :].sum(0)
@@ -294,6 +300,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
                 m += 0.1 * (g[k] - m)
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= (0.02 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            dx = dx * keep
             nudge(model.word_vectors, sq_word, lexicon[used], dx[:, :DIM])
             nudge(model.gram_vectors, sq_gram, b, (dx[:, DIM : 2 * DIM] / length[used, None])[who])
     return model
