@@ -149,7 +149,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
         F.col("one.block").alias("a"), F.col("two.block").alias("b")
     )
     uses = materialize(tiles.select("a", "b", F.explode(F.expr("array_distinct(array(a, b))")).alias("block")), "tiles")
-    spread = members.select("vec_id", "v", "block", "place").join(uses, "block").select("a", "b", "block", "place", "vec_id", "v")
+    nothing = np.iinfo(np.int64).max  # a null id, kept out of the components below
+    spread = members.select(F.coalesce("vec_id", F.lit(nothing)).alias("vec_id"), "v", "block", "place").join(uses, "block").select("a", "b", "block", "place", "vec_id", "v")
 
     def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         a, b = int(key[0]), int(key[1])
@@ -161,12 +162,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
         j = j if own else j + left
         links = np.bincount(i, minlength=len(x)) + np.bincount(j, minlength=len(x))
         some = np.flatnonzero(links)
-        ids = rows.vec_id.fillna(np.iinfo(np.int64).max).astype("int64").to_numpy()
+        ids = rows.vec_id.to_numpy()
         low = smallest_reachable(len(x), i, j, ids)
         return pd.DataFrame({"block": rows.block.to_numpy()[some], "place": rows.place.to_numpy()[some], "n": links[some], "id": ids[some], "low": low[some]})
 
     found = materialize(spread.groupBy("a", "b").applyInPandas(tile, "block long, place int, n long, id long, low long"), "links")
-    nothing = np.iinfo(np.int64).max
     merged = components(found.where((F.col("id") < nothing) & (F.col("low") < nothing)).select(F.col("id").alias("a"), F.col("low").alias("b")))
     counts = found.groupBy("block", "place").agg(F.sum("n").alias("n_links"))
     linked = members.select("vec_id", "block", "place").join(counts, ["block", "place"], "left").select("vec_id", "n_links")

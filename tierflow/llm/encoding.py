@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ from . import bytekernel as K
 #: White space beyond ASCII.
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Pieces remembered by one worker; then it starts over.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_500_000
+#: Late comers until they are merged into the large table.
+LATE = 150_000
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[ord("A") : ord("Z") + 1] = _ASCII_LETTER[ord("a") : ord("z") + 1] = True
@@ -40,6 +43,12 @@ _SIGN[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]]
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
+def _merged(keys: np.ndarray, numbers: np.ndarray, more: np.ndarray, its: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, numbers = np.concatenate([keys, more]), np.concatenate([numbers, its])
+    order = np.argsort(keys)
+    return keys[order], numbers[order]
+
+
 class PieceEncoder:
     """Encodes slices of texts; keeps ids of pieces seen before."""
 
@@ -53,10 +62,23 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # Sorted piece hashes and the pieces' numbers: a large table, and a small one of late comers.
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.old, self.late = none, none
+        self.n = 0
         self.ids = np.zeros(1 << 20, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
 
+    def number(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of pieces by hash (sorted), -1 where not remembered."""
+        out = np.full(len(h), -1, np.int64)
+        for keys, numbers in (self.old, self.late):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                out[hit] = numbers[at[hit]]
+        return out
+
     @classmethod
     def of(cls, path: str, spaced: bool) -> PieceEncoder:
         """One for each worker process."""
@@ -106,34 +128,40 @@ class PieceEncoder:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(n_texts, np.int64)
         h, first, inverse = np.unique(K.span_hash(data, start, end), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        if self.n > REMEMBERED:
             self.forget()
-        known, keys = self.known, h.tolist()
-        at = [known.get(k, -1) for k in keys]
-        new = [i for i, k in enumerate(at) if k < 0]
-        if new:
+        at = self.number(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
             raw = data.tobytes()
-            encoded = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)], add_special_tokens=False)
-            self._remember([keys[i] for i in new], [e.ids for e in encoded])
-            at = [known[k] for k in keys]
-        at = np.array(at)[inverse]
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
+            encoded = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)
+            at[new] = self._remember(h[new], [e.ids for e in encoded])
+        at = at[inverse]
         lo, hi = self.ends[at], self.ends[at + 1]
         size = hi - lo
         total = np.cumsum(size)
         ids = self.ids[np.repeat(lo - total + size, size) + np.arange(total[-1])]
         return ids, np.bincount(text, size, n_texts).astype(np.int64)
 
-    def _remember(self, keys: list[int], ids: list[list[int]]) -> None:
+    def _remember(self, keys: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """Keep the ids of new pieces; their numbers."""
         size = np.array([len(x) for x in ids], np.int64)
-        n, end = len(self.known), self.ends[len(self.known)]
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        n, end = self.n, self.ends[self.n]
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         while len(self.ends) < n + len(keys) + 2:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while len(self.ids) < end + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[end : end + len(flat)] = flat
         self.ends[n + 1 : n + 1 + len(keys)] = end + np.cumsum(size)
-        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.n += len(keys)
+        numbers = np.arange(n, n + len(keys), dtype=np.int32)
+        self.late = _merged(*self.late, keys, numbers)
+        if len(self.late[0]) > LATE:
+            self.old = _merged(*self.old, *self.late)
+            self.late = keys[:0], numbers[:0]
+        return numbers
 
     def _replace(self, ids: np.ndarray, count: np.ndarray, part: pa.Array, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encode some texts whole and put their ids in place."""
