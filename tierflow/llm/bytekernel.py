@@ -7,14 +7,21 @@ temporary arrays stay small however long the column is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step handles (one longer text is a step of its own).
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018  not every C library has it
+except (OSError, AttributeError):
+    _libc = None
 
 _BASE = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(20240229)
@@ -33,6 +40,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def trimmed(batches: Iterable) -> Iterator:
+    """The batches; after each, memory that is free goes back to the system, since workers outlive their tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _libc is not None:
+            _libc.malloc_trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -292,7 +292,7 @@ def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in K.trimmed(batches):
             column = batch.column(at).cast(pa.large_string())
             letter = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             sums = np.zeros((len(column), max(1, len(model.labels))))

@@ -110,7 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_shingles long, fingerprint binary, bands array<long>, packed binary"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.trimmed(batches):
             n, prints, bands, packed = [], [], [], []
             for sets in shingle_sets(batch.column(1)):
                 n += [len(s) for s in sets]
@@ -212,7 +212,7 @@ def confirm(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int
     one = texts.join(member, "id")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.trimmed(batches):
             text = batch.column(batch.schema.get_field_index("text"))
             sets = [s.tobytes() for part in shingle_sets(text) for s in part]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + [pa.array(sets, pa.binary())], names=["id", "component", "c", "tiles", "shingles"])

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytekernel as K
 from .common import ship
 from .encoding import PieceEncoder
 
@@ -177,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, len
             pieces["sequence_id"] = [base + w for w in pieces.pop("window")]
             return pa.RecordBatch.from_arrays([pa.array(pieces[k], pa.int64()) for k in names], names=names)
 
-        for batch in batches:
+        for batch in K.trimmed(batches):
             ids_of, at = batch.column(0).to_pylist(), 0
             for ids, count in encoder.encode(batch.column(1)):
                 for x in np.split(ids, np.cumsum(count)[:-1]):

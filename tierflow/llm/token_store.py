@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytekernel as K
 from .common import ship
 from .encoding import PieceEncoder
 
@@ -80,7 +81,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced:
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer, spaced)
-        for batch in batches:
+        for batch in K.trimmed(batches):
             out = []
             for ids, count in encoder.encode(batch.column(0)):
                 out += [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(count)[:-1])]
@@ -113,7 +114,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced:
             offsets[:] = [0]
             return pa.RecordBatch.from_arrays(columns, names=["block", "first_id", "last_id", "dictionary_hash", "payload", "doc_ids", "offsets", "counts", "starts"])
 
-        for batch in batches:
+        for batch in K.trimmed(batches):
             names, at = batch.column(0).to_pylist(), 0
             for ids, count in encoder.encode(batch.column(1)):
                 for x in np.split(ids, np.cumsum(count)[:-1]):
@@ -163,7 +164,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFra
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = _decompressor(shared.value)
-        for batch in batches:
+        for batch in K.trimmed(batches):
             for r in range(batch.num_rows):
                 if batch.column(1)[r].as_py() != digest:
                     raise ValueError("a block names another dictionary")

@@ -349,7 +349,7 @@ def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in columns) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.trimmed(batches):
             score = score_texts(shared.value, batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in range(len(columns))] + [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*columns, "score", "predicted"]
