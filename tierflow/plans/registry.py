@@ -400,7 +400,14 @@ def join_06_merge_aggregates(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_aggregates(X.event_stats(spark, d, False), X.event_stats(spark, d, True), "event_type", "n", ["total"], ["top"], digits=None)
 
 
-@query(f"WITH {X.USERS_SQL} SELECT CAST(user_id AS VARCHAR) AS user_id, last_event, best, 'speed' AS source FROM s ORDER BY best DESC NULLS LAST, user_id LIMIT 20")
+@query(
+    f"""WITH {X.USERS_SQL}, bt AS (SELECT * FROM b ORDER BY best DESC NULLS LAST, user_id LIMIT 20), st AS (SELECT * FROM s ORDER BY best DESC NULLS LAST, user_id LIMIT 20),
+    m AS (SELECT CAST(coalesce(bt.user_id, st.user_id) AS VARCHAR) AS user_id, coalesce(st.last_event, bt.last_event) AS last_event, coalesce(st.best, bt.best) AS best,
+          CASE WHEN bt.user_id IS NULL THEN 'speed' WHEN st.user_id IS NULL THEN 'batch' ELSE 'merged' END AS source FROM bt FULL JOIN st ON bt.user_id = st.user_id),
+    mt AS (SELECT * FROM m ORDER BY best DESC NULLS LAST, user_id LIMIT 20)
+    SELECT CAST(user_id AS VARCHAR) AS user_id, last_event, best, 'speed' AS source FROM st WHERE (SELECT count(*) FROM st) >= 20
+    UNION ALL SELECT * FROM mt WHERE (SELECT count(*) FROM st) < 20"""
+)
 def join_10_fallback(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-10, OPS-10: the speed view's top rows, batch's only where they are too few; a top-k report."""
     speed = X.users(spark, d, True)
