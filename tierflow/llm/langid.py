@@ -267,13 +267,17 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tu
 
     Returns to the driver (number of languages) * ``per_language`` * ``STRETCH`` characters at most, about.
     """
-    counts = labelled.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(1.2 * per_language) / F.col("count"))
+    # One number per language, as the model itself has: the filter needs no join, so texts are not shuffled.
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return [], []
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * per_language / n))])
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # One row per language: small, and Spark shuffles instead where it is not.
-    drawn = labelled.join(counts.select(F.col("lang"), share.alias("share")), "lang").withColumn("place", place).where("place < share")
+    drawn = labelled.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("lang")))
     begin = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.length("text") - STRETCH, F.lit(1))) + 1
-    rows = drawn.select("lang", "place", F.substring(F.col("text"), begin.cast("int"), F.lit(STRETCH)).alias("text")).collect()
+    stretch = F.substring(F.col("text"), begin.cast("int"), F.lit(STRETCH))
+    # Rows that repeat an id count once, so that they cannot crowd the driver.
+    rows = drawn.groupBy("lang", "place", "doc_id").agg(F.min(stretch).alias("text")).collect()
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["place"], r["text"])):
         if len(by.setdefault(r["lang"], [])) < per_language:
