@@ -325,12 +325,14 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> tuple[list[str], list[int]]:
     """At most ``per_class`` labelled documents of each class, those with the smallest hashes: 2 * per_class * longest characters on the driver at most."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = known.groupBy("toxic").count()
-    share = F.least(F.lit(1.0), F.lit(1.3 * per_class) / F.col("count"))
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.join(counts.select(F.col("toxic"), share.alias("share")), "toxic").withColumn("place", place).where("place < share")
-    rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(drawn, "doc_id").select("place", "toxic", "text").collect()
+    placed = known.withColumn("place", place)
+    first = [placed.where(F.col("toxic") == k).orderBy("place", "doc_id").limit(int(1.3 * per_class)) for k in (0, 1)]
+    # The two limits bound the drawn ids, so they are broadcast and texts are not shuffled.
+    drawn = F.broadcast(first[0].union(first[1]))
+    # Rows that repeat an id count once, so that they cannot crowd the driver.
+    rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text")).collect()
     by: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: (r["place"], r["text"])):
         group = by[int(r["toxic"] > 0)]
