@@ -133,7 +133,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced:
             yield block()
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Spark samples the range keys to the driver, so only the head of a text is one; it sorts as the text does, and texts are kept whole.
+    head = F.substring("text", 1, 64)
+    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), head).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     schema = "block long, first_id long, last_id long, dictionary_hash string, payload binary, doc_ids array<long>, offsets array<long>, counts array<long>, starts array<long>"
     ordered.mapInArrow(blocks, schema).select(F.spark_partition_id().alias("shard"), "*").write.parquet(f"{path}/blocks")
     # One row per shard; the running sum over them is small whatever the documents are.
