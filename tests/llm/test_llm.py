@@ -440,3 +440,11 @@ def test_pipeline_stages(spark):
     assert before.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() == 0
     pieces = cp.STAGES[-1][1](spark, before, SF)
     assert pieces.agg(F.sum("length")).first()[0] > 0 and pieces.where("length > 2048").count() == 0
+
+
+def test_samples_count_repeated_ids_once(spark):
+    docs = spark.createDataFrame([(1, "ja nein", "de")] * 5 + [(2, "yes no", "en"), (None, "oui non", "fr")], "doc_id long, text string, lang string")
+    texts, langs = langid.training_sample(docs)
+    assert sorted(zip(langs, texts, strict=True)) == [("de", "ja nein"), ("en", "yes no"), ("fr", "oui non")]  # null is an id
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.training_sample(docs, labels) == (["yes no", "ja nein"], [0, 1])
