@@ -105,6 +105,24 @@ def test_toxicity_edges(spark):
     assert toxicity.score_texts(toxicity.fit([], []), pa.array(["x"])).tolist() == [0.0]
 
 
+def test_toxicity_of_a_passage_wherever_it_stands():
+    """A text's score is that of the highest of all its windows, at every word."""
+    rng = np.random.default_rng(1)
+    calm = [f"calm{i}" for i in range(60)]
+    insult = "you utter idiot and fool get lost right now".split()
+    model = toxicity.fit([" ".join(rng.choice(calm, 20)) for _ in range(30)] + [" ".join([*rng.choice(calm, 12), *insult]) for _ in range(30)], [0] * 30 + [1] * 30, epochs=3)
+    body = rng.choice(calm, 70).tolist()
+    texts = [" ".join([*body[:k], *insult, *body[k:]]) for k in range(61)] + ["", "one", " ".join(body[:16]), " ".join(body[:17])]
+    for text, score in zip(texts, toxicity.score_texts(model, pa.array(texts)), strict=True):
+        words = text.split()
+        each = [" ".join(words[i : i + 16]) for i in range(max(1, len(words) - 15))]
+        assert abs(toxicity.score_texts(model, pa.array(each)).max() - score) < 1e-5
+    rows = toxicity.gate_rows(model, rng.standard_normal((40, toxicity.INPUT)).astype(np.float32))
+    word = rng.integers(0, 40, 300)
+    plain = toxicity.logits(model, rows, word[np.arange(285)[:, None] + np.arange(16)])
+    assert np.allclose(toxicity.sweep(model, rows, word), plain, atol=1e-4)
+
+
 def test_network_gradient():
     """Back-propagation against differences."""
     model = toxicity.fit(["you idiot there now", "a calm day here"] * 6, [1, 0] * 6, epochs=1)

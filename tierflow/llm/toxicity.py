@@ -5,7 +5,8 @@ learned vectors of its byte n-grams (both hashed), with the strongest evidence
 of either, counted on the training documents, beside them. Two gated recurrent
 units read a window of ``WINDOW`` words forwards and backwards, attention pools
 their states, and a logistic unit scores the window. A text's score is that of
-its highest window; windows start every ``STRIDE`` words and cover all of it.
+its highest window; a window starts at every word that has ``WINDOW`` words from
+it on, so the score does not depend on where in the text a passage stands.
 
 Training is back-propagation through time in numpy. Labels are per document,
 so each round a toxic document teaches by its highest window, a clean one by
@@ -32,7 +33,7 @@ from . import bytekernel as K
 from .common import ship
 from .langid import distinct, sliced_words
 
-WINDOW, STRIDE = 16, 12
+WINDOW = 16
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 WORDS = 1 << 16
@@ -78,15 +79,20 @@ def word_inputs(model: Model, hashes: np.ndarray, data: np.ndarray, start: np.nd
 INPUT = 2 * DIM + 2
 
 
-def windows(text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word places of every window, -1 past the end, and each window's text; a text without words has one empty window."""
+def windows(text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end word place of every window, and its text; a text of fewer words than a window has one, empty without words."""
     bounds = np.searchsorted(text, np.arange(n_texts + 1))
     n = np.diff(bounds)
-    count = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
+    count = np.maximum(1, n - WINDOW + 1)
     owner = np.repeat(np.arange(n_texts), count)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    at = (nth * STRIDE)[:, None] + np.arange(WINDOW)
-    return np.where(at < n[owner][:, None], bounds[owner][:, None] + at, -1), owner
+    first = bounds[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return first, np.minimum(first + WINDOW, bounds[owner + 1]), owner
+
+
+def window_words(word: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of each window's words, -1 past its end."""
+    at = first[:, None] + np.arange(WINDOW)
+    return np.where(at < end[:, None], np.append(word, -1)[np.minimum(at, len(word))], -1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -133,6 +139,59 @@ def logits(model: Model, gates: np.ndarray, index: np.ndarray, trace: dict | Non
     return pooled @ w["out"] + w["bias"][0]
 
 
+def sweep(model: Model, gates: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Logit of the full window from every start in a stretch of words: ``logits`` without padding.
+
+    Step t of all windows reads one slice of the stretch. Gates are halved, so
+    that the logistic function is a hyperbolic tangent, and of the states only
+    their attention and their output are kept.
+    """
+    w, H = model.w, HIDDEN
+    n = len(word) - WINDOW + 1
+    halved = np.repeat(np.array([0.5, 0.5, 1, 0.5, 0.5, 1], np.float32), H)
+    x = np.ascontiguousarray((gates[word] * halved).T)
+    seen = np.zeros((WINDOW, 2, n), np.float32)
+    a, h, d = np.empty((3 * H, n), np.float32), np.empty((H, n), np.float32), np.empty((H, n), np.float32)
+    for side, order in enumerate((range(WINDOW), range(WINDOW - 1, -1, -1))):
+        gate = x[3 * H * side : 3 * H * (side + 1)]
+        u = np.ascontiguousarray(w["uf" if side == 0 else "ub"].T) * np.float32(0.5)
+        read = np.stack([w["att"][H * side : H * (side + 1)], w["out"][H * side : H * (side + 1)]])
+        h[:] = 0
+        for t in order:
+            np.matmul(u, h, out=a)
+            zr, c = a[: 2 * H], a[2 * H :]
+            zr += gate[: 2 * H, t : t + n]
+            np.tanh(zr, out=zr)
+            zr += 1
+            c *= zr[H:]
+            c += gate[2 * H :, t : t + n]
+            np.tanh(c, out=c)
+            np.subtract(h, c, out=d)
+            d *= zr[:H]
+            d *= np.float32(0.5)
+            np.add(c, d, out=h)
+            seen[t] += read @ h
+    e = seen[:, 0]
+    e = np.exp(e - e.max(0))
+    return (e * seen[:, 1]).sum(0) / e.sum(0) + w["bias"][0]
+
+
+def window_logits(model: Model, gates: np.ndarray, word: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Logit of every window; ``word``: the gate row of each word, in order, as ``first`` is."""
+    out = np.empty(len(first), np.float32)
+    full, short = np.flatnonzero(end - first == WINDOW), np.flatnonzero(end - first < WINDOW)
+    at = first[full]
+    for a in range(0, len(word) - WINDOW + 1, CHUNK):
+        some = slice(*np.searchsorted(at, [a, a + CHUNK]))
+        if some.start < some.stop:
+            lo, hi = at[some.start], at[some.stop - 1]
+            out[full[some]] = sweep(model, gates, word[lo : hi + WINDOW])[at[some] - lo]
+    for a in range(0, len(short), CHUNK):
+        some = short[a : a + CHUNK]
+        out[some] = logits(model, gates, window_words(word, first[some], end[some]))
+    return out
+
+
 def gate_rows(model: Model, x: np.ndarray) -> np.ndarray:
     """Gate inputs of both directions for each word, and a padding row."""
     w = model.w
@@ -239,8 +298,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
     model.word_evidence, model.gram_evidence = evidence(*counts["word"]), evidence(*counts["gram"])
     model.gram_evidence[BUCKETS] = 0
 
-    index, of_doc = windows(doc, len(y))
-    index = np.where(index >= 0, word[np.maximum(index, 0)], -1)
+    begin, end, of_doc = windows(doc, len(y))
     strongest = np.zeros(n_words, np.float32)
     np.maximum.at(strongest, of_word, model.gram_evidence[bucket])
 
@@ -268,11 +326,14 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
     batch = max(32, min(BATCH, 2 * len(y) // 12))
     for epoch in range(max(epochs, LEAST_STEPS * batch // (2 * len(y)))):
         if epoch == 0:  # before anything is learned, the evidence points at the window
-            score = np.where(index >= 0, np.maximum(model.word_evidence[lexicon], strongest)[np.maximum(index, 0)], 0).max(1)
+            hint = np.append(np.maximum(model.word_evidence[lexicon], strongest)[word], np.float32(0))
+            score = np.zeros(len(begin), np.float32)
+            for k in range(WINDOW):
+                np.maximum(score, np.where(begin + k < end, hint[np.minimum(begin + k, len(word))], 0), out=score)
         else:
             x = np.concatenate([inputs(every[a : a + 20_000])[0] for a in range(0, n_words, 20_000)])
             gates = gate_rows(model, x)
-            score = np.concatenate([logits(model, gates, index[a : a + CHUNK]) for a in range(0, len(index), CHUNK)])
+            score = window_logits(model, gates, word, begin, end)
         best = np.lexsort((-score, of_doc))
         first = best[np.searchsorted(of_doc[best], np.arange(len(y)))]
         clean = np.flatnonzero(y[of_doc] == 0)
@@ -281,7 +342,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
         for a in range(0, len(chosen), batch):
             part = chosen[a : a + batch]
             # An empty window is clean.
-            rows = np.concatenate([index[part], np.full((1, WINDOW), -1)])
+            rows = np.concatenate([window_words(word, begin[part], end[part]), np.full((1, WINDOW), -1)])
             want = np.append(y[of_doc[part]], 0).astype(np.float32)
             used, local = np.unique(rows[rows >= 0], return_inverse=True)
             near = np.full(rows.shape, -1)
@@ -314,11 +375,9 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
             gates = gate_rows(model, word_inputs(model, hashes, data, s, t))
         else:
             gates, inverse = np.zeros((1, 6 * HIDDEN), np.float32), np.zeros(0, np.int64)
-        index, owner = windows(text, hi - lo)
-        index = np.where(index >= 0, np.append(inverse, -1)[index], -1)
+        first, end_, owner = windows(text, hi - lo)
         best = np.full(hi - lo, -np.inf)
-        for a in range(0, len(index), CHUNK):
-            np.maximum.at(best, owner[a : a + CHUNK], logits(model, gates, index[a : a + CHUNK]))
+        np.maximum.at(best, owner, window_logits(model, gates, inverse, first, end_))
         out[lo:hi] = _sigmoid(best)
     return out
 
