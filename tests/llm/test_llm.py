@@ -460,6 +460,27 @@ def test_pipeline_stages(spark):
     assert pieces.agg(F.sum("length")).first()[0] > 0 and pieces.where("length > 2048").count() == 0
 
 
+def odd_ids(spark):
+    """Rows of null ids, fully repeated rows, and two texts under one id, each with a copy elsewhere."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    rows = [(None, text["a"], "s"), (None, text["a"], "s"), (1, text["b"], "s"), (1, text["b"], "s"), (2, text["c"], "t"), (2, text["d"] + " end", "t")]
+    rows += [(3, text["d"], "t"), (4, text["c"], "t"), (None, text["e"], None), (9, None, "t"), (9, None, "t")]
+    return text, spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_mixing_null_and_repeated_ids(spark):
+    _, docs = odd_ids(spark)
+    docs = docs.unionByName(spark.createDataFrame([(2, "short", "en", "t", 5)], docs.schema))
+    targets = {r.source_size: r.target for r in mixing.taken(docs).collect()}
+    mixed = mixing.mixed_documents(docs).toPandas()
+    words = mixed.text.map(lambda t: len(WORD.findall(t)))
+    for s in ("s", "t", None):
+        mine = mixed.source.isna() if s is None else mixed.source == s
+        size = sum(len(WORD.findall(r.text or "")) for r in docs.collect() if r.source == s)
+        assert abs(words[mine].sum() - targets[size]) <= 1
+    assert mixed.doc_id.isna().any() and mixed.columns.tolist() == docs.columns
+
+
 def test_samples_count_repeated_ids_once(spark):
     docs = spark.createDataFrame([(1, "ja nein", "de")] * 5 + [(2, "yes no", "en"), (None, "oui non", "fr")], "doc_id long, text string, lang string")
     texts, langs = langid.training_sample(docs)

@@ -65,6 +65,17 @@ def crc_mod(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string")) % divisor
 
 
+#: The columns of a row's key.
+ROW_KEY = ["key_a", "key_b"]
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``df`` with 128 bits of hash of the whole row, never null; only fully repeated rows share a key."""
+    # A hash passes over nulls, so each column also says whether it is null.
+    said = [x for c in df.columns for x in (F.col(c), F.col(c).isNull())]
+    return df.withColumns({"key_a": F.xxhash64(*said), "key_b": F.xxhash64(F.lit(1), *said)})
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, component)``.
 

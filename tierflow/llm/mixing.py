@@ -19,8 +19,9 @@ Bounds: sources are few (they are named in a recipe); what is computed per
 source is one row each. Nothing per document leaves the executors.
 
 Defined results: null text has size 0; null source is a source, last in order;
-a document of size 0 takes 0; repeated rows are documents of their own (they are
-told apart by position, not by id); an empty table gives an empty table.
+a document of size 0 takes 0; a ``doc_id`` may be null or stand in many rows;
+repeated rows are documents of their own (they are told apart by position, not by
+id); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, ship
+from .common import ROW_KEY, SPACE_CLASS, materialize, ship, with_row_key
 
 BLOCK = 128
 LIMIT = 3
@@ -166,7 +167,9 @@ def place_of(block: int, size: int, seed: int) -> int:
 
 
 def placed_documents(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns``, ``source, size, at``: the first word's place in the source's stream.
+    """``columns``, ``source, size, at, key_a, key_b, bucket, nth``: the first word's place in the source's stream.
+
+    ``source, bucket, nth`` is a row's own, also where rows repeat or are empty.
 
     The order inside a source is by a hash, dealt into as many buckets as makes
     bucket totals and bucket contents about equally many: two windows, neither
@@ -175,22 +178,23 @@ def placed_documents(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) ->
     spark = docs.sparkSession
     rows = docs.count()
     buckets = max(16, int(rows**0.5))
-    hashed = docs.withColumn("size", word_count()).withColumn("h", F.xxhash64(*[F.col(c) for c in columns], "source"))
-    base = hashed.select(*columns, "source", "size", "h", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"))
+    hashed = with_row_key(docs).withColumn("size", word_count()).withColumn("h", F.xxhash64(*[F.col(c) for c in columns], "source"))
+    base = hashed.select(*columns, *ROW_KEY, "source", "size", "h", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"))
     base = materialize(base, "sizes")
     totals = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = totals.withColumn("ahead", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("source", "bucket").orderBy("h", *[F.col(c) for c in columns], "size").rowsBetween(Window.unboundedPreceding, -1)
-    inner = base.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("s", _key())
+    order = Window.partitionBy("source", "bucket").orderBy("h", *[F.col(c) for c in columns], "size", *ROW_KEY)
+    within = order.rowsBetween(Window.unboundedPreceding, -1)
+    inner = base.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("nth", F.row_number().over(order)).withColumn("s", _key())
     ahead = ahead.select(_key().alias("s"), "bucket", "ahead")
-    return inner.join(ahead, ["s", "bucket"]).select(*columns, "source", "size", (F.col("inner") + F.col("ahead")).alias("at"))
+    return inner.join(ahead, ["s", "bucket"]).select(*columns, "source", "size", (F.col("inner") + F.col("ahead")).alias("at"), *ROW_KEY, "bucket", "nth")
 
 
 def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """The recipe by source, and the mix: one row per document and slot that takes words of it.
 
-    ``columns, source, size, at, pass, shard, lo, hi``: the slot takes the document's
-    words lo .. hi-1. A document that no slot uses has one row with null ``pass``.
+    ``columns, source, size, at, key_a, key_b, bucket, nth, pass, shard, lo, hi``: the
+    slot takes the document's words lo .. hi-1. A document that no slot uses has one row with null ``pass``.
     """
     placed = materialize(placed_documents(docs, columns), "placed")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -203,7 +207,7 @@ def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), shards: int = S
     lo = F.greatest(first, F.lit(0))
     hi = F.least(F.col("size"), first + F.coalesce("words", F.lit(0)))  # least() passes over nulls
     cut = used.withColumn("lo", lo).withColumn("hi", F.greatest(hi, lo))
-    return recipe, cut.select(*columns, "source", "size", "at", "pass", "shard", "lo", "hi")
+    return recipe, cut.select(*columns, "source", "size", "at", *ROW_KEY, "bucket", "nth", "pass", "shard", "lo", "hi")
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -219,20 +223,22 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``: each document once per pass that takes words of it, cut to those words.
 
     A whole document keeps its text; a part is the text from the first to the last
-    word of each taken stretch, stretches being joined by a line break. Needs a
-    unique ``doc_id``.
+    word of each taken stretch, stretches being joined by a line break.
     """
     ship(docs.sparkSession)
     names = docs.columns
     _, used = mix(docs)
     stretches = (
         used.where("pass IS NOT NULL AND hi > lo")
-        .groupBy("doc_id", "pass")
+        .groupBy(*ROW_KEY, "source", "bucket", "nth", "pass")
         .agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("parts"), F.first("size").alias("size"))
-        .select("doc_id", "pass", "size", F.transform("parts", lambda p: p["lo"]).alias("los"), F.transform("parts", lambda p: p["hi"]).alias("his"))
+        .select(*ROW_KEY, "pass", "size", F.transform("parts", lambda p: p["lo"]).alias("los"), F.transform("parts", lambda p: p["hi"]).alias("his"))
     )
     whole = F.expr("aggregate(zip_with(his, los, (h, l) -> h - l), 0L, (a, x) -> a + x) = size")
-    joined = docs.join(stretches.withColumn("whole", whole), "doc_id")
+    # Each of k repeated rows has its own stretches, so their text meets them once.
+    copy = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy(*ROW_KEY))
+    texts = with_row_key(docs).withColumn("copy", copy).where("copy = 1").select(*names, *ROW_KEY)
+    joined = texts.join(stretches.select(*ROW_KEY, whole.alias("whole"), "los", "his"), ROW_KEY)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
