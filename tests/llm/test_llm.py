@@ -468,6 +468,21 @@ def odd_ids(spark):
     return text, spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def test_minhash_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    text, docs = odd_ids(spark)
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()]
+    want = [(None, None, True)] * 3 + [(1, 1, True)] * 2 + [(2, 2, True)] * 2 + [(3, 2, False), (4, 2, False)] + [(9, 9, True)] * 2
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    left = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()), key=repr)
+    assert left == sorted([(None, text["a"]), (1, text["b"]), (2, text["c"]), (2, text["d"] + " end"), (None, text["e"]), (9, None)], key=repr)
+    # One copy's row under a shared id goes, the other text of that id stays.
+    shared = spark.createDataFrame([(5, text["a"], "x"), (7, text["a"], "x"), (7, text["b"], "x")], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, shared, SF).collect()) == [5, 7]
+    assert cp.near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
 def test_mixing_null_and_repeated_ids(spark):
     _, docs = odd_ids(spark)
     docs = docs.unionByName(spark.createDataFrame([(2, "short", "en", "t", 5)], docs.schema))

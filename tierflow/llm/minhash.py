@@ -4,7 +4,7 @@
    and a packed signature of the low ``BITS`` bits of each minimum.
 2. Equal sets become one class (a map-side aggregate, so thousands of copies
    reach the shuffle as a row per task).
-3. Classes that share a band key are joined to the smallest id of that bucket:
+3. Classes that share a band key are joined to the smallest class of that bucket:
    the linked buckets are the candidate groups. No pair is listed.
 4. A group's members meet with their full sets in tiles of at most two chunks
    of ``CHUNK`` classes. In a tile the signatures are compared by bit counts,
@@ -18,9 +18,10 @@ probability 3e-7; the estimate's slack is over five standard deviations.
 
 Defined results: null or empty texts have an empty set and link with nothing;
 texts with fewer than ``SHINGLE`` words are one shingle; rows that repeat a text
-are one class, rows that repeat a ``doc_id`` share its component; a null
-``doc_id`` links with nothing; an empty table gives an empty table; other
-columns are ignored.
+are one class; texts that share a ``doc_id`` are each confirmed and share its
+component; a null ``doc_id`` links with nothing; an empty table gives an empty
+table; other columns are ignored. ``without_copies`` goes by rows and texts, not
+by ids.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekernel as K
-from .common import components, materialize, ship
+from .common import ROW_KEY, components, materialize, ship, with_row_key
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
@@ -105,14 +106,14 @@ def estimated(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, fingerprint, bands, packed``; the last three are null for an empty set."""
+    """``doc_id, key_a, key_b, n_shingles, fingerprint, bands, packed`` of rows with keys; the last three are null for an empty set."""
     ship(docs.sparkSession)
-    schema = "doc_id long, n_shingles long, fingerprint binary, bands array<long>, packed binary"
+    schema = "doc_id long, key_a long, key_b long, n_shingles long, fingerprint binary, bands array<long>, packed binary"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.trimmed(batches):
             n, prints, bands, packed = [], [], [], []
-            for sets in shingle_sets(batch.column(1)):
+            for sets in shingle_sets(batch.column(3)):
                 n += [len(s) for s in sets]
                 some = [s for s in sets if len(s)]
                 m = minima(some)
@@ -127,11 +128,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bands.append(key)
                     packed.append(None if x is None else low.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_shingles", "fingerprint", "bands", "packed"],
+                [*(batch.column(k).cast(pa.int64()) for k in range(3)), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+                names=["doc_id", *ROW_KEY, "n_shingles", "fingerprint", "bands", "packed"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, "text").mapInArrow(sign, schema)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -176,40 +177,78 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], packed: np.ndarray, cross: n
     return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
-    signed = materialize(signatures(docs), "signed")
+def linked_classes(keyed: DataFrame, percent: int, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows ``doc_id, key_a, key_b, n_shingles, class`` of a table with row keys, the classes, and confirmed links of classes.
+
+    A class is a shingle set; its number is given when the classes are written.
+    Without ``null_ids`` rows without id have no class.
+    """
+    signed = materialize(signatures(keyed), "signed")
+    named = F.col("fingerprint").isNotNull() & (F.lit(null_ids) | F.col("doc_id").isNotNull())
     classes = materialize(
-        signed.where("fingerprint IS NOT NULL AND doc_id IS NOT NULL")
+        signed.where(named)
         .groupBy("fingerprint")
-        .agg(F.min_by(F.struct("doc_id", "bands", "packed"), "doc_id").alias("m"))
-        .select("fingerprint", "m.*"),
+        .agg(F.min_by(F.struct(*ROW_KEY, "bands", "packed"), F.struct(*ROW_KEY)).alias("m"), F.min("doc_id").alias("first_id"))
+        .select("fingerprint", "m.*", "first_id", F.monotonically_increasing_id().alias("class")),
         "classes",
     )
-    buckets = classes.select("doc_id", F.explode("bands").alias("band"))
-    least = buckets.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
-    candidates = buckets.join(least, "band").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    groups = components(candidates)
-    links = confirm(docs, classes, groups, percent)
-    merged = components(links)
-    # doc_id -> class -> component; both lookups are by a value that copies share,
-    # so the large side keeps its rows apart by a plain join that AQE may split.
-    named = signed.select("doc_id", "n_shingles", "fingerprint").join(classes.select("fingerprint", F.col("doc_id").alias("class_id")), "fingerprint", "left")
-    joined = named.join(merged.withColumnRenamed("id", "class_id"), "class_id", "left")
-    component = F.coalesce("component", "class_id", "doc_id")
+    buckets = classes.select("class", F.explode("bands").alias("band"))
+    least = buckets.groupBy("band").agg(F.min("class").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
+    candidates = buckets.join(least, "band").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
+    links = materialize(confirm(keyed, classes, components(candidates), percent), "links")
+    # Copies share a fingerprint: a plain join keeps the large side's rows apart and AQE may split it.
+    print_ = F.when(named, F.col("fingerprint")).alias("fingerprint")
+    rows = signed.select("doc_id", *ROW_KEY, "n_shingles", print_).join(classes.select("fingerprint", "class"), "fingerprint", "left")
+    return materialize(rows.select("doc_id", *ROW_KEY, "n_shingles", "class"), "rows"), classes, links
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    rows, classes, links = linked_classes(with_row_key(docs.select("doc_id", "text")), percent, False)
+    # The classes of one doc_id are joined to its smallest.
+    by_id = rows.where("class IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("last"))
+    several = by_id.where("class < last").select("doc_id", F.col("class").alias("b"))
+    shared = rows.join(several, "doc_id").where("class <> b").select(F.col("class").alias("a"), "b")
+    merged = components(links.union(shared))
+    grouped = classes.select("class", "first_id").join(merged.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = by_id.select("doc_id", "class").join(grouped.join(smallest, "component").select("class", "component_id"), "class").select("doc_id", "component_id")
+    component = F.coalesce("component_id", "doc_id")
+    joined = rows.join(named, "doc_id", "left")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def confirm(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def without_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component of texts the row with the smallest id, null last.
+
+    Ids are not taken for names: a text stays or goes by itself where it shares an
+    id, and a null id is one like any other. Of fully repeated rows one stays.
+    """
+    keyed = with_row_key(docs)
+    rows, _, links = linked_classes(keyed, percent, True)
+    merged = components(links).withColumnRenamed("id", "class")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW_KEY)
+    leads = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("lead"))
+    leads = leads.join(merged, "class", "left").groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("lead").alias("lead"))
+    leads = leads.select("lead.key_a", "lead.key_b", F.lit(True).alias("leads"))
+    each = rows.groupBy(*ROW_KEY).agg(F.count("*").alias("n"), F.first("class").alias("class")).join(leads, ROW_KEY, "left")
+    gone = F.col("class").isNotNull() & F.col("leads").isNull()
+    changed = materialize(each.select(*ROW_KEY, gone.alias("gone"), "n").where("gone OR n > 1").select(*ROW_KEY, "gone"), "changed")
+    alone = keyed.join(changed, ROW_KEY, "left_anti")
+    repeated = keyed.join(changed.where("NOT gone"), ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+    return alone.unionByName(repeated).select(*docs.columns)
+
+
+def confirm(keyed: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Confirmed links ``(a, b)`` inside candidate groups ``(id, component)``."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("int")
     placed = groups.join(sizes, "component").withColumn("k", chunks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     # A member of chunk c goes to the tiles (c, j) and (i, c); a group of one chunk has the tile (0, 0).
     tiles = F.expr("transform(sequence(0, k - 1), j -> struct(least(c, j) AS lo, greatest(c, j) AS hi))")
-    member = placed.withColumn("tiles", tiles).select("id", "component", "c", "tiles")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    one = texts.join(member, "id")
+    member = placed.withColumn("tiles", tiles).join(classes.select(F.col("class").alias("id"), *ROW_KEY), "id").select("id", "component", "c", "tiles", *ROW_KEY)
+    # A class's text is that of one row, or of rows that repeat it fully.
+    one = keyed.select(*ROW_KEY, "text").join(member, ROW_KEY)
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.trimmed(batches):
