@@ -171,3 +171,24 @@ def test_stream_restart(spark, tmp_path):
         for q in streams.start_all({"s": streams.upsert_stream(stream, target, "u", ["v"])}, str(tmp_path / "cp")):
             q.awaitTermination()
     assert sorted((r.u, r.v) for r in sinks.read_upserted(spark, target, "u").collect()) == [("u0", 20), ("u1", 21), ("u2", 22)]
+
+
+def test_upsert_of_shuffled_files(spark, tmp_path):
+    """The newest row wins over several epochs, also where files come in the wrong order."""
+    import os
+
+    from tierflow.plans import registry
+
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    files = [7, 11, 3, 0, 9, 5, 1, 10, 2, 8, 4, 6]
+    for place, part in enumerate(files):
+        rows = [(part * 10 + i, (part + i) % 5) for i in range(10)]
+        spark.createDataFrame(rows, "event_id long, user_id long").toPandas().to_parquet(folder / f"{place:02}.parquet")
+        os.utime(folder / f"{place:02}.parquet", (1_700_000_000 + 60 * place,) * 2)
+    got = {r.user_id: r.event_id for r in registry.queries()["snk_03_upsert"](spark, str(tmp_path)).collect()}
+    want = {}
+    for part in range(12):
+        for i in range(10):
+            want[(part + i) % 5] = max(want.get((part + i) % 5, 0), part * 10 + i)
+    assert got == want

@@ -566,12 +566,12 @@ def snk_10_append_new(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def snk_03_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-03, SNK-07, STR-14: every micro-batch's newest row per key, over a stream of the events."""
+    """SNK-03, SNK-07, STR-14: the newest row per key over a stream of the events, whatever the order of its files."""
     stream = _event_stream(spark, d, 4)
     target = fresh(spark, "upserted")
     for q in streams.start_all({"upsert": streams.upsert_stream(stream.select("user_id", "event_id"), target, "user_id", ["event_id"])}, fresh(spark, "checkpoint")):
         q.awaitTermination()
-    return sinks.read_upserted(spark, target, "user_id")
+    return sinks.read_upserted(spark, target, "user_id", newest=["event_id"])
 
 
 _WINDOW_SQL = """SELECT w AS window_start, w + INTERVAL 5 MINUTE AS window_end, event_type, count(*) AS n, max(value) AS max_value, min(value) AS min_value

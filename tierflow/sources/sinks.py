@@ -39,17 +39,17 @@ def upsert(df: DataFrame, path: str, key: str, epoch: int, newest: Sequence[str]
     rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def read_upserted(spark: SparkSession, path: str, key: str, keep_epoch: bool = False) -> DataFrame:
-    """The row of the last epoch for each key."""
+def read_upserted(spark: SparkSession, path: str, key: str, keep_epoch: bool = False, newest: Sequence[str] = ()) -> DataFrame:
+    """The newest row of all epochs for each key, ties to the last epoch; without ``newest`` the row of the last epoch."""
     rows = spark.read.parquet(path)
     others = [c for c in rows.columns if c not in (key, "epoch")]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*others, "epoch"), "epoch").alias("__row"))
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*others, "epoch"), F.struct(*newest, "epoch")).alias("__row"))
     return last.select(key, *[f"__row.{c}" for c in others], *(["__row.epoch"] if keep_epoch else []))
 
 
-def compact(spark: SparkSession, path: str, key: str, target: str) -> None:
+def compact(spark: SparkSession, path: str, key: str, target: str, newest: Sequence[str] = ()) -> None:
     """The merged table as one epoch of a new target folder; the old one is left for the caller to drop."""
-    merged = read_upserted(spark, path, key, keep_epoch=True)
+    merged = read_upserted(spark, path, key, keep_epoch=True, newest=newest)
     last = merged.agg(F.max("epoch")).first()[0] or 0
     merged.drop("epoch").write.mode("overwrite").parquet(f"{target}/epoch={last}")
 
