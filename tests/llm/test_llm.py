@@ -502,3 +502,13 @@ def test_samples_count_repeated_ids_once(spark):
     assert sorted(zip(langs, texts, strict=True)) == [("de", "ja nein"), ("en", "yes no"), ("fr", "oui non")]  # null is an id
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
     assert toxicity.training_sample(docs, labels) == (["yes no", "ja nein"], [0, 1])
+
+
+def test_toxic_sample_draws_among_short_texts(spark):
+    docs = spark.createDataFrame([(i, "x" * (100 if i < 40 else 9)) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(50)], "doc_id long, toxic int")
+    texts, toxic = toxicity.training_sample(docs, labels, per_class=3, longest=50)
+    assert toxic == [0] * 3 + [1] * 3 and set(map(len, texts)) == {9}
+    with pytest.raises(ValueError, match="both classes"):
+        toxicity.training_sample(docs.where("doc_id < 40 OR doc_id % 2 = 0"), labels, longest=50)
+    assert toxicity.training_sample(docs.limit(0), labels) == ([], [])

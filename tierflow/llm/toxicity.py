@@ -384,19 +384,24 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> tuple[list[str], list[int]]:
     """At most ``per_class`` labelled documents of each class, those with the smallest hashes: 2 * per_class * longest characters on the driver at most."""
+    short = docs.where(F.length("text") <= longest).select("doc_id", "text")
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    placed = known.withColumn("place", place)
+    # The bound on the length comes before the draw, so that long texts take no place in it.
+    placed = known.withColumn("place", place).join(short.select("doc_id"), "doc_id", "left_semi")
     first = [placed.where(F.col("toxic") == k).orderBy("place", "doc_id").limit(int(1.3 * per_class)) for k in (0, 1)]
     # The two limits bound the drawn ids, so they are broadcast and texts are not shuffled.
     drawn = F.broadcast(first[0].union(first[1]))
     # Rows that repeat an id count once, so that they cannot crowd the driver.
-    rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text")).collect()
+    rows = short.join(drawn, "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text")).collect()
     by: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: (r["place"], r["text"])):
         group = by[int(r["toxic"] > 0)]
         if len(group) < per_class:
             group.append(r["text"])
+    # A table without labelled texts, or labels of one class, give a constant model; a lost class is an error.
+    if not (by[0] and by[1]) and known.select("toxic").distinct().count() == 2 and not docs.where("text IS NOT NULL").join(known, "doc_id", "left_semi").isEmpty():
+        raise ValueError(f"labels hold both classes, but only {len(by[0])} clean and {len(by[1])} toxic texts have at most {longest} characters")
     return by[0] + by[1], [0] * len(by[0]) + [1] * len(by[1])
 
 
