@@ -486,7 +486,9 @@ def test_minhash_null_and_repeated_ids(spark):
 def test_mixing_null_and_repeated_ids(spark):
     _, docs = odd_ids(spark)
     docs = docs.unionByName(spark.createDataFrame([(2, "short", "en", "t", 5)], docs.schema))
-    targets = {r.source_size: r.target for r in mixing.taken(docs).collect()}
+    every = mixing.taken(docs).collect()
+    assert len(every) == docs.count() and sum(r.doc_id == 9 for r in every) == 2  # repeated empty rows stay apart
+    targets = {r.source_size: r.target for r in every}
     mixed = mixing.mixed_documents(docs).toPandas()
     words = mixed.text.map(lambda t: len(WORD.findall(t)))
     for s in ("s", "t", None):

@@ -213,7 +213,7 @@ def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), shards: int = S
 def taken(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id, size, source_size, target, taken``."""
     recipe, used = mix(docs)
-    per_doc = used.groupBy("doc_id", "source", "at", "size").agg(F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0)).cast("long").alias("taken"))
+    per_doc = used.groupBy("doc_id", "source", "bucket", "nth", "size").agg(F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0)).cast("long").alias("taken"))
     rules = recipe.select(_key().alias("s"), F.col("source_size").cast("long").alias("source_size"), "target")
     # One row per source: Spark broadcasts it while it is under its own size bound, else it shuffles.
     return per_doc.withColumn("s", _key()).join(rules, "s").select("doc_id", "size", "source_size", "target", "taken")
