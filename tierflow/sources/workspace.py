@@ -1,7 +1,8 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and intermediate tables in it."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (tests on one machine) a fresh local folder."""
+    """``spark.checkpoint.dir``. Where that is unset, one machine (tests) gets a fresh local folder; a cluster gets an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark.sparkContext, "_tierflow_shared", None)
         if folder is None:
             folder = spark.sparkContext._tierflow_shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -27,4 +30,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: used more than once, computed once, and a lost executor costs a re-read."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tierflow_path = path
+    return out
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and no later plan reads."""
+    for df in tables:
+        delete_folder(df.sparkSession, df._tierflow_path)
