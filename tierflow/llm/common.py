@@ -10,35 +10,12 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.workspace import delete_folder, discard, fresh, materialize, shared_dir  # noqa: F401  the operators' and the pipeline's too
+
 #: Word separators of every word-based contract: ASCII white space only.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a fresh local folder is taken.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark.sparkContext, "_tierflow_shared", None)
-        if folder is None:
-            folder = spark.sparkContext._tierflow_shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, as an archive."""
     context = spark.sparkContext
@@ -79,12 +56,13 @@ def with_row_key(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, component)``.
 
-    Alternates large-star and small-star steps until neither changes an edge;
-    every group is reduced by ``min`` with map-side combining, so a hub of many
-    edges never has to be held by one task. Each round is written to the shared
-    folder. ``component`` is the smallest id reachable; ids without an edge do
-    not appear. Self loops and repeated edges are allowed; null ends are
-    dropped.
+    Alternates large-star and small-star steps until neither changes an edge.
+    Minima by node are aggregated with map-side combining and written before they
+    are joined, so the join's other side, where a hub has a row for each edge, is a
+    plain shuffle that Spark splits. Each step is written to the shared folder, and
+    the step before it deleted. ``component`` is the smallest id reachable; ids
+    without an edge do not appear. Self loops and repeated edges are allowed; null
+    ends are dropped.
     """
     current = materialize(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -95,25 +73,21 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         # Large star: every larger neighbour moves to the smallest of the neighbourhood.
         # A node that is itself the smallest changes nothing, so only the others join.
+        lower = materialize(current.groupBy("u").agg(F.min("v").alias("m")), "lower")
         upward = current.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        lower = current.groupBy("u").agg(F.min("v").alias("m"))
         moved = upward.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stay = current.join(lower.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v")
-        large = moved.union(stay).distinct()
+        large = materialize(moved.union(stay).distinct(), "large")
+        discard(current, lower)
         # Small star: a node's smaller neighbours move to the smallest of them.
-        large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = materialize(
-            joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(),
-            "small",
-        )
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        others = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        current = materialize(others.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(large, least)
         # A forest of stars: no parent has a parent, and every node has one parent.
-        roots = small.select(F.col("v").alias("u")).distinct()
-        if small.join(roots, "u", "left_semi").isEmpty() and small.groupBy("u").count().where("count > 1").isEmpty():
-            current = small
+        roots = current.select(F.col("v").alias("u")).distinct()
+        if current.join(roots, "u", "left_semi").isEmpty() and current.groupBy("u").count().where("count > 1").isEmpty():
             break
-        current = small
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(current.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
