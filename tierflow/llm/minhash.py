@@ -305,8 +305,7 @@ def first_round(shared: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     both = pairs.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
     best = both.mapInArrow(estimate, "a long, b long, e double").groupBy("a").agg(F.max_by("b", F.struct("e", -F.col("b"))).alias("b"))
     # The smallest class of a bucket may be that of many; Spark splits these plain joins where they are skewed.
-    met = materialize(best, "best")
-    return met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
+    return best.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
 
 
 def second_round(shared: DataFrame, classes: DataFrame, sets: DataFrame, linked_by: DataFrame, percent: int) -> DataFrame:
@@ -323,7 +322,7 @@ def second_round(shared: DataFrame, classes: DataFrame, sets: DataFrame, linked_
     placed = cells.join(sizes, ["band", "cell"]).withColumn("c", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
     # A member of chunk c goes to the tiles (c, j) and (i, c); a cell of one chunk has the tile (0, 0).
     spread = placed.withColumn("t", F.explode(F.expr("transform(sequence(0, k - 1), j -> struct(least(c, j) AS lo, greatest(c, j) AS hi))")))
-    rows = materialize(spread.select("band", "cell", "t.lo", "t.hi", "c", "step", "class", "comp"), "spread").join(info.select("class", "size", "packed"), "class").select(*TILE_ROW)
+    rows = spread.select("band", "cell", "t.lo", "t.hi", "c", "step", "class", "comp").join(info.select("class", "size", "packed"), "class").select(*TILE_ROW)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "band long, cell long, lo int, hi int, c int, step long, class long, comp long, size long, packed binary"
 
