@@ -112,17 +112,66 @@ def test_toxicity_of_a_passage_wherever_it_stands():
     insult = "you utter idiot and fool get lost right now".split()
     model = toxicity.fit([" ".join(rng.choice(calm, 20)) for _ in range(30)] + [" ".join([*rng.choice(calm, 12), *insult]) for _ in range(30)], [0] * 30 + [1] * 30, epochs=3)
     body = rng.choice(calm, 70).tolist()
-    texts = [" ".join([*body[:k], *insult, *body[k:]]) for k in range(61)] + ["", "one", " ".join(body[:16]), " ".join(body[:17])]
+    texts = [" ".join([*body[:k], *insult, *body[k:]]) for k in range(61)] + ["", "one", " ".join(body[:8]), " ".join(body[:9])]
     for text, score in zip(texts, toxicity.score_texts(model, pa.array(texts)), strict=True):
         words = text.split()
-        each = [" ".join(words[i : i + 16]) for i in range(max(1, len(words) - 15))]
+        each = [" ".join(words[i : i + toxicity.WINDOW]) for i in range(max(1, len(words) - toxicity.WINDOW + 1))]
         assert abs(toxicity.score_texts(model, pa.array(each)).max() - score) < 1e-5
     rows = toxicity.gate_rows(model, rng.standard_normal((40, toxicity.INPUT)).astype(np.float32))
     word = rng.integers(0, 40, 300)
-    plain = toxicity.logits(model, rows, word[np.arange(285)[:, None] + np.arange(16)])
+    plain = toxicity.logits(model, rows, word[np.arange(301 - toxicity.WINDOW)[:, None] + np.arange(toxicity.WINDOW)])
     assert np.allclose(toxicity.sweep(model, rows, word), plain, atol=1e-4)
 
 
+def test_network_equals_plain_loops():
+    """Scores of whole texts against the network written out with one number at a time."""
+    from math import exp, tanh
+
+    model = toxicity.fit(["you utter idiot there now my friend", "a calm day here by the sea and sun"] * 6, [1, 0] * 6, epochs=1)
+    w, H, K = model.w, toxicity.HIDDEN, toxicity.K
+
+    def sigmoid(x):
+        return 1 / (1 + exp(-x))
+
+    def vector(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        lo, hi = np.zeros(1, np.int64), np.array([len(data)])
+        framed = b"\1" + word.encode() + b"\2"
+        grams = []
+        for n in toxicity.GRAMS:
+            for i in range(len(framed) - n + 1):
+                key = n
+                for b in framed[i : i + n]:
+                    key = (key << 8 | b) % 2**64
+                grams.append(model.gram_vectors[int(K.mix(np.array([key], np.uint64))[0]) % toxicity.BUCKETS])
+        mean = np.sum(grams, axis=0) / len(framed) if grams else np.zeros(toxicity.DIM)
+        return [*model.word_vectors[int(K.span_hash(data, lo, hi)[0]) % toxicity.WORDS], *mean]
+
+    def run(inputs, wx, bx, u):
+        h, out = [0.0] * H, []
+        for x in inputs:
+            gate = [sum(a * wx[i][k] for i, a in enumerate(x)) + bx[k] for k in range(3 * H)]
+            z = [sigmoid(gate[k] + sum(h[m] * u[m][k] for m in range(H))) for k in range(H)]
+            r = [sigmoid(gate[H + k] + sum(h[m] * u[m][H + k] for m in range(H))) for k in range(H)]
+            c = [tanh(gate[2 * H + k] + r[k] * sum(h[m] * u[m][2 * H + k] for m in range(H))) for k in range(H)]
+            h = [z[k] * h[k] + (1 - z[k]) * c[k] for k in range(H)]
+            out.append(h)
+        return out
+
+    texts = ["You utter IDIOT there, now 7 go-away my über friend of old", "one two", "idiot"]
+    for text, score in zip(texts, toxicity.score_texts(model, pa.array(texts)), strict=True):
+        words = [vector(x) for x in re.findall(r"[a-z\u0080-\U0010ffff]+", text.lower())]
+        best = -1e9
+        for i in range(max(1, len(words) - toxicity.WINDOW + 1)):
+            part = words[i : i + toxicity.WINDOW]
+            one, two = run(part, w["wf"], w["bf"], w["uf"]), run(part[::-1], w["wb"], w["bb"], w["ub"])[::-1]
+            states = [[*a, *b] for a, b in zip(one, two, strict=True)]
+            weight = [exp(sum(a * b for a, b in zip(s, w["att"], strict=True))) for s in states]
+            pooled = [sum(x * s[k] for x, s in zip(weight, states, strict=True)) / sum(weight) for k in range(2 * H)]
+            best = max(best, sum(a * b for a, b in zip(pooled, w["out"], strict=True)) + w["bias"][0])
+        assert abs(sigmoid(best) - score) < 1e-5
+
+
 def test_network_gradient():
     """Back-propagation against differences."""
     model = toxicity.fit(["you idiot there now", "a calm day here"] * 6, [1, 0] * 6, epochs=1)
@@ -506,11 +555,13 @@ def test_samples_count_repeated_ids_once(spark):
     assert toxicity.training_sample(docs, labels) == (["yes no", "ja nein"], [0, 1])
 
 
-def test_toxic_sample_draws_among_short_texts(spark):
-    docs = spark.createDataFrame([(i, "x" * (100 if i < 40 else 9)) for i in range(50)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(50)], "doc_id long, toxic int")
-    texts, toxic = toxicity.training_sample(docs, labels, per_class=3, longest=50)
-    assert toxic == [0] * 3 + [1] * 3 and set(map(len, texts)) == {9}
+def test_toxic_sample_holds_whole_texts_within_its_bounds(spark):
+    docs = spark.createDataFrame([(i, "x" * (100 if i < 40 else 9)) for i in range(50)] + [(50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(51)], "doc_id long, toxic int")
+    texts, toxic = toxicity.training_sample(docs, labels, per_class=3)
+    assert toxic == [0] * 3 + [1] * 3 and set(map(len, texts)) <= {9, 100}
+    texts, toxic = toxicity.training_sample(docs, labels, characters=230)
+    assert all(sum(len(t) for t, y in zip(texts, toxic, strict=True) if y == k) <= 230 for k in (0, 1)) and {len(t) for t in texts} == {9, 100}
     with pytest.raises(ValueError, match="both classes"):
-        toxicity.training_sample(docs.where("doc_id < 40 OR doc_id % 2 = 0"), labels, longest=50)
+        toxicity.training_sample(docs.where("doc_id < 40 OR doc_id % 2 = 0"), labels, characters=50)
     assert toxicity.training_sample(docs.limit(0), labels) == ([], [])

@@ -1,22 +1,25 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word enters as two parts: a learned vector of the word itself and the mean of
-learned vectors of its byte n-grams (both hashed), with the strongest evidence
-of either, counted on the training documents, beside them. Two gated recurrent
-units read a window of ``WINDOW`` words forwards and backwards, attention pools
-their states, and a logistic unit scores the window. A text's score is that of
-its highest window; a window starts at every word that has ``WINDOW`` words from
-it on, so the score does not depend on where in the text a passage stands.
+learned vectors of its byte n-grams (both hashed). Two gated recurrent units
+read a window of ``WINDOW`` words forwards and backwards, attention pools their
+states, and a logistic unit scores the window. A text's score is that of its
+highest window; a window starts at every word that has ``WINDOW`` words from it
+on, so the score does not depend on where in the text a passage stands.
 
 Training is back-propagation through time in numpy. Labels are per document,
 so each round a toxic document teaches by its highest window, a clean one by
-its highest and a random one. At most ``PER_CLASS`` documents of each class of
-at most ``LONGEST`` characters are read for it; scoring reads whole texts.
+its highest and a random one. While the network knows nothing yet (the first
+``GUIDED`` rounds), the windows are chosen by the log odds of words and n-grams
+between the classes instead; these are no inputs. At most ``PER_CLASS`` whole
+documents and ``CHARACTERS`` characters of each class are read for training;
+scoring reads whole texts.
 
 Defined results: null and empty texts score as an empty window (below the
-threshold); repeated rows score alike; an empty table gives an empty table; with
-no label, or one class only, every text scores that class's share; other
-columns are ignored.
+threshold); texts of any length are scored whole; a null ``doc_id`` is scored
+and never learned from; repeated rows score alike, and count once in training;
+an empty table gives an empty table; with no label, or one class only, every
+text scores that class's share; other columns are ignored, or kept by name.
 """
 
 from __future__ import annotations
@@ -33,15 +36,17 @@ from . import bytekernel as K
 from .common import ship
 from .langid import distinct, sliced_words
 
-WINDOW = 16
+WINDOW = 8
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 WORDS = 1 << 16
-DIM = 5
-HIDDEN = 8
-PER_CLASS = 2000
-LONGEST = 5000
-EPOCHS = 6
+DIM = 8
+HIDDEN = 6
+PER_CLASS = 1000
+CHARACTERS = 6_000_000
+EPOCHS = 10
+#: Rounds in which counted evidence chooses the windows to learn from.
+GUIDED = 6
 #: Training steps at least; small samples go round more often, in smaller batches.
 LEAST_STEPS = 200
 #: A feature is evidence from this share of the toxic training documents on (and from three).
@@ -55,28 +60,22 @@ BATCH, CHUNK = 256, 2048
 class Model:
     gram_vectors: np.ndarray  # (BUCKETS + 1, DIM)
     word_vectors: np.ndarray  # (WORDS, DIM)
-    gram_evidence: np.ndarray  # (BUCKETS + 1,)
-    word_evidence: np.ndarray  # (WORDS,)
     w: dict[str, np.ndarray]
     constant: float | None = None
 
 
 def word_inputs(model: Model, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Input vectors of distinct words: word vector, mean gram vector, evidence of both."""
+    """Input vectors of distinct words: word vector and mean gram vector."""
     framed, off = K.framed(data, start, end)
     n = np.diff(off)
     sums = np.zeros((len(framed), DIM), np.float32)
-    most = np.zeros(len(framed), np.float32)
     for size in GRAMS:
-        b = K.gram_buckets(framed, off, size, BUCKETS)
-        sums += model.gram_vectors[b]
-        np.maximum(most, model.gram_evidence[b], out=most)
-    w = (hashes % np.uint64(WORDS)).astype(np.int64)
+        sums += model.gram_vectors[K.gram_buckets(framed, off, size, BUCKETS)]
     grams = np.add.reduceat(sums, off[:-1], axis=0) / n[:, None]
-    return np.concatenate([model.word_vectors[w], grams, model.word_evidence[w][:, None], np.maximum.reduceat(most, off[:-1])[:, None]], axis=1).astype(np.float32)
+    return np.concatenate([model.word_vectors[(hashes % np.uint64(WORDS)).astype(np.int64)], grams], axis=1).astype(np.float32)
 
 
-INPUT = 2 * DIM + 2
+INPUT = 2 * DIM
 
 
 def windows(text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,7 +248,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
         return (rng.standard_normal(shape) * 0.2).astype(np.float32)
 
     w = {"wf": small(INPUT, 3 * H), "wb": small(INPUT, 3 * H), "bf": np.zeros(3 * H, np.float32), "bb": np.zeros(3 * H, np.float32), "uf": small(H, 3 * H), "ub": small(H, 3 * H), "att": small(2 * H), "out": small(2 * H), "bias": np.array([-2.0], np.float32)}
-    model = Model(small(BUCKETS + 1, DIM), small(WORDS, DIM), np.zeros(BUCKETS + 1, np.float32), np.zeros(WORDS, np.float32), w)
+    model = Model(small(BUCKETS + 1, DIM), small(WORDS, DIM), w)
     model.gram_vectors[BUCKETS] = 0
     y = np.asarray(toxic)
     if not len(y) or y.min() == y.max():
@@ -295,12 +294,16 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
         odds = np.log((one + 0.5) / (y.sum() + 1)) - np.log((none + 0.5) / ((1 - y).sum() + 1))
         return np.where(one >= max(3, LEAST_SHARE * y.sum()), np.clip(odds, 0, 6), 0).astype(np.float32) / 3
 
-    model.word_evidence, model.gram_evidence = evidence(*counts["word"]), evidence(*counts["gram"])
-    model.gram_evidence[BUCKETS] = 0
+    word_evidence, gram_evidence = evidence(*counts["word"]), evidence(*counts["gram"])
+    gram_evidence[BUCKETS] = 0
 
     begin, end, of_doc = windows(doc, len(y))
     strongest = np.zeros(n_words, np.float32)
-    np.maximum.at(strongest, of_word, model.gram_evidence[bucket])
+    np.maximum.at(strongest, of_word, gram_evidence[bucket])
+    hint = np.append(np.maximum(word_evidence[lexicon], strongest)[word], np.float32(0))
+    guide = np.zeros(len(begin), np.float32)
+    for k in range(WINDOW):
+        np.maximum(guide, np.where(begin + k < end, hint[np.minimum(begin + k, len(word))], 0), out=guide)
 
     def inputs(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs of some distinct words; their grams' buckets and whose they are."""
@@ -309,8 +312,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
         b = bucket[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int64)
         who = np.repeat(np.arange(len(which)), n)
         means = np.stack([np.bincount(who, model.gram_vectors[b, k], len(which)) for k in range(DIM)], axis=1) / length[which, None]
-        x = np.concatenate([model.word_vectors[lexicon[which]], means, model.word_evidence[lexicon[which]][:, None], strongest[which, None]], axis=1)
-        return x.astype(np.float32), b, who
+        return np.concatenate([model.word_vectors[lexicon[which]], means], axis=1).astype(np.float32), b, who
 
     def nudge(vectors: np.ndarray, squares: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
         """AdaGrad on the rows ``at`` (repeats add up)."""
@@ -325,15 +327,11 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
     every = np.arange(n_words)
     batch = max(32, min(BATCH, 2 * len(y) // 12))
     for epoch in range(max(epochs, LEAST_STEPS * batch // (2 * len(y)))):
-        if epoch == 0:  # before anything is learned, the evidence points at the window
-            hint = np.append(np.maximum(model.word_evidence[lexicon], strongest)[word], np.float32(0))
-            score = np.zeros(len(begin), np.float32)
-            for k in range(WINDOW):
-                np.maximum(score, np.where(begin + k < end, hint[np.minimum(begin + k, len(word))], 0), out=score)
+        if epoch < GUIDED:
+            score = guide + rng.random(len(guide), np.float32) * np.float32(0.01)  # ties by chance
         else:
             x = np.concatenate([inputs(every[a : a + 20_000])[0] for a in range(0, n_words, 20_000)])
-            gates = gate_rows(model, x)
-            score = window_logits(model, gates, word, begin, end)
+            score = window_logits(model, gate_rows(model, x), word, begin, end)
         best = np.lexsort((-score, of_doc))
         first = best[np.searchsorted(of_doc[best], np.arange(len(y)))]
         clean = np.flatnonzero(y[of_doc] == 0)
@@ -382,26 +380,33 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
     return out
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> tuple[list[str], list[int]]:
-    """At most ``per_class`` labelled documents of each class, those with the smallest hashes: 2 * per_class * longest characters on the driver at most."""
-    short = docs.where(F.length("text") <= longest).select("doc_id", "text")
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, characters: int = CHARACTERS) -> tuple[list[str], list[int]]:
+    """Whole labelled texts of each class, in the order of a hash of their ids: at most ``per_class``, and ``characters`` in all.
+
+    A text that does not fit into what is left of the characters is passed over,
+    so the driver holds 2 * ``characters`` at most, and long texts are learned from.
+    """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # The bound on the length comes before the draw, so that long texts take no place in it.
-    placed = known.withColumn("place", place).join(short.select("doc_id"), "doc_id", "left_semi")
-    first = [placed.where(F.col("toxic") == k).orderBy("place", "doc_id").limit(int(1.3 * per_class)) for k in (0, 1)]
-    # The two limits bound the drawn ids, so they are broadcast and texts are not shuffled.
-    drawn = F.broadcast(first[0].union(first[1]))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 30))
+    with_text = docs.where("text IS NOT NULL").select("doc_id", "text")
     # Rows that repeat an id count once, so that they cannot crowd the driver.
-    rows = short.join(drawn, "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text")).collect()
+    sizes = with_text.select("doc_id", F.length("text").alias("chars")).join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.max("chars").alias("chars")).withColumn("place", place)
+    drawn: list[int] = []
+    for k in (0, 1):
+        n, left = 0, characters
+        for r in sizes.where(F.col("toxic") == k).orderBy("place", "doc_id").limit(2 * per_class).collect():
+            if n < per_class and r["chars"] <= left:
+                n, left = n + 1, left - r["chars"]
+                drawn.append(r["doc_id"])
+    # At most 2 * per_class ids, so they are broadcast and texts are not shuffled.
+    ids = docs.sparkSession.createDataFrame([(i,) for i in drawn], known.select("doc_id").schema)
+    rows = with_text.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).join(known, "doc_id").withColumn("place", place).collect() if drawn else []
     by: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: (r["place"], r["text"])):
-        group = by[int(r["toxic"] > 0)]
-        if len(group) < per_class:
-            group.append(r["text"])
+        by[int(r["toxic"])].append(r["text"])
     # A table without labelled texts, or labels of one class, give a constant model; a lost class is an error.
-    if not (by[0] and by[1]) and known.select("toxic").distinct().count() == 2 and not docs.where("text IS NOT NULL").join(known, "doc_id", "left_semi").isEmpty():
-        raise ValueError(f"labels hold both classes, but only {len(by[0])} clean and {len(by[1])} toxic texts have at most {longest} characters")
+    if not (by[0] and by[1]) and sizes.select("toxic").distinct().count() == 2:
+        raise ValueError(f"texts of both classes are labelled, but only {len(by[0])} clean and {len(by[1])} toxic ones have at most {characters} characters")
     return by[0] + by[1], [0] * len(by[0]) + [1] * len(by[1])
 
 
