@@ -415,6 +415,60 @@ def test_mixing(spark):
     assert mixing.taken(docs.limit(0)).count() == 0
 
 
+def test_mix_equals_a_plain_walk_over_slots(spark, monkeypatch):
+    """Every document's words, slot by slot, and the shards that a draw gives."""
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    rnd = random.Random(19)
+    rows = [(i, " ".join(f"{i}w{k}" for k in range(rnd.randrange(1, 90))), rnd.choice(["a", "b", "b", "b", None])) for i in range(80)]
+    rows += [rows[3], rows[3], (5, "x " * 40, "a"), (None, "y " * 50, "b"), (None, None, "b"), (7, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = mixing.placed_documents(docs).collect()
+    recipe, written = mixing.mix(docs, shard_words=300)
+    recipe, written = recipe.collect(), written.collect()
+    assert len(placed) == len(rows)
+    want, total = {}, {}
+    for r in recipe:
+        mine = sorted((p for p in placed if p.source == r.source and p.size), key=lambda p: p.at)
+        stream = [(p["__key_a"], p["__key_b"], p.copy, k) for p in mine for k in range(p["size"])]
+        assert [p.at for p in mine] == [sum(q["size"] for q in mine[:k]) for k in range(len(mine))] and len(stream) == r.source_size
+        blocks = [stream[k : k + 16] for k in range(0, len(stream), 16)]
+        left, slot = round(min(r.target, 3 * r.source_size)), 0
+        while left > 0:
+            nth, place = divmod(slot, len(blocks))
+            block = int(mixing.permute(np.array([place]), np.array([len(blocks)]), np.array([mixing.source_seed(r.source)]))[0])
+            for word in blocks[block][:left]:
+                want[r.source, nth, block, word] = 1
+            left -= len(blocks[block])
+            slot += 1
+        total[r.source] = slot
+    got = {(w.source, w["pass"], w.block, (w["__key_a"], w["__key_b"], w.copy, k)): 1 for w in written if w["pass"] is not None for k in range(w.lo, w.hi)}
+    assert got == want
+    by_doc = {}
+    for (_, _, _, (a, b, copy, _)) in want:
+        by_doc[a, b, copy] = by_doc.get((a, b, copy), 0) + 1
+    assert sorted(r.taken for r in mixing.taken(docs).collect()) == sorted(by_doc.get((p["__key_a"], p["__key_b"], p.copy), 0) for p in placed)
+    # Another draw: other shards, the same slots.
+    _, other = mixing.mix(docs, draw=1, shard_words=300)
+    shards = [{(w.source, w["pass"], w.block): w.shard for w in x if w["pass"] is not None} for x in (written, other.collect())]
+    assert shards[0].keys() == shards[1].keys() and shards[0] != shards[1] and len(set(shards[0].values())) > 4
+    assert {s: sum(k[0] == s for k in shards[0]) for s in total} == total
+    for shard in set(shards[0].values()):  # written in the order of the slots
+        turns = [w.turn for w in written if w.shard == shard]
+        assert turns == sorted(turns)
+
+
+def test_shards_are_one_multinomial_draw():
+    total, depth = 5000, 4
+    whole = mixing.shards_of(0, total, total, depth, 7)
+    parts = np.concatenate([mixing.shards_of(lo, min(lo + 777, total), total, depth, 7) for lo in range(0, total, 777)])
+    assert (whole == parts).all() and (np.diff(whole) >= 0).all()
+    counts = np.bincount(whole, minlength=16)
+    assert counts.sum() == total and counts.std() > 0 and ((counts - total / 16) ** 2 / (total / 16)).sum() < 45
+    many = np.array([np.bincount(mixing.shards_of(0, 64, 64, 2, s), minlength=4) for s in range(400)])
+    assert abs(many.mean(0) - 16).max() < 0.8 and abs(many.var(0) - 12).max() < 4  # n p and n p (1 - p)
+    assert mixing.shards_of(0, 3, 3, 0, 1).tolist() == [0, 0, 0]
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 257):
         got = mixing.permute(np.arange(n), np.full(n, n), np.full(n, 77))
@@ -509,6 +563,59 @@ def test_pipeline_stages(spark):
     assert pieces.agg(F.sum("length")).first()[0] > 0 and pieces.where("length > 2048").count() == 0
 
 
+def clashing(spark):
+    """Documents, some of them odd, with columns named as the operators name theirs."""
+    rnd = random.Random(21)
+    table = pd.read_parquet(f"{SF}/documents.parquet").head(60)
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table.itertuples()]
+    rows += [rows[0], rows[0], (rows[1][0], rows[2][1], None, None, 5), (None, rows[3][1] + " end", "en", "src1", 5), (None, None, None, None, None), (900, "", "en", "src1", 0), (901, "12 34 !!", "en", "src1", 0), (902, rows[4][1] * 30, rows[4][2], "src2", 0)]
+    names = ["size", "whole", "los", "his", "lang_pred", "share", "score", "predicted", "pass", "shard", "class", "component", "copy", "at", "key_a"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in names)
+    return spark.createDataFrame([(*r, *[rnd.randrange(9) for _ in names]) if k != 1 else (*r, *[None] * len(names)) for k, r in enumerate(rows)], schema)
+
+
+@tables
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    docs = clashing(spark)
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "packing" or out.schema.simpleString() == docs.schema.simpleString()
+        rows = out.collect()
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.columns == out.columns and empty.count() == 0
+        if name in ("language", "toxicity", "near_duplicates"):
+            before = sorted(map(repr, docs.collect()))
+            assert all(repr(r) in before for r in rows)
+        if name == "toxicity":
+            assert any(r.doc_id is None for r in rows)
+
+
+@tables
+def test_language_stage_equals_brute_force(spark):
+    """What goes: no letter, no language with the share, or another one than the label; posteriors by plain forward-backward."""
+    import corpus_pipeline as cp
+
+    docs = clashing(spark)
+    first = docs.where("doc_id = 0").limit(1)  # a German text under another label
+    docs = docs.unionByName(first.withColumns({"doc_id": F.lit(903).cast("long"), "lang": F.lit("fr")}))
+    kept = sorted(map(repr, cp.language(spark, docs, SF).collect()))
+    model = langid.learn(docs.where(entries.crc_mod("doc_id", 5) != 0))
+    want = []
+    for r in docs.collect():
+        words = [[*langid.sliced_words(pa.array([r.text or ""]))][0]]
+        _, _, data, start, end, _ = words[0]
+        if not re.search(r"[^\W\d_]", r.text or "") or not len(start):
+            continue
+        e = np.stack([langid.emissions(model, langid.K.span_hash(data, start[k : k + 1], end[k : k + 1]), data, start[k : k + 1], end[k : k + 1])[0] for k in range(len(start))]).astype(float)
+        post, _, _ = langid._posteriors(e[None], model.moves, model.start)
+        share = post[0].mean(0)
+        if share.max() >= cp.LEAST_SHARE and r.lang in (None, model.labels[share.argmax()]):
+            want.append(repr(r))
+    assert kept == sorted(want) and len(kept) < docs.count() - 3
+
+
 def odd_ids(spark):
     """Rows of null ids, fully repeated rows, and two texts under one id, each with a copy elsewhere."""
     text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}

@@ -43,14 +43,26 @@ def crc_mod(column: str, divisor: int):
 
 
 #: The columns of a row's key.
-ROW_KEY = ["key_a", "key_b"]
+ROW_KEY = ["__key_a", "__key_b"]
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
     """``df`` with 128 bits of hash of the whole row, never null; only fully repeated rows share a key."""
     # A hash passes over nulls, so each column also says whether it is null.
     said = [x for c in df.columns for x in (F.col(c), F.col(c).isNull())]
-    return df.withColumns({"key_a": F.xxhash64(*said), "key_b": F.xxhash64(F.lit(1), *said)})
+    return df.withColumns({ROW_KEY[0]: F.xxhash64(*said), ROW_KEY[1]: F.xxhash64(F.lit(1), *said)})
+
+
+def spare_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names for new columns that no column of ``df`` has, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        out.append(name)
+        taken.add(name.lower())
+    return tuple(out)
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -14,9 +14,10 @@ Training reads at most ``PER_LANGUAGE`` labelled documents of each language, a
 stretch of ``STRETCH`` characters of each; prediction reads whole texts.
 
 Defined results: ``und`` and score 0 for null texts, for texts without a letter,
-and where no row was labelled; null labels are never learned; repeated rows
-are predicted alike; ties go to the first language in code-point order; an
-empty table gives an empty table; other columns are ignored.
+and where no row was labelled; null labels are never learned; a null ``doc_id``
+is predicted like any other; texts of any length are predicted whole; repeated
+rows are predicted alike; ties go to the first language in code-point order; an
+empty table gives an empty table; other columns are ignored, or kept by name.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SPAN = 32
 PER_LANGUAGE = 1000
 STRETCH = 1000
 EPOCHS = 6
+#: More labels than this are an error: the model's size goes with their number.
+MOST_LANGUAGES = 500
 
 
 @dataclass
@@ -101,13 +104,18 @@ def marginals(e: np.ndarray, text: np.ndarray, n_texts: int, moves: np.ndarray,
     active = np.searchsorted(-size, -np.arange(1, SPAN + 1), "right")
     rank = np.empty(b, np.int64)
     rank[order] = np.arange(b)
+    # A text's first word has no transition into it.
+    opens = (nth == 0)[order]
     # 1. Each block's transfer matrix.
     m = np.broadcast_to(np.eye(L), (b, L, L)).copy()
     for t in range(SPAN):
         k = active[t]
         if not k:
             break
-        step = (m[:k].reshape(-1, L) @ a).reshape(k, L, L) * e[begin[:k] + t][:, None, :]
+        moved = (m[:k].reshape(-1, L) @ a).reshape(k, L, L)
+        if t == 0:
+            moved[opens] = m[opens]
+        step = moved * e[begin[:k] + t][:, None, :]
         m[:k] = step / step.max(axis=(1, 2), keepdims=True)
     # 2. Messages into each block, over the blocks of a text.
     into = np.empty((b, L))
@@ -115,8 +123,7 @@ def marginals(e: np.ndarray, text: np.ndarray, n_texts: int, moves: np.ndarray,
     deepest = int(per_text.max())
     texts = np.argsort(-per_text, kind="stable")
     depth = np.searchsorted(-per_text[texts], -np.arange(1, deepest + 1), "right")
-    # The first word has no transition: this vector gives the start potentials after one.
-    v = np.broadcast_to(np.exp(start - start.max()) @ np.linalg.pinv(a), (n_texts, L)).copy()
+    v = np.broadcast_to(np.exp(start - start.max()), (n_texts, L)).copy()
     for k in range(deepest):
         at = rank[first_block[texts[: depth[k]]] + k]
         into[at] = v[: depth[k]]
@@ -136,7 +143,7 @@ def marginals(e: np.ndarray, text: np.ndarray, n_texts: int, moves: np.ndarray,
         k = active[t]
         if not k:
             break
-        v = (v[:k] @ a) * e[begin[:k] + t]
+        v = (np.where(opens[:, None], v, v @ a) if t == 0 else v[:k] @ a) * e[begin[:k] + t]
         v /= v.sum(1, keepdims=True)
         forward[t, :k] = v
     summed = np.zeros((b, L))
@@ -268,7 +275,9 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tu
     Returns to the driver (number of languages) * ``per_language`` * ``STRETCH`` characters at most, about.
     """
     # One number per language, as the model itself has: the filter needs no join, so texts are not shuffled.
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: is this column one of languages?")
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * per_language / n))])
@@ -285,14 +294,14 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tu
     return [t for x in by.values() for t in x], [k for k, x in by.items() for _ in x]
 
 
-def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns``, ``lang_pred, score`` for every row; the model is a broadcast of fixed size."""
+def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``columns`` and the language and score under the names ``out`` for every row; the model is a broadcast of fixed size."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*columns) if "text" in columns else docs.select(*columns, "text")
     at = kept.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in columns) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in columns) + f", `{out[0]}` string, `{out[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -312,7 +321,7 @@ def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",
             pred = names[np.where(known, best, len(model.labels))]
             score = np.where(known, sums[np.arange(len(best)), best] / np.maximum(n, 1e-300), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in range(len(columns))] + [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*columns, "lang_pred", "score"]
+                [batch.column(k) for k in range(len(columns))] + [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*columns, *out]
             )
 
     return kept.mapInArrow(run, schema)

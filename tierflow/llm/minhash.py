@@ -132,9 +132,9 @@ def estimated(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, key_a, key_b, n_shingles, fingerprint, bands, packed`` of rows with keys; the last three are null for an empty set."""
+    """``doc_id``, row key, ``n_shingles, fingerprint, bands, packed`` of rows with keys; the last three are null for an empty set."""
     ship(docs.sparkSession)
-    schema = "doc_id long, key_a long, key_b long, n_shingles long, fingerprint binary, bands array<long>, packed binary"
+    schema = f"doc_id long, {ROW_KEY[0]} long, {ROW_KEY[1]} long, n_shingles long, fingerprint binary, bands array<long>, packed binary"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.trimmed(batches):
@@ -261,7 +261,7 @@ def _tile_arrays(rows: pa.Table, number: np.ndarray) -> tuple[dict[str, np.ndarr
 
 
 def member_sets(keyed: DataFrame, members: DataFrame) -> DataFrame:
-    """``class, shingles`` of the classes in ``members(class, key_a, key_b)``, from the text of the row that has the key."""
+    """``class, shingles`` of the classes in ``members(class, row key)``, from the text of the row that has the key."""
     spark = keyed.sparkSession
     place = F.explode(F.array(*[F.pmod(F.col(k), F.lit(FILTER_BITS)) for k in ROW_KEY])).alias("p")
     words = members.select(place).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).collect()
@@ -280,7 +280,7 @@ def member_sets(keyed: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.binary())], names=[*ROW_KEY, "shingles"])
 
     # Only fully repeated rows share a key; their copies fall away in the tasks that read them.
-    sets = keyed.select(*ROW_KEY, "text").mapInArrow(with_sets, "key_a long, key_b long, shingles binary").dropDuplicates(ROW_KEY)
+    sets = keyed.select(*ROW_KEY, "text").mapInArrow(with_sets, f"{ROW_KEY[0]} long, {ROW_KEY[1]} long, shingles binary").dropDuplicates(ROW_KEY)
     return sets.join(members.hint("merge"), ROW_KEY).select("class", "shingles")
 
 
@@ -355,7 +355,7 @@ def second_round(shared: DataFrame, classes: DataFrame, sets: DataFrame, linked_
 
 
 def linked_classes(keyed: DataFrame, percent: int, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows ``doc_id, key_a, key_b, n_shingles, class`` of a table with row keys, the classes, and confirmed links of classes.
+    """The rows ``doc_id``, row key, ``n_shingles, class`` of a table with row keys, the classes, and confirmed links of classes.
 
     A class is a shingle set; its number is given when the classes are written.
     Without ``null_ids`` rows without id have no class.
@@ -413,7 +413,7 @@ def without_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW_KEY)
     leads = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("lead"))
     leads = leads.join(merged, "class", "left").groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("lead").alias("lead"))
-    leads = leads.select("lead.key_a", "lead.key_b", F.lit(True).alias("leads"))
+    leads = leads.select(*[f"lead.{k}" for k in ROW_KEY], F.lit(True).alias("leads"))
     each = rows.groupBy(*ROW_KEY).agg(F.count("*").alias("n"), F.first("class").alias("class")).join(leads, ROW_KEY, "left")
     gone = F.col("class").isNotNull() & F.col("leads").isNull()
     changed = materialize(each.select(*ROW_KEY, gone.alias("gone"), "n").where("gone OR n > 1").select(*ROW_KEY, "gone"), "changed")

@@ -8,8 +8,12 @@ pseudorandom permutation of block indexes, and slots and blocks are joined by
 (source, index). The last slot may be cut short, so that a source takes its
 target to the word.
 
-How a source's slots fall on output shards is a multinomial draw of its exact
-total (``shard_ends``), so shards differ by chance and sources do not.
+The mix is written by output shard, of about ``SHARD_WORDS`` words each. How many
+slots of a source a shard holds is a multinomial draw of the source's exact
+total, made by halving: a binomial draw for every node of a binary tree of
+shards, so a task draws only what its own slots need. Shards differ by chance
+and sources do not. Inside a shard the sources' slots are shuffled. What a
+document gives (``taken``, ``mixed_documents``) is read from the written mix.
 
 Targets: weights share all words; a source stops at ``limit`` times its size
 and the excess is reshared by weight among the others. That is one cut over
@@ -20,8 +24,10 @@ source is one row each. Nothing per document leaves the executors.
 
 Defined results: null text has size 0; null source is a source, last in order;
 a document of size 0 takes 0; a ``doc_id`` may be null or stand in many rows;
-repeated rows are documents of their own (they are told apart by position, not by
-id); an empty table gives an empty table.
+repeated rows are documents of their own: they are counted before they are
+placed, and told apart by their number; texts of any length are counted and cut
+whole; an empty table gives an empty table; other columns, whatever their
+names, are ignored by ``taken`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -32,14 +38,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, SPACE_CLASS, materialize, ship, with_row_key
+from .common import ROW_KEY, SPACE_CLASS, discard, materialize, ship, with_row_key
 
 BLOCK = 128
 LIMIT = 3
-SHARDS = 64
+#: Words of an output shard, about: the number of shards is a power of two.
+SHARD_WORDS = 1 << 18
 SEED = 20240229
 
 
@@ -102,19 +110,24 @@ def source_seed(source: str | None, seed: int = SEED) -> int:
     return (zlib.crc32(repr(source).encode()) << 20) ^ seed
 
 
-def shard_ends(slots: int, source: str | None, shards: int) -> np.ndarray:
-    """Running ends of a source's slots on the output shards: a multinomial draw of its exact total.
-
-    The seed is the source's own, so every task draws the same.
-    """
-    rng = np.random.default_rng(source_seed(source))
-    return np.cumsum(rng.multinomial(slots, np.full(shards, 1 / shards)))
+def shards_of(lo: int, hi: int, total: int, depth: int, seed: int) -> np.ndarray:
+    """Output shard, of 2^depth, of a source's slots lo .. hi-1 out of ``total``: a multinomial draw by halving."""
+    nodes = [(0, total, 0)]  # first slot, slots, number in its level
+    for level in range(depth):
+        halves = []
+        for first, count, number in nodes:
+            left = int(np.random.default_rng([seed, level, number]).binomial(count, 0.5))
+            halves += [n for n in ((first, left, 2 * number), (first + left, count - left, 2 * number + 1)) if n[0] < hi and n[0] + n[1] > lo]
+        nodes = halves
+    ends = np.array([first + count for first, count, _ in nodes])
+    return np.array([number for _, _, number in nodes])[np.searchsorted(ends, np.arange(lo, hi), "right")]
 
 
-def slot_table(recipe: DataFrame, shards: int = SHARDS, per_task: int = 100_000) -> DataFrame:
-    """The mix as slots: ``source, block, pass, shard, words``; ``words`` are the block's leading words that the slot takes.
+def slot_table(recipe: DataFrame, depth: int, draw: int = SEED, per_task: int = 100_000) -> DataFrame:
+    """The mix as slots: ``source, block, pass, shard, turn, words``; ``words`` are the block's leading words that the slot takes.
 
-    ``recipe`` has ``source, source_size, target`` and ``n_blocks``.
+    ``turn`` orders the slots of a shard. ``recipe`` has ``source, source_size,
+    target`` and ``n_blocks``; ``draw`` seeds how slots fall on shards, and nothing else.
     """
     ship(recipe.sparkSession)
     plan = (
@@ -139,14 +152,27 @@ def slot_table(recipe: DataFrame, shards: int = SHARDS, per_task: int = 100_000)
                 length = np.where(block == r.n_blocks - 1, tail, BLOCK)
                 part = np.clip(r.rest - before, 0, length)
                 last = -(-max(0, r.rest - tail) // BLOCK) + 1 if r.rest else 0
-                ends = shard_ends(r.passes * r.n_blocks + min(last, r.n_blocks), source, shards)
+                total = int(r.passes * r.n_blocks + min(last, r.n_blocks))
                 for k in range(r.passes + 1):
                     words = length if k < r.passes else part
-                    out = pd.DataFrame({"block": block, "pass": k, "shard": np.minimum(np.searchsorted(ends, k * r.n_blocks + place, "right"), shards - 1), "words": words})
+                    some = np.flatnonzero(words > 0)
+                    if not len(some):
+                        continue
+                    number = k * r.n_blocks + place[some]
+                    shard = shards_of(int(number[0]), int(number[-1]) + 1, total, depth, source_seed(source, draw))[number - number[0]]
+                    out = pd.DataFrame({"block": block[some], "pass": k, "shard": shard, "turn": mixed(number, seed), "words": words[some]})
                     out.insert(0, "source", pd.Series([source] * len(out), dtype=object))
-                    yield out[out.words > 0]
+                    yield out
+
+    split = pieces.select("source", "source_size", "n_blocks", "passes", "rest", "lo").repartition("source", "lo")
+    return split.mapInPandas(slots, "source string, block long, pass int, shard long, turn long, words long")
+
 
-    return pieces.select("source", "source_size", "n_blocks", "passes", "rest", "lo").repartition("source", "lo").mapInPandas(slots, "source string, block long, pass int, shard int, words long")
+def mixed(number: np.ndarray, seed: int) -> np.ndarray:
+    """A pseudorandom order of slots."""
+    h = (number.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (h >> np.uint64(1)).astype(np.int64)
 
 
 def place_of(block: int, size: int, seed: int) -> int:
@@ -167,39 +193,39 @@ def place_of(block: int, size: int, seed: int) -> int:
 
 
 def placed_documents(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns``, ``source, size, at, key_a, key_b, bucket, nth``: the first word's place in the source's stream.
+    """``columns``, ``source, size, at``, row key and ``copy``: the first word's place in the source's stream.
 
-    ``source, bucket, nth`` is a row's own, also where rows repeat or are empty.
+    The row key and ``copy`` are a row's own, also where rows repeat or are empty.
 
-    The order inside a source is by a hash, dealt into as many buckets as makes
-    bucket totals and bucket contents about equally many: two windows, neither
-    over a whole source.
+    The order inside a source is by the row key, dealt into as many buckets as
+    makes bucket totals and bucket contents about equally many: two windows,
+    neither over a whole source. Rows that repeat are one entry until they have a place.
     """
-    spark = docs.sparkSession
-    rows = docs.count()
-    buckets = max(16, int(rows**0.5))
-    hashed = with_row_key(docs).withColumn("size", word_count()).withColumn("h", F.xxhash64(*[F.col(c) for c in columns], "source"))
-    base = hashed.select(*columns, *ROW_KEY, "source", "size", "h", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"))
-    base = materialize(base, "sizes")
-    totals = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    buckets = max(16, int(docs.count() ** 0.5))
+    hashed = with_row_key(docs).withColumn("size", word_count()).select(*columns, *ROW_KEY, "source", "size")
+    entries = hashed.groupBy(*columns, *ROW_KEY, "source", "size").agg(F.count("*").alias("copies"))
+    base = materialize(entries.withColumn("bucket", F.pmod(ROW_KEY[0], F.lit(buckets)).cast("int")), "sizes")
+    words = F.col("size") * F.col("copies")
+    totals = base.groupBy("source", "bucket").agg(F.sum(words).alias("words"))
     ahead = totals.withColumn("ahead", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    order = Window.partitionBy("source", "bucket").orderBy("h", *[F.col(c) for c in columns], "size", *ROW_KEY)
-    within = order.rowsBetween(Window.unboundedPreceding, -1)
-    inner = base.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("nth", F.row_number().over(order)).withColumn("s", _key())
-    ahead = ahead.select(_key().alias("s"), "bucket", "ahead")
-    return inner.join(ahead, ["s", "bucket"]).select(*columns, "source", "size", (F.col("inner") + F.col("ahead")).alias("at"), *ROW_KEY, "bucket", "nth")
+    within = Window.partitionBy("source", "bucket").orderBy(*ROW_KEY).rowsBetween(Window.unboundedPreceding, -1)
+    inner = base.withColumn("inner", F.coalesce(F.sum(words).over(within), F.lit(0))).withColumn("s", _key())
+    every = inner.join(ahead.select(_key().alias("s"), "bucket", "ahead"), ["s", "bucket"]).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    return every.select(*columns, "source", "size", (F.col("inner") + F.col("ahead") + F.col("copy") * F.col("size")).alias("at"), *ROW_KEY, "copy")
 
 
-def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """The recipe by source, and the mix: one row per document and slot that takes words of it.
+def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), draw: int = SEED, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The recipe by source, and the written mix, by shard and in the order of its slots: one row per document and slot that takes words of it.
 
-    ``columns, source, size, at, key_a, key_b, bucket, nth, pass, shard, lo, hi``: the
-    slot takes the document's words lo .. hi-1. A document that no slot uses has one row with null ``pass``.
+    ``columns, source, size``, row key, ``copy, pass, shard, turn, block, lo, hi``: the slot
+    takes the document's words lo .. hi-1. A document that no slot uses has one row with null ``pass``.
     """
     placed = materialize(placed_documents(docs, columns), "placed")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     recipe = materialize(source_targets(sizes).withColumn("n_blocks", F.ceil(F.col("source_size") / BLOCK).cast("long")), "recipe")
-    slots = slot_table(recipe, shards).select(_key().alias("s"), "block", "pass", "shard", "words")
+    words = recipe.agg(F.sum("target")).first()[0] or 0
+    depth = max(0, int(np.ceil(np.log2(max(1, words / shard_words)))))
+    slots = slot_table(recipe, depth, draw).withColumn("s", _key()).drop("source")
     pieces = placed.withColumn("block", F.explode_outer(F.expr(f"CASE WHEN size > 0 THEN sequence(at div {BLOCK}, (at + size - 1) div {BLOCK}) END"))).withColumn("s", _key())
     # The planner takes slots for small, since they come from a row per source; they grow with the words.
     used = pieces.join(slots.hint("merge"), ["s", "block"], "left")
@@ -207,13 +233,19 @@ def mix(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), shards: int = S
     lo = F.greatest(first, F.lit(0))
     hi = F.least(F.col("size"), first + F.coalesce("words", F.lit(0)))  # least() passes over nulls
     cut = used.withColumn("lo", lo).withColumn("hi", F.greatest(hi, lo))
-    return recipe, cut.select(*columns, "source", "size", "at", *ROW_KEY, "bucket", "nth", "pass", "shard", "lo", "hi")
+    rows = cut.select(*columns, "source", "size", *ROW_KEY, "copy", "pass", "shard", "turn", "block", "lo", "hi")
+    # Shards are alike in size, so they deal out evenly; what no slot uses has no shard and goes anywhere.
+    home = F.coalesce("shard", F.pmod(ROW_KEY[0], F.lit(1 << depth)))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    written = materialize(rows.repartition(n, home).sortWithinPartitions("shard", "turn", "lo"), "mix")
+    discard(placed)
+    return recipe, written
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id, size, source_size, target, taken``."""
     recipe, used = mix(docs)
-    per_doc = used.groupBy("doc_id", "source", "bucket", "nth", "size").agg(F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0)).cast("long").alias("taken"))
+    per_doc = used.groupBy("doc_id", "source", *ROW_KEY, "copy", "size").agg(F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0)).cast("long").alias("taken"))
     rules = recipe.select(_key().alias("s"), F.col("source_size").cast("long").alias("source_size"), "target")
     # One row per source: Spark broadcasts it while it is under its own size bound, else it shuffles.
     return per_doc.withColumn("s", _key()).join(rules, "s").select("doc_id", "size", "source_size", "target", "taken")
@@ -227,31 +259,33 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     names = docs.columns
-    _, used = mix(docs)
+    # Columns are numbered on the way, so their names clash with nothing.
+    plain = docs.toDF(*[c if c in ("text", "source") else f"__c{k}" for k, c in enumerate(names)])
+    text_at = names.index("text")
+    chars_at = names.index("n_chars") if "n_chars" in names else None
+    fields = plain.columns
+    _, used = mix(plain, ())
     stretches = (
         used.where("pass IS NOT NULL AND hi > lo")
-        .groupBy(*ROW_KEY, "source", "bucket", "nth", "pass")
+        .groupBy(*ROW_KEY, "copy", "pass")
         .agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("parts"), F.first("size").alias("size"))
-        .select(*ROW_KEY, "pass", "size", F.transform("parts", lambda p: p["lo"]).alias("los"), F.transform("parts", lambda p: p["hi"]).alias("his"))
+        .select(*ROW_KEY, "size", F.transform("parts", lambda p: p["lo"]).alias("los"), F.transform("parts", lambda p: p["hi"]).alias("his"))
     )
     whole = F.expr("aggregate(zip_with(his, los, (h, l) -> h - l), 0L, (a, x) -> a + x) = size")
     # Each of k repeated rows has its own stretches, so their text meets them once.
-    copy = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy(*ROW_KEY))
-    texts = with_row_key(docs).withColumn("copy", copy).where("copy = 1").select(*names, *ROW_KEY)
-    joined = texts.join(stretches.select(*ROW_KEY, whole.alias("whole"), "los", "his"), ROW_KEY)
+    joined = with_row_key(plain).dropDuplicates(ROW_KEY).join(stretches.select(*ROW_KEY, whole.alias("whole"), "los", "his"), ROW_KEY)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, complete, los, his in zip(batch.text, batch.whole, batch.los, batch.his, strict=True):
-                texts.append(text if complete else cut_words(text, los, his))
-            batch["text"] = texts
-            if "n_chars" in names:
-                batch["n_chars"] = [len(t) for t in texts]
-            yield batch[names]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*names, "whole", "los", "his").mapInPandas(cut, schema)
+            columns = [batch.column(k) for k in range(len(names))]
+            whole, los, his = (batch.column(len(names) + k).to_pylist() for k in range(3))
+            texts = [text if w else cut_words(text, a, b) for text, w, a, b in zip(columns[text_at].to_pylist(), whole, los, his, strict=True)]
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            if chars_at is not None:
+                columns[chars_at] = pa.array([len(t) for t in texts], columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=fields)
+
+    return joined.select(*fields, "whole", "los", "his").mapInArrow(cut, plain.schema).toDF(*names)
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

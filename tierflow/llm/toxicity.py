@@ -410,20 +410,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return by[0] + by[1], [0] * len(by[0]) + [1] * len(by[1])
 
 
-def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns, score, predicted`` for every row; the model is a broadcast of fixed size."""
+def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``columns`` and the score and verdict under the names ``out`` for every row; the model is a broadcast of fixed size."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*columns) if "text" in columns else docs.select(*columns, "text")
     at = kept.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in columns) + ", score double, predicted int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in columns) + f", `{out[0]}` double, `{out[1]}` int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.trimmed(batches):
             score = score_texts(shared.value, batch.column(at))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in range(len(columns))] + [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*columns, "score", "predicted"]
+                [batch.column(k) for k in range(len(columns))] + [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*columns, *out]
             )
 
     return kept.mapInArrow(run, schema)
