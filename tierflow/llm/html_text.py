@@ -1,36 +1,43 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page's text is cut into blocks at block-level tags. A linear classifier gives
-each block a cost of either label from its own text (length, links,
-punctuation) and its place (what elements, classes and ids stand around it).
-Costs are the capacities from the source and to the sink; blocks that follow
-one another, and more so those near each other in the tree, are joined by
-smoothness edges. The minimum cut, by augmenting paths, separates content from
-the rest.
-
-Blocks whose own cost outweighs all their edges keep their side in every
-minimum cut; they are decided first and only what is left is solved by flow.
+A page's text is cut into blocks at block-level tags. A logistic classifier
+gives each block log odds of being content, from its text (length, links,
+punctuation), its depth and the names of what stands around it.
+They are capacities from the source and to the sink; blocks that follow one
+another, and blocks of one parent, are joined by smoothness edges that weigh
+less the further the two stand apart in the tree. The minimum cut, by maximum
+flow, separates content from the rest.
+
+The classifier is trained on the pages: on a bounded sample (``SAMPLE_PAGES``
+pages of at most ``SAMPLE_CHARACTERS`` characters, those with the smallest hashes)
+blocks inside an ``article`` element are content and the others are not. That
+element is no input. Weights start from ``PRIOR``, and are held near it, so names
+that the sample lacks keep their usual meaning; the weight of the edges is the one
+of ``EDGE_SCALES`` with which the cut gets most of the sample's blocks right.
+Without such pages the prior stands alone.
 
 Defined results: null or empty html, and pages without content, give an empty
-text; unclosed and stray tags are tolerated; repeated rows give the same text;
-pages of any length are read whole; an empty table gives an empty table; other
-columns are ignored.
+text; unclosed and stray tags and quotes are tolerated, and a tag that never ends
+counts as text; repeated rows, also of one id, give the same text; null ids are
+kept; pages of any length are read whole, in time that grows in proportion; an
+empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
+import zlib
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, spare_names
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
@@ -38,58 +45,109 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is never text of the page.
-SILENT_TAGS = frozenset("script style noscript template textarea svg math iframe object select button canvas audio video".split())
-#: Weight of an element around a block.
-PLACES = {"article": 4.0, "main": 3.0, "nav": -9.0, "aside": -9.0, "footer": -9.0, "header": -5.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "head": -20.0, "title": -20.0}
-#: Weight of words in the class or id of an element around a block.
+SILENT_TAGS = frozenset("script style noscript template textarea svg math iframe object select button canvas audio video title".split())
+#: Elements that an element of the same kind ends.
+ITEM_TAGS = frozenset("li dd dt td th tr option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+
+#: Elements around a block, and their prior weight.
+PLACES = {"main": 2.5, "nav": -4.0, "aside": -4.0, "footer": -4.0, "header": -2.5, "form": -4.0, "menu": -4.0, "dialog": -4.0, "head": -8.0}
+#: Words in the class, id or role of an element around a block, and their prior weight.
 HINTS = [
-    (re.compile(r"(^|[^a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner)([^a-z]|$)"), -9.0),
-    (re.compile(r"comment|disqus|repl(y|ies)|discuss"), -9.0),
-    (re.compile(r"side-?bar|(^|[^a-z])(side|rail|widget\w*)([^a-z]|$)"), -9.0),
-    (re.compile(r"cookie|consent|notice|gdpr|alert|popup|modal|newsletter|subscri|paywall"), -9.0),
-    (re.compile(r"(^|[^a-z])(nav\w*|menu\w*|breadcrumbs?|pagination|pager|toc)([^a-z]|$)"), -9.0),
-    (re.compile(r"foot(er)?([^a-z]|$)|copyright|masthead|(^|[^a-z])(site|page)-?header"), -9.0),
-    (re.compile(r"share|social|related|recommend|trending|popular|login|sign-?up|search"), -7.0),
-    (re.compile(r"(^|[^a-z])(article|post|entry|story|content|body|main)([^a-z]|$)"), 2.5),
+    (re.compile(r"(^|[^a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner)([^a-z]|$)"), -4.0),
+    (re.compile(r"comment|disqus|repl(y|ies)|discuss"), -4.0),
+    (re.compile(r"side-?bar|(^|[^a-z])(side|rail|widget\w*)([^a-z]|$)"), -4.0),
+    (re.compile(r"cookie|consent|notice|gdpr|alert|popup|modal|newsletter|subscri|paywall"), -4.0),
+    (re.compile(r"(^|[^a-z])(nav\w*|menu\w*|breadcrumbs?|pagination|pager|toc)([^a-z]|$)"), -4.0),
+    (re.compile(r"foot(er)?([^a-z]|$)|copyright|masthead|(^|[^a-z])(site|page)-?header"), -4.0),
+    (re.compile(r"share|social|related|recommend|trending|popular|login|sign-?up|search"), -3.0),
+    (re.compile(r"(^|[^a-z])(article|post|entry|story|content|body|main)([^a-z]|$)"), 1.2),
 ]
-NEAR, FAR = 1.6, 0.3
-
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Inputs of a block's own, and their prior weights. Its neighbours are the edges' part.
+OWN = {
+    "bias": -1.2, "length": 0.45, "links": -4.0, "ends": 0.8, "heading": 0.8, "item": -0.5, "depth": 0.0,
+}
+HIDDEN = -6.0
+#: Hashed names of the elements around a block, and of their classes and ids.
+NAMES = 128
+PLACE_BITS = {tag: 1 << k for k, tag in enumerate(PLACES)}
+HIDDEN_BIT = 1 << len(PLACES)
+HINT_BITS = [1 << (len(PLACES) + 1 + k) for k in range(len(HINTS))]
+#: Marks that make what is around a block no content, whatever element it stands in.
+NEGATIVE = sum(PLACE_BITS[t] for t, w in PLACES.items() if w < 0) | HIDDEN_BIT | sum(b for b, (_, w) in zip(HINT_BITS, HINTS, strict=True) if w < 0)
+MARKS = len(PLACES) + 1 + len(HINTS)
+PRIOR = np.array([*OWN.values(), *PLACES.values(), HIDDEN, *[w for _, w in HINTS], *[0.0] * NAMES])
+
+SAMPLE_PAGES, SAMPLE_CHARACTERS = 400, 50_000
+EDGE_SCALES = (0.0, 0.5, 1.0, 2.0, 4.0)
+#: How strongly the weights are held near the prior.
+HOLD = 2e-3
+#: Least weight of the edge of two blocks that follow one another.
+FAR = 0.1
+
+_MARK = re.compile(r"[>\"']")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_END = re.compile(r"[.!?…:;\"'”)]\W*$")
+_END = re.compile(r"[.!?…:;\"'”)]\W{0,8}$")
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]
-    weight: float  # of the elements around it
+    node: int  # of the element that it stands in
     tag: str
-    linked: int
-    chars: int = field(init=False)
+    marks: int  # bits of the places and hints around it
+    names: int  # bits of the hashed names around it
+    linked: int  # characters inside links
+    labelled: bool  # in an article, and in nothing there that is no content
 
-    def __post_init__(self) -> None:
-        self.chars = len(self.text)
 
+@dataclass
+class Page:
+    blocks: list[Block]
+    parent: list[int]  # of each node
+    depth: list[int]
 
-def element_weight(tag: str, attributes: str) -> float:
-    weight = PLACES.get(tag, 0.0)
+
+def marks_of(tag: str, attributes: str) -> tuple[int, int]:
+    """Place and hint bits, and hashed names, of an element."""
+    marks, names = PLACE_BITS.get(tag, 0), 0
+    if tag not in ("article", "p"):
+        names |= 1 << zlib.crc32(tag.encode()) % NAMES
     if attributes:
         if _HIDDEN.search(attributes):
-            weight -= 20
-        for found in _NAMES.findall(attributes):
+            marks |= HIDDEN_BIT
+        for found in _NAMED.findall(attributes):
             name = "".join(found).lower()
-            weight += sum(w for pattern, w in HINTS if pattern.search(name))
-    return weight
+            for bit, (pattern, _) in zip(HINT_BITS, HINTS, strict=True):
+                if pattern.search(name):
+                    marks |= bit
+            for word in name.split():
+                names |= 1 << zlib.crc32(b"." + word.encode("utf-8", "replace")) % NAMES
+    return marks, names
+
+
+@dataclass
+class _Open:
+    tag: str
+    node: int
+    block: int  # place on the stack of the nearest block-level element
+    marks: int
+    names: int
+    link: bool
+    article: bool
+    labelled: bool
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order. White space inside a block is one space."""
+def parse(page: str) -> Page:
+    """Text blocks in page order. White space inside a block is one space. Every character is passed a bounded number of times."""
     out: list[Block] = []
-    # (tag, node, weight of it and all around it, inside a link)
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
-    nodes, text, linked, at = 0, [], 0, 0
+    parent, depth = [0], [0]
+    stack = [_Open("", 0, 0, 0, 0, False, False, False)]
+    places: dict[str, list[int]] = {}  # where on the stack elements of a name are
+    text: list[str] = []
+    linked, at, n, quotes = 0, 0, len(page), True
 
     def flush() -> None:
         nonlocal linked
@@ -97,174 +155,260 @@ def blocks_of(page: str) -> list[Block]:
             # The parts are decoded together, so a reference is whole, and split at any white space.
             words = " ".join(html.unescape("".join(text)).split())
             if words:
-                around = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK_TAGS), 0)
-                out.append(Block(words, tuple(s[1] for s in stack[: around + 1]), stack[-1][2], stack[around][0], linked))
+                top = stack[-1]
+                around = stack[top.block]
+                out.append(Block(words, around.node, around.tag, top.marks, top.names, linked, top.labelled))
             text.clear()
         linked = 0
 
-    while m := _PART.match(page, at):
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            part = m[0]
-            if not part.startswith(("<!", "<?")):
-                text.append(part)
-                if stack[-1][3]:
-                    linked += len(part)
+    def close(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
+
+    def say(part: str) -> None:
+        nonlocal linked
+        text.append(part)
+        if stack[-1].link:
+            linked += len(part)
+
+    while at < n:
+        start = page.find("<", at)
+        if start != at:
+            say(page[at:] if start < 0 else page[at:start])
+            if start < 0:
+                break
+            at = start
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        m = _NAME.match(page, at)
+        if m is None and page[at + 1 : at + 2] not in ("!", "?", "/"):
+            say("<")
+            at += 1
+            continue
+        end = m.end() if m else at + 2
+        if m and quotes:  # the end of the tag is the first > outside quotes
+            while (stop := _MARK.search(page, end)) and stop[0] != ">":
+                end = page.find(stop[0], stop.end()) + 1
+                if not end:
+                    stop = None
+                    break
+            if stop is None:  # a quote that never ends: from here on quotes mean nothing
+                quotes = False
+            else:
+                end = stop.start()
+        if not (m and quotes):
+            end = page.find(">", m.end() if m else at + 2)
+            if end < 0:  # no tag ends any more
+                say(page[at:])
+                break
+        attributes, tag, closing = page[m.end() : end] if m else "", m[1].lower() if m else "", page[at + 1] == "/"
+        at = end + 1
+        if not tag:
             continue
-        tag, closing = tag.lower(), m[1] == "/"
         if tag in BLOCK_TAGS:
             flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag == "br":
             text.append(" ")
         if tag in SILENT_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if not attributes.endswith("/"):
+                found = re.compile(rf"</{re.escape(tag)}(?![a-z0-9-])", re.I).search(page, at)
+                at = found.start() if found else n
             text.append(" ")
             continue
-        if tag in VOID_TAGS or m[3].endswith("/"):
+        if tag in VOID_TAGS or attributes.endswith("/"):
             continue
         if tag in BLOCK_TAGS:  # a block ends an open paragraph, and an item an open item
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or stack[k][0] == tag and tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK_TAGS:
-                    break
-        nodes += 1
-        weight = element_weight(tag, m[3])
-        if tag == "header" and any(s[0] in ("article", "main") for s in stack):
-            weight = max(weight, 0.0)
-        stack.append((tag, nodes, stack[-1][2] + weight, stack[-1][3] or tag == "a"))
+            nearest = stack[-1].block
+            if stack[nearest].tag == "p" or stack[nearest].tag == tag and tag in ITEM_TAGS:
+                close(nearest)
+        top = stack[-1]
+        marks, names = marks_of(tag, attributes)
+        if tag == "header" and (top.article or top.marks & PLACE_BITS["main"]):
+            marks &= ~PLACE_BITS["header"]
+        parent.append(stack[top.block].node)
+        depth.append(depth[parent[-1]] + (tag in BLOCK_TAGS))
+        places.setdefault(tag, []).append(len(stack))
+        article = top.article or tag == "article"
+        labelled = article and not marks & NEGATIVE and (top.labelled or not top.article)
+        stack.append(_Open(tag, len(parent) - 1, len(stack) if tag in BLOCK_TAGS else top.block, top.marks | marks, top.names | names, top.link or tag == "a", article, labelled))
     flush()
-    return out
-
-
-def content_cost(b: Block) -> float:
-    """Log odds that a block is content: above 0 what it costs to leave it out, below 0 what it costs to keep it."""
-    share = min(1.0, b.linked / max(b.chars, 1))
-    score = -1.2 + b.weight + 0.45 * math.log1p(b.chars / 10) - 4.0 * share
-    if _END.search(b.text):
-        score += 0.8
-    if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"):
-        score += 0.8
-    elif b.tag == "p":
-        score += 1.0
-    elif b.tag in ("li", "td", "th", "option"):
-        score -= 0.5
-    return score
-
-
-def smoothness(a: Block, b: Block) -> float:
-    """Capacity of the edge of two neighbouring blocks: by how far apart they stand in the tree."""
-    common = 0
-    for x, y in zip(a.path, b.path, strict=False):
-        if x != y:
-            break
-        common += 1
-    steps = len(a.path) + len(b.path) - 2 * common
-    return max(FAR, NEAR / (1 + 0.5 * max(0, steps - 2)))
-
-
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Neighbours in page order, and neighbours among the blocks of one parent."""
-    edges = [(i, i + 1, smoothness(blocks[i], blocks[i + 1])) for i in range(len(blocks) - 1)]
+    return Page(out, parent, depth)
+
+
+def features(page: Page) -> np.ndarray:
+    """Inputs of the classifier: one row for each block."""
+    blocks = page.blocks
+    n = len(blocks)
+    chars = np.array([len(b.text) for b in blocks], float)
+    share = np.minimum(1, np.array([b.linked for b in blocks]) / np.maximum(chars, 1))
+    size = np.log1p(chars / 10)
+    x = np.zeros((n, len(PRIOR)))
+    for k, b in enumerate(blocks):
+        x[k, : len(OWN)] = (1, size[k], share[k], _END.search(b.text[-40:]) is not None, b.tag in HEADINGS, b.tag in ITEM_TAGS, min(page.depth[b.node], 30) / 10)
+        bits, at = b.marks | b.names << MARKS, len(OWN)
+        while bits:
+            low = bits & -bits
+            x[k, at + low.bit_length() - 1] = 1
+            bits ^= low
+    return x
+
+
+def edges_of(page: Page) -> list[tuple[int, int, float]]:
+    """Neighbours in page order, by how far apart they stand in the tree, and neighbours among the blocks of one parent."""
+    blocks, parent, depth = page.blocks, page.parent, page.depth
+    edges = []
+    for i in range(len(blocks) - 1):
+        a, b, steps = blocks[i].node, blocks[i + 1].node, 0
+        while a != b:  # from one to the next all steps of a page are as many as its tree has, twice
+            if a > b:
+                steps, a = steps + 1, parent[a]
+            else:
+                steps, b = steps + 1, parent[b]
+        edges.append((i, i + 1, max(FAR, 1 / (1 + max(0, steps - 2)))))
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        parent = b.path[-2] if len(b.path) > 1 else b.path[-1]
-        if last.get(parent, i - 1) < i - 1:
-            edges.append((last[parent], i, NEAR / 2))
-        last[parent] = i
+        p = parent[b.node]
+        if last.get(p, i - 1) < i - 1:
+            edges.append((last[p], i, 0.5))
+        last[p] = i
     return edges
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes are on the source's side of a minimum cut: cost above 0 from the source, below 0 to the sink."""
-    n = len(costs)
-    side: list[bool | None] = [None] * n
-    own = list(costs)
-    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    for i, j, w in edges:
-        near[i].append((j, w))
-        near[j].append((i, w))
-    room = [sum(w for _, w in x) for x in near]
-    todo = deque(range(n))
-    while todo:  # nodes that their own cost decides; their edges become costs of their neighbours
-        i = todo.popleft()
-        if side[i] is not None or abs(own[i]) < room[i]:
-            continue
-        side[i] = own[i] > 0
-        for j, w in near[i]:
-            if side[j] is None:
-                own[j] += w if side[i] else -w
-                room[j] -= w
-                todo.append(j)
-    rest = [i for i in range(n) if side[i] is None]
-    if rest:
-        place = {i: k for k, i in enumerate(rest)}
-        kept = [(place[i], place[j], w) for i, j, w in edges if i in place and j in place]
-        for i, s in zip(rest, source_side([own[i] for i in rest], kept), strict=True):
-            side[i] = s
-    return [bool(s) for s in side]
-
-
-def source_side(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Maximum flow by shortest augmenting paths; what the source still reaches."""
+    """Which nodes are on the source's side of a minimum cut: cost above 0 from the source, below 0 to the sink.
+
+    Maximum flow by blocking flows on level graphs; then what the source still reaches.
+    """
     n = len(costs)
     s, t = n, n + 1
-    room: list[dict[int, float]] = [{} for _ in range(n + 2)]
+    to: list[int] = []
+    room: list[float] = []
+    at: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def join(i: int, j: int, forth: float, back: float) -> None:
+        at[i].append(len(to)), at[j].append(len(to) + 1)
+        to.extend((j, i)), room.extend((forth, back))
+
     for i, c in enumerate(costs):
         if c > 0:
-            room[s][i], room[i][s] = c, 0.0
+            join(s, i, c, 0.0)
         elif c < 0:
-            room[i][t], room[t][i] = -c, 0.0
+            join(i, t, -c, 0.0)
     for i, j, w in edges:
-        room[i][j] = room[i].get(j, 0.0) + w
-        room[j][i] = room[j].get(i, 0.0) + w
+        join(i, j, w, w)
     while True:
-        before = {s: s}
+        level = [-1] * (n + 2)
+        level[s] = 0
         queue = deque([s])
-        while queue and t not in before:
+        while queue:
             i = queue.popleft()
-            for j, w in room[i].items():
-                if w > 1e-9 and j not in before:
-                    before[j] = i
-                    queue.append(j)
-        if t not in before:
-            return [i in before for i in range(n)]
-        path, j = [], t
-        while j != s:
-            path.append((before[j], j))
-            j = before[j]
-        push = min(room[i][j] for i, j in path)
-        for i, j in path:
-            room[i][j] -= push
-            room[j][i] = room[j].get(i, 0.0) + push
-
-
-def extract(page: str | None) -> str:
-    """The content blocks of a page in order, one to a line."""
-    blocks = blocks_of(page or "")
-    keep = minimum_cut([content_cost(b) for b in blocks], edges_of(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
-
-
-def main_text(pages: DataFrame, column: str = "html", columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+            for e in at[i]:
+                if room[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[i] + 1
+                    queue.append(to[e])
+        if level[t] < 0:
+            return [x >= 0 for x in level[:n]]
+        following = [0] * (n + 2)
+        path: list[int] = []
+        i = s
+        while True:
+            if i == t:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                # Back to before the first edge that is full.
+                k = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                i = to[path[k] ^ 1]
+                del path[k:]
+                continue
+            while following[i] < len(at[i]):
+                e = at[i][following[i]]
+                if room[e] > 1e-9 and level[to[e]] == level[i] + 1:
+                    break
+                following[i] += 1
+            if following[i] < len(at[i]):
+                path.append(at[i][following[i]])
+                i = to[path[-1]]
+            elif i == s:
+                break
+            else:
+                i = to[path.pop() ^ 1]
+                following[i] += 1
+
+
+@dataclass
+class Model:
+    weights: np.ndarray
+    edge_scale: float = 1.0
+
+
+def costs_of(page: Page, model: Model) -> list[float]:
+    return (features(page) @ model.weights).tolist()
+
+
+def labels(page: Page, model: Model) -> list[bool]:
+    """Which blocks are content."""
+    return minimum_cut(costs_of(page, model), [(i, j, w * model.edge_scale) for i, j, w in edges_of(page)]) if page.blocks else []
+
+
+def fit(pages: list[str], steps: int = 300) -> Model:
+    """Weights by gradient steps on the logistic loss, both classes alike, held near the prior; then the scale of the edges."""
+    read = [p for p in map(parse, pages) if any(b.labelled for b in p.blocks) and not all(b.labelled for b in p.blocks)]
+    if not read:
+        return Model(PRIOR.copy())
+    x = np.concatenate([features(p) for p in read])
+    y = np.array([b.labelled for p in read for b in p.blocks])
+    weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
+    w, m, s = PRIOR.copy(), np.zeros(len(PRIOR)), np.zeros(len(PRIOR))
+    for step in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ ((p - y) * weight) + HOLD * (w - PRIOR)
+        m += 0.1 * (g - m)
+        s += 0.01 * (g * g - s)
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    wrong = {}
+    for scale in EDGE_SCALES:
+        model = Model(w, scale)
+        wrong[scale] = sum(a != b.labelled for p in read for a, b in zip(labels(p, model), p.blocks, strict=True))
+    return Model(w, min(EDGE_SCALES, key=lambda k: (wrong[k], abs(k - 1))))
+
+
+def extract(page: str | None, model: Model | None = None) -> str:
+    """The content blocks of a page in order, one to a line; by the prior alone without a model."""
+    read = parse(page or "")
+    return "\n".join(b.text for b, keep in zip(read.blocks, labels(read, model or Model(PRIOR)), strict=True) if keep)
+
+
+def training_pages(pages: DataFrame, column: str = "html", most: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS) -> list[str]:
+    """The pages with the smallest hashes of those within the bound on characters: ``most`` * ``characters`` on the driver at most."""
+    page = F.col(column)
+    short = pages.where(page.isNotNull() & (F.length(page) <= characters)).select(page.alias("page"), F.xxhash64(page).alias("place"))
+    return [r["page"] for r in short.orderBy("place", "page").limit(most).collect()]
+
+
+def learn(pages: DataFrame, column: str = "html") -> Model:
+    return fit(training_pages(pages, column))
+
+
+def main_text(pages: DataFrame, column: str = "html", columns: tuple[str, ...] = ("page_id", "url"), model: Model | None = None) -> DataFrame:
     """``columns``, ``text, n_chars`` of every page. No shuffle: a page is read, labelled and written in its task."""
     ship(pages.sparkSession)
-    kept = pages.select(*columns, F.col(column).alias("__page"))
-    fields = [f for f in kept.schema.fields if f.name != "__page"]
+    model = learn(pages, column) if model is None else model
+    (page,) = spare_names(pages, "page")
+    kept = pages.select(*columns, F.col(column).alias(page))
+    fields = [f for f in kept.schema.fields if f.name != page]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string, n_chars long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text = [extract(x) for x in batch.pop("__page")]
+            text = [extract(x, model) for x in batch.pop(page)]
             batch["text"] = text
             batch["n_chars"] = [len(x) for x in text]
             for f in fields:  # whole numbers with nulls arrive as floats
