@@ -49,6 +49,44 @@ def test_components(spark):
 # --- 1 ---------------------------------------------------------------------------------------------
 
 
+LOG = "conv_id long, seq long, message_id long, kind string, role string, text string"
+
+
+def conversations(rendered):
+    """Runs joined: conv_id -> (turns, trained texts)."""
+    out = {}
+    for r in sorted(rendered.collect(), key=lambda r: (repr(r.conv_id), r.run)):
+        turns, loss = out.setdefault(r.conv_id, ([], []))
+        assert sum(len(t[0]) for t in turns) >= 0 and r.n_turns == len(chat.parse(r.formatted))
+        turns += chat.parse(r.formatted)
+        loss += [chat.Template.unescape(r.formatted[a:b]) for a, b in zip(r.loss_starts, r.loss_ends, strict=True)]
+    return out
+
+
+def plain_fold(log):
+    """The log folded one event at a time."""
+    rank = {"regenerate": 1, "edit": 2, "delta": 3}
+    low = lambda x: (x is not None, x)
+    messages, cuts, singles = {}, [], []
+    for conv, seq, message, kind, role, text in sorted(log, key=lambda e: (low(e[1]), rank.get(e[3], 0), e[4] or "", e[5] or "")):
+        role, text = role or "", text or ""
+        if message is None:
+            singles.append([conv, seq, role, text])
+            continue
+        m = messages.setdefault((conv, message), {"seq": seq, "role": role, "stated": False, "text": ""})
+        m["text"] = m["text"] + text if kind == "delta" else text
+        if rank.get(kind, 0) == 0 and not m["stated"]:
+            m["role"], m["stated"] = role, True
+        if kind == "regenerate" and seq is not None:
+            cuts.append((conv, m["seq"], seq))
+    every = singles + [[c, m["seq"], m["role"], m["text"]] for (c, _), m in messages.items()]
+    kept = [x for x in every if x[1] is None or not any(c == x[0] and (lo is None or lo < x[1]) and x[1] < hi for c, lo, hi in cuts)]
+    out = {}
+    for conv, _, role, text in sorted(kept, key=lambda x: (low(x[1]), x[2], x[3])):
+        out.setdefault(conv, []).append((role, text))
+    return out
+
+
 def test_fold_and_render(spark):
     log = [
         (1, 0, 10, "message", "user", "hi"),
@@ -61,26 +99,49 @@ def test_fold_and_render(spark):
         (1, 7, 13, "message", "user", "kept"),
         (1, 8, 10, "edit", None, "hello"),
         (2, 0, None, None, None, None),
-        (None, 0, None, "message", "assistant", "x"),
+        (None, 0, 1, "message", "assistant", "a"),
+        (None, 0, 1, "delta", None, "b"),
+        (None, 1, 1, "delta", None, "c"),
     ]
-    events = spark.createDataFrame(log, "conv_id long, seq long, message_id long, kind string, role string, text string")
-    shown = {r.conv_id: r for r in chat.render(chat.fold_events(events)).collect()}
-    assert chat.parse(shown[1].formatted) == [("user", "hello"), ("assistant", "new <|end|> \\ |> "), ("user", "kept")]
-    assert [chat.Template.unescape(shown[1].formatted[a:b]) for a, b in zip(shown[1].loss_starts, shown[1].loss_ends)] == ["new <|end|> \\ |> "]
-    assert chat.parse(shown[2].formatted) == [("", "")] and shown[None].n_turns == 1
-    assert chat.render(chat.fold_events(events.limit(0))).count() == 0
-
-
-def test_long_conversation(spark):
+    events = spark.createDataFrame(log, LOG).withColumns({"rank": F.lit("x"), "redone": F.lit(1), "run": F.lit(2)})
+    shown = conversations(chat.render(chat.fold_events(events)))
+    assert shown[1] == ([("user", "hello"), ("assistant", "new <|end|> \\ |> "), ("user", "kept")], ["new <|end|> \\ |> "])
+    assert shown[2] == ([("", "")], []) and shown[None] == ([("assistant", "abc")], ["abc"])
+    assert chat.digests(chat.render(chat.fold_events(events.limit(0)))).count() == 0
+
+
+def test_fold_equals_plain_fold(spark, monkeypatch):
+    """Random logs with nulls, ties and repeated rows; runs of three turns."""
+    monkeypatch.setattr(chat, "RUN", 3)
+    rnd = random.Random(3)
+    log = []
+    for _ in range(700):
+        conv, message = rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice([None, *range(12)])
+        log.append((conv, rnd.choice([None, *range(60)]), message, rnd.choice(["message", "delta", "delta", "edit", "regenerate", None, "odd"]), rnd.choice(["user", "assistant", None]), rnd.choice(["a", "b\\", "<|", "|>é", None, ""])))
+    log += log[:30]
+    want = plain_fold(log)
+    rendered = chat.render(chat.fold_events(spark.createDataFrame(log, LOG).repartition(5)))
+    assert {k: v[0] for k, v in conversations(rendered).items()} == want
+    for r in chat.digests(rendered).collect():
+        turns = want[r.conv_id]
+        assert r.n_turns == len(turns) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        loss = "".join(b for a, b in turns if a == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_turns_through_the_fold(spark):
+    """Every row of a table comes back from its events: repeated rows, equal and null turns, null texts, a long conversation."""
     rnd = random.Random(2)
-    texts = ["".join(rnd.choice("<|>\\end a\né") for _ in range(rnd.randrange(30))) for _ in range(300)]
-    rows = [(5, i, None, "message", "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)]
+    rows = [(5, i, "assistant" if i % 2 else "user", "".join(rnd.choice("<|>\\end a\né") for _ in range(rnd.randrange(30)))) for i in range(300)]
+    rows += [rows[7], rows[7], (6, None, "assistant", "x"), (6, 0, None, None), (6, 0, "assistant", "b"), (6, 0, "assistant", "a"), (None, 1, "user", "y " * 200_000)]
     rnd.shuffle(rows)
-    events = spark.createDataFrame(rows, "conv_id long, seq long, message_id long, kind string, role string, text string")
-    r = chat.digests(chat.render(chat.fold_events(events))).first()
-    assert r.n_turns == 300 and r.loss_chars == sum(map(len, texts[1::2]))
-    assert r.loss_sha256 == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
-    assert r.turns_sha256 == hashlib.sha256("".join(f"{'assistant' if i % 2 else 'user'}\n{t}\n" for i, t in enumerate(texts)).encode()).hexdigest()
+    turns = spark.createDataFrame([(*r, 1, "k") for r in rows], "conv_id long, turn long, role string, text string, seq int, kind string")
+    got = {r.conv_id: r for r in chat.digests(chat.render(chat.fold_events(entries.turn_events(turns)), ordered=True), ordered=True).collect()}
+    for conv in (5, 6, None):
+        mine = sorted(((-1 if t is None else t, role or "", text or "") for c, t, role, text in rows if c == conv))
+        assert got[conv].n_turns == len(mine)
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in mine).encode()).hexdigest()
+        assert got[conv].loss_sha256 == hashlib.sha256("".join(b for _, a, b in mine if a == "assistant").encode()).hexdigest()
 
 
 # --- 2 and 8 ------------------------------------------------------------------------------------------

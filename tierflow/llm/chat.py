@@ -10,32 +10,44 @@ The log has one row per event: ``conv_id``, ``seq``, ``message_id``, ``kind``,
   one) and drops every message that began between the message's start and this
   event, since those answered the old version.
 
-Events without ``message_id`` are messages of their own. Defined results: null
-text or role counts as empty; a null conversation id is a conversation like
-any other; null ``seq`` comes first; ties of ``seq`` are ordered by role and
-text; repeated rows without message id all stay; an empty log gives an empty
-table; other columns are ignored.
-
-A conversation becomes one row, so its texts meet in one task at the end, and
-only there: folding goes by message, and rendering and escaping go by runs of
-``RUN`` messages before the runs of a conversation are joined.
+1. Events are dealt by conversation and message, sorted by ``seq`` and folded one
+   by one; a task holds one message at a time.
+2. Messages are dealt by conversation, sorted by ``seq`` and folded in that order:
+   the latest regeneration of what has begun so far decides which messages are
+   dropped, so nothing but that number is held.
+3. What is left is rendered in the same order, in runs of at most ``RUN`` messages
+   or ``RUN_CHARS`` characters, a row each; ``start`` counts the code points before.
+
+A conversation is never one row. Its messages pass through one task in steps 2
+and 3, since a digest over them has an order, but only as a stream.
+
+Defined results: events without ``message_id`` are messages of their own, whatever
+their kind; null text or role counts as empty; a null kind, or one not named
+above, is a message; a null conversation id is a conversation like any other;
+null ``seq`` comes first and is never dropped; events of a message with equal
+``seq`` are taken in the order message, regenerate, edit, delta, then by role and
+text; messages with equal ``seq`` are ordered by role and text, and do not drop one
+another; a regeneration counts even if its own message is dropped; a message's
+role is that of its first ``message`` event, or of its first event; repeated rows
+without message id all stay; texts of any length stay whole; an empty log gives
+an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Messages rendered together before the runs of a conversation are joined.
-RUN = 64
+from .common import ship
 
-CONVERSATION_COLUMNS = "conv_id, n_turns, formatted, loss_starts, loss_ends"
+#: Messages and characters at most of a rendered run (a longer message is a run of its own).
+RUN, RUN_CHARS = 64, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -52,112 +64,149 @@ class Template:
     close: str = "<|end|>\n"
     trained_roles: tuple[str, ...] = ("assistant",)
 
-    def escape(self, c: Column) -> Column:
-        c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-        c = F.replace(c, F.lit("<|"), F.lit("<\\|"))
-        return F.replace(c, F.lit("|>"), F.lit("|\\>"))
+    @staticmethod
+    def escape(text: str) -> str:
+        return text.replace("\\", "\\\\").replace("<|", "<\\|").replace("|>", "|\\>")
 
     @staticmethod
     def unescape(text: str) -> str:
-        return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+        return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
 
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """Final messages ``(conv_id, seq, role, text)`` of an event log; ``seq`` is that of the message's first event."""
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema, text_at: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size."""
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += len(row[text_at])
+        if len(held) >= 4096 or chars >= 1 << 22:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in held], schema)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in held], schema)
+
+
+def _id_type(df: DataFrame) -> tuple[str, pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = df.schema["conv_id"].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
+def fold_messages(events: DataFrame) -> DataFrame:
+    """``conv_id, seq, role, text, redone`` of every message: its first ``seq``, its final text, and the ``seq`` of its last regeneration."""
+    ship(events.sparkSession)
+    spelled, conv = _id_type(events)
+    schema = pa.schema([("conv_id", conv), ("seq", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("redone", pa.int64())])
+    rank = F.when(F.col("kind") == "regenerate", 1).when(F.col("kind") == "edit", 2).when(F.col("kind") == "delta", 3).otherwise(0)
     log = events.select(
-        "conv_id",
-        "seq",
-        "message_id",
-        F.coalesce("kind", F.lit("message")).alias("kind"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        "conv_id", F.col("seq").cast("long").alias("seq"), "message_id", rank.alias("rank"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    single = log.where("message_id IS NULL").select("conv_id", "seq", "role", "text")
-    named = log.where("message_id IS NOT NULL")
+    single = log.where("message_id IS NULL").select("conv_id", "seq", "role", "text", F.lit(None).cast("long").alias("redone"))
     key = ["conv_id", "message_id"]
-    # The last event that sets the text anew, by message; a small map-side aggregate.
-    event = F.struct("seq", "kind", "text", "role")
-    resets = named.groupBy(*key).agg(
-        F.min("seq").alias("start"),
-        F.max(F.when(F.col("kind") != "delta", event)).alias("base"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("redone"),
-        F.min_by("role", F.struct(F.when(F.col("kind") == "message", 0).otherwise(1), F.col("seq"))).alias("first_role"),
-    )
-    deltas = (
-        named.where("kind = 'delta'")
-        .join(resets.select(*key, F.col("base.seq").alias("from_seq")), key)
-        .where("from_seq IS NULL OR seq > from_seq")
-        .groupBy(*key)
-        .agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])).alias("tail"))
-    )
-    folded = resets.join(deltas, key, "left").select(
-        "conv_id",
-        F.col("start").alias("seq"),
-        F.col("first_role").alias("role"),
-        F.concat(F.coalesce("base.text", F.lit("")), F.coalesce("tail", F.lit(""))).alias("text"),
-        "redone",
-    )
-    # Regenerations are few; only the conversations that have one meet them.
-    redone = folded.where("redone IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("seq").alias("lo"), F.col("redone").alias("hi"))
-    kept = folded.join(redone, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seq") > F.col("lo")) & (F.col("seq") < F.col("hi")), "left_anti")
-    single = single.join(redone, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seq") > F.col("lo")) & (F.col("seq") < F.col("hi")), "left_anti")
-    return kept.select("conv_id", "seq", "role", "text").unionByName(single)
+    order = [*[F.col(k).asc_nulls_first() for k in key], F.col("seq").asc_nulls_first(), "rank", "role", "text"]
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = log.where("message_id IS NOT NULL").repartition(n, *key).sortWithinPartitions(*order)
+
+    def messages(rows: Iterator[tuple]) -> Iterator[tuple]:
+        key = start = redone = role = None
+        stated, parts = False, None
+        for conv_id, seq, message_id, rank, said, text in rows:
+            if parts is None or key != (conv_id, message_id):
+                if parts is not None:
+                    yield key[0], start, role, "".join(parts), redone
+                key, start, redone, role, stated, parts = (conv_id, message_id), seq, None, said, False, []
+            if rank == 3:
+                parts.append(text)
+            else:
+                parts = [text]
+            if rank == 0 and not stated:
+                role, stated = said, True
+            if rank == 1 and seq is not None:
+                redone = seq
+        if parts is not None:
+            yield key[0], start, role, "".join(parts), redone
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(messages(_rows(batches)), schema, 3)
 
-def render(messages: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row per conversation: ``conv_id, n_turns, formatted, loss_starts, loss_ends``.
+    folded = named.select("conv_id", "seq", "message_id", "rank", "role", "text").mapInArrow(run, f"conv_id {spelled}, seq long, role string, text string, redone long")
+    return folded.unionByName(single)
 
-    The loss spans are code points of ``formatted``, one per trained turn, in order.
+
+def _in_order(messages: DataFrame) -> DataFrame:
+    n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return messages.repartition(n, "conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("seq").asc_nulls_first(), "role", "text")
+
+
+def fold_events(events: DataFrame) -> DataFrame:
+    """Final messages ``conv_id, seq, role, text`` of an event log, each conversation in one partition and in order."""
+    messages = fold_messages(events)
+    spelled, conv = _id_type(messages)
+    schema = pa.schema([("conv_id", conv), ("seq", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+
+    def kept(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now, at, latest, here = object(), None, None, None
+        for conv_id, seq, role, text, redone in rows:
+            if now != conv_id:
+                now, at, latest, here = conv_id, seq, None, None
+            if seq != at:  # regenerations of messages that began before this one
+                at, latest, here = seq, max((x for x in (latest, here) if x is not None), default=None), None
+            if redone is not None and (here is None or redone > here):
+                here = redone
+            if latest is None or seq is None or seq >= latest:
+                yield conv_id, seq, role, text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(kept(_rows(batches)), schema, 3)
+
+    return _in_order(messages).mapInArrow(run, f"conv_id {spelled}, seq long, role string, text string")
+
+
+def render(messages: DataFrame, template: Template = Template(), ordered: bool = False) -> DataFrame:
+    """Rendered runs: ``conv_id, run, n_turns, start, formatted, loss_starts, loss_ends``.
+
+    A conversation is the ``formatted`` of its runs, one after another. The loss spans are
+    code points of ``formatted``, one per trained turn, in order. ``ordered``: the
+    messages are in order already, as ``fold_events`` gives them.
     """
-    head = F.concat(F.lit(template.open), template.escape(F.col("role")), F.lit(template.mid))
-    body = template.escape(F.col("text"))
-    turns = messages.select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).select(
-        "conv_id",
-        F.struct(
-            "seq",
-            "role",
-            "text",
-            F.length(head).cast("long").alias("head_len"),
-            F.length(body).cast("long").alias("body_len"),
-            F.concat(head, body, F.lit(template.close)).alias("shown"),
-            F.col("role").isin(*template.trained_roles).alias("trained"),
-        ).alias("turn"),
-        # Neighbouring turns share a run where seq is a count; any split by seq keeps the order.
-        F.floor(F.col("seq") / RUN).alias("run"),
-    )
-    runs = turns.groupBy("conv_id", "run").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    close = len(template.close)
-    # (position, starts, ends) folded over the run's turns; positions count from the run's start.
-    walked = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("lo"), F.array().cast("array<bigint>").alias("hi")),
-        lambda a, t: F.struct(
-            (a["at"] + t["head_len"] + t["body_len"] + close).alias("at"),
-            F.when(t["trained"], F.concat(a["lo"], F.array(a["at"] + t["head_len"]))).otherwise(a["lo"]).alias("lo"),
-            F.when(t["trained"], F.concat(a["hi"], F.array(a["at"] + t["head_len"] + t["body_len"]))).otherwise(a["hi"]).alias("hi"),
-        ),
-    )
-    shown = runs.select("conv_id", "run", F.size("turns").alias("n"), F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("shown"), walked.alias("w"))
-    whole = shown.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("run", "n", "shown", "w"))).alias("runs"))
-    spans = F.aggregate(
-        "runs",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("lo"), F.array().cast("array<bigint>").alias("hi")),
-        lambda a, r: F.struct(
-            (a["at"] + r["w"]["at"]).alias("at"),
-            F.concat(a["lo"], F.transform(r["w"]["lo"], lambda x: x + a["at"])).alias("lo"),
-            F.concat(a["hi"], F.transform(r["w"]["hi"], lambda x: x + a["at"])).alias("hi"),
-        ),
-    )
-    return whole.select(
-        "conv_id",
-        F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["n"]).alias("n_turns"),
-        F.array_join(F.transform("runs", lambda r: r["shown"]), "").alias("formatted"),
-        spans.alias("s"),
-    ).select("conv_id", "n_turns", "formatted", F.col("s.lo").alias("loss_starts"), F.col("s.hi").alias("loss_ends"))
+    ship(messages.sparkSession)
+    spelled, conv = _id_type(messages)
+    spans = pa.list_(pa.int64())
+    schema = pa.schema([("conv_id", conv), ("run", pa.int64()), ("n_turns", pa.int64()), ("start", pa.int64()), ("formatted", pa.string()), ("loss_starts", spans), ("loss_ends", spans)])
+
+    def runs(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now, number, start, shown, size, lo, hi = object(), 0, 0, [], 0, [], []
+        for conv_id, role, text in rows:
+            role, text = role or "", text or ""
+            if shown and (now != conv_id or len(shown) == RUN or size + len(text) > RUN_CHARS):
+                yield now, number, len(shown), start, "".join(shown), lo, hi
+                number, start, shown, size, lo, hi = number + 1, start + size, [], 0, [], []
+            if now != conv_id:
+                now, number, start = conv_id, 0, 0
+            head, body = template.open + template.escape(role) + template.mid, template.escape(text)
+            if role in template.trained_roles:
+                lo.append(size + len(head))
+                hi.append(size + len(head) + len(body))
+            shown.append(head + body + template.close)
+            size += len(shown[-1])
+        if shown:
+            yield now, number, len(shown), start, "".join(shown), lo, hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(runs(_rows(batches)), schema, 4)
+
+    rows = messages if ordered else _in_order(messages)
+    return rows.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {spelled}, run long, n_turns long, start long, formatted string, loss_starts array<long>, loss_ends array<long>")
 
 
 def parse(formatted: str, template: Template = Template()) -> list[tuple[str, str]]:
-    """The turns of a rendered conversation, as (role, text)."""
+    """The turns of a rendered run or conversation, as (role, text)."""
     turns, at = [], 0
     while at < len(formatted):
         if not formatted.startswith(template.open, at):
@@ -169,21 +218,41 @@ def parse(formatted: str, template: Template = Template()) -> list[tuple[str, st
     return turns
 
 
-def digests(rendered: DataFrame, template: Template = Template()) -> DataFrame:
-    """Turn and loss digests, read back from the rendered text and its loss spans alone."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for conv, shown, lo, hi in zip(batch.conv_id, batch.formatted, batch.loss_starts, batch.loss_ends, strict=True):
-                turns, loss, chars, every = parse(shown, template), hashlib.sha256(), 0, hashlib.sha256()
-                for role, text in turns:
-                    every.update(f"{role}\n{text}\n".encode())
-                for a, b in zip(lo, hi, strict=True):
-                    text = template.unescape(shown[a:b])
-                    loss.update(text.encode())
-                    chars += len(text)
-                rows.append((conv, len(turns), every.hexdigest(), chars, loss.hexdigest(), len(shown)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
-
-    return rendered.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def digests(rendered: DataFrame, template: Template = Template(), ordered: bool = False) -> DataFrame:
+    """Turn and loss digests by conversation, read back from the rendered runs and their loss spans alone.
+
+    Runs pass as a stream, so only the state of the hashes is held. ``ordered``: the
+    runs are in order already, as ``render`` gives them.
+    """
+    ship(rendered.sparkSession)
+    spelled, conv = _id_type(rendered)
+    schema = pa.schema([("conv_id", conv), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+    def read(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now, n, chars, size, every, loss = None, 0, 0, 0, None, None
+        for conv_id, start, shown, lo, hi in rows:
+            if every is None or now != conv_id:
+                if every is not None:
+                    yield now, n, every.hexdigest(), chars, loss.hexdigest(), size
+                now, n, chars, size, every, loss = conv_id, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+            if start != size:
+                raise ValueError(f"a run of conversation {conv_id} is missing before {start}")
+            for role, text in parse(shown, template):
+                every.update(f"{role}\n{text}\n".encode())
+                n += 1
+            for a, b in zip(lo, hi, strict=True):
+                text = template.unescape(shown[a:b])
+                loss.update(text.encode())
+                chars += len(text)
+            size += len(shown)
+        if every is not None:
+            yield now, n, every.hexdigest(), chars, loss.hexdigest(), size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(read(_rows(batches)), schema, 2)
+
+    n = int(rendered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rendered if ordered else rendered.repartition(n, "conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "run")
+    return rows.select("conv_id", "start", "formatted", "loss_starts", "loss_ends").mapInArrow(
+        run, f"conv_id {spelled}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )

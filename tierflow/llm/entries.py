@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embedding_dedup, html_text, langid, minhash, mixing, packing, quality, token_store, toxicity
@@ -18,8 +18,33 @@ CONTROL_TEXT = "\\### Assistant: </turn> ok"
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("long").alias("message_id"), F.lit("message").alias("kind"), "role", "text")
-    return chat.digests(chat.render(chat.fold_events(events)))
+    return chat.digests(chat.render(chat.fold_events(turn_events(rows)), ordered=True), ordered=True)
+
+
+def turn_events(turns: DataFrame) -> DataFrame:
+    """Turns as the events that made them.
+
+    An assistant's turn is streamed: a draft that is thrown away by a regeneration,
+    then its text in three deltas. Others are sent with their letters in reverse and
+    corrected by an edit. Each turn has eight places of ``seq``; null turns come first.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.ceil(F.length(text) / 3).cast("int")
+
+    def event(place: int, kind: str, said: Column) -> Column:
+        return F.struct((F.coalesce("turn", F.lit(-(1 << 40))) * 8 + place).alias("seq"), F.lit(kind).alias("kind"), said.alias("text"))
+
+    draft = F.reverse(text)
+    streamed = F.array(
+        event(0, "message", F.lit("")),
+        event(1, "delta", F.substring(draft, F.lit(1), third)),
+        event(2, "regenerate", F.lit("")),
+        *[event(3 + k, "delta", F.substring(text, third * k + 1, third)) for k in range(3)],
+    )
+    typed = F.array(event(0, "message", draft), event(1, "edit", text))
+    numbered = turns.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("message_id"))
+    made = numbered.select("conv_id", "role", "message_id", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(typed)).alias("e"))
+    return made.select("conv_id", "e.seq", "message_id", "e.kind", "role", "e.text")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
