@@ -632,6 +632,38 @@ def test_quality(spark):
     assert quality.verdicts(documents(spark, texts).limit(0)).count() == 0
 
 
+# --- odd rows ---------------------------------------------------------------------------------------
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Token store, packing, quality, language and toxicity: null ids, fully repeated rows, two texts under one id, a very long text."""
+    long = "Some words, and more of them. " * 12_000
+    rows = [(None, "a b c"), (None, "d e"), (1, "same text"), (1, "same text"), (2, "one"), (2, "two words"), (3, None), (4, ""), (5, long)]
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, size long, start long, words string")
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    file = encoding.tokenizer_file("byte_bpe_50k.json")
+    encoder = encoding.PieceEncoder(file, True)
+    token_store.write_store(docs, str(tmp_path / "s"), file, 2, partitions=3)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_store.read_store(spark, str(tmp_path / "s")).collect())
+    at, want = 0, []
+    for i, t in sorted(rows, key=key):
+        ids = np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        want.append((at, i, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+    file = encoding.tokenizer_file("word_bpe_49k.json")
+    encoder = encoding.PieceEncoder(file, False)
+    packed = packing.pack(docs, file, 1, partitions=3).toPandas()
+    sizes = sorted(len(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert packed.length.sum() == sum(sizes) and sorted(packed[packed.start == 0].doc_tokens) == sizes and packed.doc_id.isna().sum() == 2
+    judged = quality.verdicts(docs).collect()
+    assert sorted(((r.doc_id, r.n_words) for r in judged), key=repr) == sorted(((i, len(WORD.findall(t or ""))) for i, t in rows), key=repr)
+    langs = langid.fit(["yes it is the one"] * 4 + ["ja das ist der"] * 4, ["en"] * 4 + ["de"] * 4)
+    toxic = toxicity.fit(["you idiot there", "a calm day"] * 10, [1, 0] * 10, epochs=2)
+    for out in (langid.predict(docs, langs).collect(), toxicity.predict(docs, toxic).collect()):
+        assert sorted((r.doc_id for r in out), key=repr) == sorted((i for i, _ in rows), key=repr)
+
+
 # --- pipeline -----------------------------------------------------------------------------------------
 
 

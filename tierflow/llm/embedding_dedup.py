@@ -13,8 +13,9 @@ A tile returns a row per linked vector: its number of links there and the
 smallest id of its part of the tile; pairs are never listed. A large label is
 many tiles, so no task holds a label.
 
-The axes are fitted on at most ``SAMPLE_VALUES`` numbers of a sample. They
-decide speed only: results do not depend on them.
+The axes are fitted on about ``SAMPLE_VALUES`` numbers of a sample, for the
+``MOST_AXES`` most frequent lengths up to ``MOST_DIM``. They decide speed only:
+results do not depend on them.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold
 null or non-finite components link with nothing; vectors of different length
@@ -39,6 +40,8 @@ from .common import components, materialize, ship
 BLOCK = 2048
 LEAD = 16
 SAMPLE_VALUES = 1_000_000
+#: Axes are fitted for vectors of at most so many components, and for so many lengths: 32 * 2048^2 numbers are broadcast at most.
+MOST_DIM, MOST_AXES = 2048, 32
 #: Rows of a tile that are multiplied at once.
 STRIP = 256
 
@@ -55,11 +58,11 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(a: np.ndarray, b: np.ndarray | None, axes: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i of a, j of b), or i < j of a where b is None."""
     ua = unit_rows(a)
     ub = ua if b is None else unit_rows(b)
-    ya, yb = ua @ axes, ub @ axes
+    ya, yb = (ua, ub) if axes is None else (ua @ axes, ub @ axes)
     dim = a.shape[1]
     steps = [*range(min(LEAD, dim), dim, LEAD), dim]
     # Norm of what comes after the leading k coordinates.
@@ -105,12 +108,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
         "coalesce(label IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0), false)"
     )
     valid = whole.where(fit).withColumn("dim", F.size("embedding"))
+    # One sample over all lengths, bounded in numbers; a length without rows in it keeps its own coordinates.
+    values, rows = valid.agg(F.sum("dim"), F.count("*")).first()
     axes = {}
-    for r in valid.groupBy("dim").count().collect():  # one row per dimension
-        share = min(1.0, SAMPLE_VALUES / r["dim"] / r["count"])
-        most = max(2, 2 * SAMPLE_VALUES // r["dim"])
-        rows = valid.where(F.col("dim") == r["dim"]).select("embedding").sample(False, share, 3).limit(most).collect()
-        axes[r["dim"]] = fit_axes(np.array([x[0] for x in rows])) if rows else np.eye(r["dim"])
+    if values:
+        longest = max(1, values // rows)
+        drawn = valid.where(F.col("dim") <= MOST_DIM).select("dim", "embedding").sample(False, min(1.0, SAMPLE_VALUES / values), 3).limit(max(2, 2 * SAMPLE_VALUES // longest))
+        by: dict[int, list] = {}
+        for r in drawn.collect():
+            by.setdefault(r["dim"], []).append(r["embedding"])
+        axes = {dim: fit_axes(np.array(x)) for dim, x in sorted(by.items(), key=lambda x: -len(x[1]))[:MOST_AXES]}
     shared = spark.sparkContext.broadcast(axes)
 
     def first_coordinate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +128,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
             y, raw = [], []
             for a, b in zip(off[:-1], off[1:], strict=True):
                 v = flat[a:b]
-                y.append(float(unit_rows(v[None])[0] @ shared.value[b - a][:, 0]))
+                own = shared.value.get(b - a)
+                y.append(float(unit_rows(v[None])[0, 0] if own is None else unit_rows(v[None])[0] @ own[:, 0]))
                 raw.append(v.astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(y, pa.float64()), pa.array(raw, pa.binary())], names=["vec_id", "label", "dim", "y", "v"])
 
@@ -158,7 +166,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
         x = np.stack([np.frombuffer(v, "<f8") for v in rows.v])
         left = int((rows.block == a).sum())
         own = a == b
-        i, j = tile_links(x[:left], None if own else x[left:], shared.value[x.shape[1]], threshold)
+        i, j = tile_links(x[:left], None if own else x[left:], shared.value.get(x.shape[1]), threshold)
         j = j if own else j + left
         links = np.bincount(i, minlength=len(x)) + np.bincount(j, minlength=len(x))
         some = np.flatnonzero(links)

@@ -7,10 +7,15 @@ Repeats are found by sorting one long per window, its hash in the high bits and
 its position in the low ones (as many as the document needs, so at most 2^-54
 per pair of windows of an ordinary document that two different ones meet).
 
+The bound loosens as a text grows (64 bits less the logarithm of its words), and
+equal keys are not compared further: DataFrame functions on arrays have no
+cheap way to, and at a million words the chance of any such pair is 3 %.
+
 Defined results: a null or empty text has no words, all counts are 0 and it
-fails the base rule; documents of any length are read whole; ties and repeated
-rows are judged alike; an empty table gives an empty table; the input's other
-columns are kept out unless named in ``keep``.
+fails the base rule; a null ``doc_id`` is an id like any other; documents of any
+length are read whole; ties and repeated rows are judged alike; an empty table
+gives an empty table; the input's other columns, whatever their names, are kept
+out unless named in ``keep``.
 """
 
 from __future__ import annotations
@@ -101,7 +106,7 @@ def cascade_order(counted: DataFrame, rules: dict[str, str] | None = None) -> li
 
 
 def verdicts(docs: DataFrame, rules: dict[str, str] | None = None, keep: tuple[str, ...] = ("doc_id",), rows: int | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Base counts, ``base_failed`` and ``kept`` for every document, and ``failed_rule``, the first rule of the cascade that rejected it.
+    """Base counts, ``base_failed`` and ``kept`` (no rule of the cascade rejected it) for every document.
 
     ``rows`` is the table's size if the caller knows it (else it is counted).
     """

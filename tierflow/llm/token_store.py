@@ -14,8 +14,9 @@ Documents are in ascending ``doc_id`` order through blocks and shards. One
 document is read by its block's id range and its offset alone.
 
 Defined results: null text is an empty document (its end id only); null
-``doc_id`` comes first; repeated ids stay, ordered by their text; an empty table
-gives an empty store; other columns are ignored.
+``doc_id`` comes first; repeated ids and rows stay, ordered by their text; texts
+of any length are encoded whole; an empty table gives an empty store; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +78,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.count()
     share = min(1.0, DICTIONARY_DOCS / max(total, 1))
-    drawn = rows.select(F.substring("text", 1, DICTIONARY_CHARS).alias("text")).sample(False, share, 5).limit(2 * DICTIONARY_DOCS)
+    # A stretch from anywhere in the text; it shapes the dictionary, which changes sizes and no results.
+    begin = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - DICTIONARY_CHARS, F.lit(1))) + 1
+    drawn = rows.select(F.substring(F.col("text"), begin.cast("int"), F.lit(DICTIONARY_CHARS)).alias("text")).sample(False, share, 5).limit(2 * DICTIONARY_DOCS)
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer, spaced)
