@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derive, parse
+from ..sources import tables
+from ..sources.workspace import fresh
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,10 +85,32 @@ def users(spark: SparkSession, sf_dir: str, speed: bool) -> DataFrame:
     """One row per user: the last event of that side; odd users of the speed side have no value."""
     events = table(spark, sf_dir, "events")
     cut = F.lit(SPLIT).cast("timestamp_ntz")
-    side = events.where(F.col("ts") >= cut).where("user_id % 3 <> 0") if speed else events.where(F.col("ts") < cut).where("user_id % 5 <> 0")
+    side = events.where(F.col("ts") >= cut) if speed else events.where(F.col("ts") < cut)
     last = side.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.max("value").alias("best"))
     return last.withColumn("best", F.when(F.col("user_id") % 2 == 0, F.col("best"))) if speed else last
 
 
-USERS_SQL = """b AS (SELECT user_id, max(event_id) AS last_event, max(value) AS best FROM events WHERE ts < TIMESTAMP '2024-01-20' AND user_id % 5 <> 0 GROUP BY 1),
- s AS (SELECT user_id, max(event_id) AS last_event, CASE WHEN user_id % 2 = 0 THEN max(value) END AS best FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND user_id % 3 <> 0 GROUP BY 1)"""
+USERS_SQL = """b AS (SELECT user_id, max(event_id) AS last_event, max(value) AS best FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1),
+ s AS (SELECT user_id, max(event_id) AS last_event, CASE WHEN user_id % 2 = 0 THEN max(value) END AS best FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1)"""
+
+
+def event_stream(spark: SparkSession, sf_dir: str, slices: int = 5, by: str = "time", late: bool = False) -> DataFrame:
+    """The events as a stream that arrives in ``slices`` parts, one file a micro-batch.
+
+    ``by``: time, or hash for parts in no order. ``late``: the first part arrives
+    again at the end, with negative ids. Parts are written one after another, since the
+    file source goes by the files' times.
+    """
+    events = table(spark, sf_dir, "events")
+    if by == "time":
+        first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+        width = ((last or 0) - (first or 0)) // slices + 1
+        part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first or 0)) / F.lit(width))
+    else:
+        part = F.pmod(F.xxhash64("event_id"), F.lit(slices))
+    folder = fresh(spark, "stream")
+    for k in range(slices):
+        events.where(part == k).write.mode("append").parquet(folder)
+    if late:
+        events.where(part == 0).withColumn("event_id", -1 - F.col("event_id")).write.mode("append").parquet(folder)
+    return tables.read_log(spark, "parquet", {"path": folder}, streaming=True, schema=events.schema, rate=1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -308,7 +309,7 @@ def prj_22_23_elements(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(ts AS TIMESTAMP) AS event_time FROM events")
 def prj_01_09_payload(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ-01, PRJ-02, PRJ-09, SRC-06: rows to JSON messages and back, with their event time."""
+    """PRJ-01, PRJ-02, PRJ-09: rows to JSON messages and back, with their event time."""
     events = X.table(spark, d, "events")
     sent = P.to_payload(events.select("event_id", "event_type", "props", F.col("ts").cast("string").alias("ts")), "event_id").withColumn("timestamp", F.current_timestamp())
     read = P.parse_payload(sent, "value", "event_id long, event_type string, props string, ts string", keep=["timestamp"])
@@ -382,12 +383,20 @@ def join_05_merge_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {X.USERS_SQL} SELECT CAST(coalesce(b.user_id, s.user_id) AS VARCHAR) AS user_id, coalesce(s.last_event, b.last_event) AS last_event, CASE WHEN s.user_id IS NULL THEN b.best ELSE s.best END AS best,
-    CASE WHEN b.user_id IS NULL THEN 'speed' WHEN s.user_id IS NULL THEN 'batch' ELSE 'merged' END AS source FROM b FULL JOIN s ON b.user_id = s.user_id WHERE coalesce(b.user_id, s.user_id) BETWEEN 10 AND 20"""
+    CASE WHEN b.user_id IS NULL THEN 'speed' WHEN s.user_id IS NULL THEN 'batch' ELSE 'merged' END AS source FROM b FULL JOIN s ON b.user_id = s.user_id"""
 )
 def join_07_point_merge(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-07, FLT-11: a few keys; here speed's nulls win too."""
-    some = F.col("user_id").between(10, 20)
-    return merge.merge_rows(X.users(spark, d, False).where(some), X.users(spark, d, True).where(some), "user_id", null_overrides=True)
+    """JOIN-07: the merge in which speed's nulls win too, over all users."""
+    return merge.merge_rows(X.users(spark, d, False), X.users(spark, d, True), "user_id", null_overrides=True)
+
+
+@query("SELECT e.event_id, e.user_id, e.value FROM events e JOIN (SELECT max(user_id) AS u FROM events) ON user_id = u")
+def flt_11_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-11, FLT-12: the rows of one key, given as text."""
+    events = X.table(spark, d, "events").select("event_id", "user_id", "value")
+    if filters.is_empty(events):
+        return events
+    return filters.lookup_key(events, "user_id", str(events.agg(F.max("user_id")).first()[0]))
 
 
 @query(
@@ -472,7 +481,7 @@ def pvt_02_mean_pivot(spark: SparkSession, d: str) -> DataFrame:
     SELECT k.p_type, top.p_brand, count(part.p_partkey) AS n FROM k CROSS JOIN top LEFT JOIN part ON part.p_type = k.p_type AND part.p_brand = top.p_brand GROUP BY 1, 2 HAVING count(part.p_partkey) > 0"""
 )
 def pvt_03_05_top_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """PVT-03, PVT-04, PVT-05: a pivot on the ten most frequent values, and back to rows without zeros."""
+    """PVT-03, PVT-05: a pivot on the ten most frequent values, and back to rows without zeros."""
     wide = pivots.pivot_table(X.table(spark, d, "part"), ["p_type"], "p_brand", F.count(F.lit(1)), top=10)
     return pivots.unpivot_table(wide, ["p_type"], [c for c in wide.columns if c != "p_type"], "p_brand", "n", drop_zero=True)
 
@@ -489,7 +498,7 @@ def srt_05_page(spark: SparkSession, d: str) -> DataFrame:
     SELECT * FROM m ORDER BY best DESC NULLS LAST, user_id LIMIT 10 OFFSET 10"""
 )
 def srt_06_07_merged_page(spark: SparkSession, d: str) -> DataFrame:
-    """SRT-06, SRT-07: a page of merged views, merged whole."""
+    """SRT-06: a page of merged views, merged whole."""
     return serve.merged_page(X.users(spark, d, False), X.users(spark, d, True), "user_id", [F.col("best").desc_nulls_last(), F.col("user_id")], 2, 10)[0]
 
 
@@ -502,7 +511,7 @@ def srt_04_null_as_zero(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'customers' AS view, count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
 def ops_04_status(spark: SparkSession, d: str) -> DataFrame:
-    """OPS-04, OPS-11, PRJ-10: rows of each view."""
+    """OPS-11: rows of each view."""
     views = {"customers": P.audit(X.table(spark, d, "customer"), "batch"), "orders": X.table(spark, d, "orders")}
     return serve.view_status(views).select("view", "n_rows")
 
@@ -532,10 +541,23 @@ def ops_10_profitable(spark: SparkSession, d: str) -> DataFrame:
 # --- sources, sinks and streams ---------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, d: str, rate: int | None = None) -> DataFrame:
-    """The events as a stream; a pattern, since the file source takes no path of a single file."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return tables.read_log(spark, "parquet", {"path": f"{d}/event[s].parquet"}, streaming=True, schema=schema, rate=rate)
+def _all_read(spark: SparkSession, writers: dict) -> list:
+    """Run streams until all input is read; their progress reports."""
+    started = streams.start_all(writers, fresh(spark, "checkpoint"))
+    for q in started:
+        q.awaitTermination()
+    return [p for q in started for p in q.recentProgress]
+
+
+def _batches(progress: list) -> int:
+    """Micro-batches that had rows."""
+    return sum(p["numInputRows"] > 0 for p in progress)
+
+
+def _several_epochs(df: DataFrame) -> DataFrame:
+    """``epoch`` replaced by whether the rows come from several epochs."""
+    several = df.agg((F.count_distinct("epoch") > 1).alias("several_epochs"))
+    return df.drop("epoch").crossJoin(F.broadcast(several))  # one row
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, CAST(NULL AS VARCHAR) AS c_comment FROM customer")
@@ -564,75 +586,218 @@ def snk_10_append_new(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+@query("SELECT user_id, max(event_id) AS event_id, TRUE AS several_epochs FROM events GROUP BY 1")
 def snk_03_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-03, SNK-07, STR-14: the newest row per key over a stream of the events, whatever the order of its files."""
-    stream = _event_stream(spark, d, 4)
+    """SNK-03, SNK-07: the newest row per key over the epochs of a stream whose parts come in no order."""
     target = fresh(spark, "upserted")
-    for q in streams.start_all({"upsert": streams.upsert_stream(stream.select("user_id", "event_id"), target, "user_id", ["event_id"])}, fresh(spark, "checkpoint")):
-        q.awaitTermination()
-    return sinks.read_upserted(spark, target, "user_id", newest=["event_id"])
+    stream = X.event_stream(spark, d, by="hash").select("user_id", "event_id")
+    _all_read(spark, {"upsert": streams.upsert_stream(stream, target, "user_id", ["event_id"], compact_every=3)})
+    return _several_epochs(sinks.read_upserted(spark, target, "user_id", True, ["event_id"]))
+
+
+def _window_stream(spark: SparkSession, d: str, width: str, slide: str | None, keys: list[str], measures: list[M]) -> DataFrame:
+    """Windows of the event stream, every update upserted."""
+    stats = streams.windowed_stats(streams.watermarked(X.event_stream(spark, d), "ts"), "ts", width, slide, keys, measures)
+    keyed = stats.withColumn("key", F.concat_ws("|", F.col("window_start").cast("string"), *keys))
+    target = fresh(spark, "windows")
+    _all_read(spark, {"windows": streams.upsert_stream(keyed, target, "key").outputMode("update")})
+    out = sinks.read_upserted(spark, target, "key", True).drop("key")
+    return _several_epochs(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}))
 
 
-_WINDOW_SQL = """SELECT w AS window_start, w + INTERVAL 5 MINUTE AS window_end, event_type, count(*) AS n, max(value) AS max_value, min(value) AS min_value
+_WINDOW_SQL = """SELECT w AS window_start, w + INTERVAL 5 MINUTE AS window_end, event_type, count(*) AS n, max(value) AS max_value, min(value) AS min_value, TRUE AS several_epochs
     FROM (SELECT *, unnest([time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(i) FOR i IN range(5)]) AS w FROM events) GROUP BY 1, 2, 3"""
+_WINDOW_MEASURES = [M("n", "count"), M("max_value", "max", "value"), M("min_value", "min", "value")]
 
 
 @query(_WINDOW_SQL)
 def str_02_sliding(spark: SparkSession, d: str) -> DataFrame:
-    """STR-02: sliding windows by key over the events as a table."""
-    events = X.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = streams.windowed_stats(events, "ts", "5 minutes", "1 minute", ["event_type"], [M("n", "count"), M("max_value", "max", "value"), M("min_value", "min", "value")])
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    """STR-02: sliding windows by key over a stream of several epochs."""
+    return _window_stream(spark, d, "5 minutes", "1 minute", ["event_type"], _WINDOW_MEASURES)
 
 
 @query(_WINDOW_SQL.replace("time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(i) FOR i IN range(5)", "time_bucket(INTERVAL 5 MINUTE, ts)"))
 def str_03_tumbling_stream(spark: SparkSession, d: str) -> DataFrame:
-    """STR-01, STR-03, STR-11, SRC-05: tumbling windows by key over a stream, updates upserted."""
-    stream = _event_stream(spark, d)
-    stats = streams.windowed_stats(streams.watermarked(stream, "ts"), "ts", "5 minutes", None, ["event_type"], [M("n", "count"), M("max_value", "max", "value"), M("min_value", "min", "value")])
-    keyed = stats.withColumn("key", F.concat_ws("|", F.col("window_start").cast("string"), "event_type"))
-    target = fresh(spark, "windows")
-    for q in streams.start_all({"windows": streams.upsert_stream(keyed, target, "key").outputMode("update")}, fresh(spark, "checkpoint")):
-        q.awaitTermination()
-    return sinks.read_upserted(spark, target, "key").drop("key").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    """STR-01, STR-03, STR-11, STR-12, SRC-05: tumbling windows by key over a rate-limited stream, updates upserted."""
+    return _window_stream(spark, d, "5 minutes", None, ["event_type"], _WINDOW_MEASURES)
 
 
 @query(
-    """SELECT w AS window_start, w + INTERVAL 10 MINUTE AS window_end, count(*) AS n, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value, max(value) AS max_value, CAST(stddev(value) AS DECIMAL(28,6)) AS value_stddev, quantile_disc(value, 0.9) AS value_90
+    """SELECT w AS window_start, w + INTERVAL 10 MINUTE AS window_end, count(*) AS n, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value, max(value) AS max_value, CAST(stddev(value) AS DECIMAL(28,6)) AS value_stddev, quantile_disc(value, 0.9) AS value_90, TRUE AS several_epochs
     FROM (SELECT *, unnest([time_bucket(INTERVAL 2 MINUTE, ts) - to_minutes(2 * i) FOR i IN range(5)]) AS w FROM events) GROUP BY 1, 2"""
 )
 def str_04_trend(spark: SparkSession, d: str) -> DataFrame:
-    """STR-04: sliding windows without a key."""
-    events = X.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """STR-04: sliding windows without a key, over a stream of several epochs."""
     ms = [M("n", "count"), M("avg_value", "avg", "value"), M("max_value", "max", "value"), M("value_stddev", "stddev", "value"), M("value_90", "percentile", "value", q=0.9, accuracy=1_000_000)]
-    out = streams.windowed_stats(events, "ts", "10 minutes", "2 minutes", [], ms)
-    return out.withColumns({"avg_value": exact("avg_value"), "value_stddev": exact("value_stddev"), **{c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}})
+    return _window_stream(spark, d, "10 minutes", "2 minutes", [], ms).withColumns({"avg_value": exact("avg_value"), "value_stddev": exact("value_stddev")})
 
 
-@query("SELECT event_id, event_type FROM events")
+@query(
+    """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n, TRUE AS several_epochs, TRUE AS late_dropped FROM events
+    GROUP BY 1, 2 HAVING time_bucket(INTERVAL 5 MINUTE, any_value(ts)) + INTERVAL 15 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)"""
+)
+def str_05_late(spark: SparkSession, d: str) -> DataFrame:
+    """STR-05: windows that the watermark has closed; the first part's rows come again at the end, days late, and are dropped."""
+    stream = streams.watermarked(X.event_stream(spark, d, late=True), "ts")
+    target = fresh(spark, "closed")
+    stats = streams.windowed_stats(stream, "ts", "5 minutes", None, ["event_type"], [M("n", "count")])
+    progress = _all_read(spark, {"closed": stats.writeStream.format("parquet").option("path", target).outputMode("append")})
+    late = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
+    rows = spark.read.parquet(target).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+    return rows.withColumns({"several_epochs": F.lit(_batches(progress) > 1), "late_dropped": F.lit(late > 0)})
+
+
+@query("SELECT event_id, event_type, TRUE AS several_epochs FROM events")
 def str_06_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """STR-05, STR-06: a stream in which every event comes twice, deduplicated with bounded state."""
-    stream = _event_stream(spark, d)
-    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    """STR-06: a stream in which every event comes twice, deduplicated with bounded state."""
+    twice = X.event_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     target = fresh(spark, "deduplicated")
-    writer = streams.dedup(streams.watermarked(twice, "ts"), ["event_id"]).select("event_id", "event_type").writeStream.format("parquet").option("path", target)
-    for q in streams.start_all({"dedup": writer}, fresh(spark, "checkpoint")):
-        q.awaitTermination()
-    return spark.read.parquet(target)
+    once = streams.dedup(streams.watermarked(twice, "ts"), ["event_id"]).select("event_id", "event_type")
+    progress = _all_read(spark, {"dedup": once.writeStream.format("parquet").option("path", target)})
+    return spark.read.parquet(target).withColumn("several_epochs", F.lit(_batches(progress) > 1))
+
 
+def _total_view(name: str, key: Column) -> streams.View:
+    return streams.View(name, "key", lambda b: b.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.max("value").alias("top")), {"n": "sum", "top": "max"})
 
-@query("SELECT 'type' AS view, event_type AS key, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), count(*) FROM events GROUP BY 2")
+
+@query(
+    """SELECT 'type' AS view, event_type AS key, count(*) AS n, max(value) AS top, TRUE AS several_epochs FROM events GROUP BY 2
+    UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), count(*), max(value), TRUE FROM events GROUP BY 2"""
+)
 def str_07_views(spark: SparkSession, d: str) -> DataFrame:
-    """STR-07, STR-08, STR-12, STR-13, VIEW-15: views of every micro-batch, as running totals."""
-    stream = _event_stream(spark, d, 4)
+    """STR-07, STR-08: views of every micro-batch, as running totals that each epoch adds to."""
     root = fresh(spark, "views")
-    views = [streams.View("type", "key", lambda b: b.groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("n"))), streams.View("user", "key", lambda b: b.groupBy(F.col("user_id").cast("string").alias("key")).agg(F.count("*").alias("n")))]
-    writer = stream.writeStream.foreachBatch(streams.micro_batch_views(views, root, "running"))
-    for q in streams.start_all({"views": writer}, fresh(spark, "checkpoint")):
-        q.awaitTermination()
-    read = [sinks.read_upserted(spark, f"{root}/{v.name}", "key").select(F.lit(v.name).alias("view"), "key", "n") for v in views]
-    return read[0].unionByName(read[1])
+    views = [_total_view("type", F.col("event_type")), _total_view("user", F.col("user_id").cast("string"))]
+    progress = _all_read(spark, {"views": X.event_stream(spark, d).writeStream.foreachBatch(streams.micro_batch_views(views, root, compact_every=2))})
+    read = [sinks.read_upserted(spark, f"{root}/{v.name}", "key", merge=v.merge).select(F.lit(v.name).alias("view"), "key", "n", "top") for v in views]
+    return read[0].unionByName(read[1]).withColumn("several_epochs", F.lit(_batches(progress) > 1))
+
+
+@query(
+    f"""SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, {_case("value", D.STREAM_POPULARITY)} AS popularity, {_case("value / 10", D.STREAM_RATING)} AS rating, {_case("hour(ts)", D.PERIOD)} AS period,
+    CAST(hour(ts) AS INTEGER) AS process_hour, CAST(dayofweek(ts) + 1 AS INTEGER) AS process_day_of_week, value > 50 AS is_high, 'speed' AS layer, TRUE AS several_epochs FROM events"""
+)
+def view_15_raw_rows(spark: SparkSession, d: str) -> DataFrame:
+    """VIEW-15, PRJ-10: a stream's rows with all derived columns, upserted by id."""
+    rows = X.event_stream(spark, d)
+    rows = rows.withColumns({"k": F.get_json_object("props", "$.k").try_cast("long"), "popularity": D.bucketize("value", D.STREAM_POPULARITY), "rating": D.bucketize(F.col("value") / 10, D.STREAM_RATING)})
+    rows = P.clock_parts(rows, F.col("ts")).withColumns({"period": D.bucketize("process_hour", D.PERIOD), "is_high": D.flag(F.col("value") > 50)})
+    target = fresh(spark, "raw")
+    _all_read(spark, {"raw": streams.upsert_stream(P.audit(rows, "speed"), target, "event_id")})
+    return _several_epochs(sinks.read_upserted(spark, target, "event_id", True).drop("user_id", "ts", "props", "processed_at"))
+
+
+@query(
+    """SELECT 'user' AS sink, CAST(user_id AS VARCHAR) AS key, max(event_id) AS last_event, arg_max(value, event_id) AS value, TRUE AS several_epochs FROM events GROUP BY 2
+    UNION ALL SELECT 'type', event_type, max(event_id), arg_max(value, event_id), TRUE FROM events GROUP BY 2"""
+)
+def str_14_two_sinks(spark: SparkSession, d: str) -> DataFrame:
+    """STR-14, PRJ-01, PRJ-06: messages parsed, cast and upserted to two sinks."""
+    messages = P.to_payload(X.event_stream(spark, d).select("event_id", "user_id", "event_type", F.col("value").cast("string").alias("value")), "event_id")
+    read = P.parse_payload(messages, "value", "event_id string, user_id string, event_type string, value string")
+    rows = read.select(P.to_number("event_id", "long").alias("last_event"), F.col("user_id"), F.col("event_type"), P.to_number("value").alias("value"))
+    targets = {"user": (fresh(spark, "users"), "user_id"), "type": (fresh(spark, "types"), "event_type")}
+    progress = _all_read(spark, {name: streams.upsert_stream(rows.select(F.col(key).alias("key"), "last_event", "value"), path, "key", ["last_event"]) for name, (path, key) in targets.items()})
+    out = [sinks.read_upserted(spark, path, "key", newest=["last_event"]).select(F.lit(name).alias("sink"), "key", "last_event", "value") for name, (path, _) in targets.items()]
+    return out[0].unionByName(out[1]).withColumn("several_epochs", F.lit(_batches(progress) > len(targets)))
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{n}' AS view, CAST({c} AS VARCHAR) AS key, count(*) AS n, TRUE AS several_batches FROM events GROUP BY 2" for n, c in (("type", "event_type"), ("user", "user_id"), ("day", "day(ts)"), ("hour", "hour(ts)")))
+)
+def str_13_four_queries(spark: SparkSession, d: str) -> DataFrame:
+    """STR-13, STR-09: four named queries run side by side on a processing-time trigger, and are stopped when they have read what is there."""
+    keys = {"type": F.col("event_type"), "user": F.col("user_id"), "day": F.dayofmonth("ts"), "hour": F.hour("ts")}
+    root = fresh(spark, "side")
+    stream = X.event_stream(spark, d)
+    views = {n: _total_view(n, c.cast("string")) for n, c in keys.items()}
+    started = streams.start_all({f"{n}-{root[-8:]}": stream.writeStream.foreachBatch(streams.micro_batch_views([v], root)) for n, v in views.items()}, fresh(spark, "checkpoint"), "0 seconds")
+    batches = streams.drain_and_stop(started)
+    read = [sinks.read_upserted(spark, f"{root}/{n}", "key", merge=v.merge).select(F.lit(n).alias("view"), "key", "n") for n, v in views.items()]
+    return reduce(DataFrame.unionByName, read).withColumn("several_batches", F.lit(batches > len(views)))
+
+
+# --- stored views and serving -----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {X.DATED_SQL} SELECT 'years' AS view, count(DISTINCT order_year) AS n_rows, TRUE AS has_time, CAST(NULL AS BIGINT) AS last_epoch, 'batch' AS layer FROM dated
+    UNION ALL SELECT 'types', count(DISTINCT event_type), TRUE, 7, 'speed' FROM events"""
+)
+def ops_04_view_status(spark: SparkSession, d: str) -> DataFrame:
+    """OPS-04, SNK-01, SNK-02: stored views with their rows, latest time and epoch, and layer."""
+    years, types = fresh(spark, "years"), fresh(spark, "types")
+    sinks.write_view(P.audit(X.dated_orders(spark, d).groupBy("order_year").count(), "batch"), years)
+    sinks.write_view(P.audit(X.event_stats(spark, d, True).unionByName(X.event_stats(spark, d, False)).groupBy("event_type").agg(F.sum("n").alias("n")), "speed", epoch_id=7), types)
+    status = serve.view_status({"years": tables.read_view(spark, years), "types": tables.read_view(spark, types)})
+    return status.select("view", "n_rows", F.col("last_at").isNotNull().alias("has_time"), "last_epoch", "layer")
+
+
+@query(
+    f"""WITH {X.EVENT_STATS_SQL}, m AS (SELECT coalesce(b.event_type, s.event_type) AS event_type, coalesce(b.n, 0) + coalesce(s.n, 0) AS n FROM b FULL JOIN s ON b.event_type = s.event_type),
+    y AS (SELECT CAST(day(ts) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1)
+    SELECT 'types' AS view, event_type AS key, n, CAST(NULL AS BIGINT) AS min_key, CAST(NULL AS BIGINT) AS max_key FROM m
+    UNION ALL SELECT 'days', day, n, (SELECT min(CAST(day AS BIGINT)) FROM y), (SELECT max(CAST(day AS BIGINT)) FROM y) FROM y"""
+)
+def ops_06_serve_merged(spark: SparkSession, d: str) -> DataFrame:
+    """OPS-06: merged statistics of both layers, served by count and by day, with the range of days."""
+    types = serve.serve_stats(X.event_stats(spark, d, False), X.event_stats(spark, d, True), "event_type", "n", ["total"], ["top"], [F.desc("n"), F.col("event_type")])
+
+    def days(speed: bool) -> DataFrame:
+        events, cut = X.table(spark, d, "events"), F.lit(X.SPLIT).cast("timestamp_ntz")
+        return events.where(F.col("ts") >= cut if speed else F.col("ts") < cut).groupBy(F.dayofmonth("ts").alias("day")).agg(F.count("*").alias("n"))
+
+    by_day = serve.serve_stats(days(False), days(True), "day", "n", [], [], [F.desc(F.col("day").cast("long"))])
+    ranged = by_day.crossJoin(F.broadcast(serve.key_range(by_day, "day")))  # one row
+    null = F.lit(None).cast("long")
+    return types.select(F.lit("types").alias("view"), F.col("event_type").alias("key"), "n", null.alias("min_key"), null.alias("max_key")).unionByName(
+        ranged.select(F.lit("days").alias("view"), F.col("day").alias("key"), "n", "min_key", "max_key")
+    )
+
+
+@query(f"WITH {X.DATED_SQL} SELECT order_year, " + ", ".join(f"count(*) FILTER (WHERE value_label = '{v}') AS \"{v}\"" for v in _LABELS) + " FROM dated GROUP BY 1")
+def ops_08_stored_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """OPS-08: a pivot stored as a view and served as it is."""
+    path = fresh(spark, "pivot")
+    sinks.write_view(pvt_01_count_pivot(spark, d), path)
+    return tables.read_view(spark, path)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500")
+def ops_09_export(spark: SparkSession, d: str) -> DataFrame:
+    """OPS-09, SNK-11, SRC-10: a view of the first 700 rows, its best 500 exported as JSON; top-k reports."""
+    view, export = fresh(spark, "top"), fresh(spark, "export")
+    order = [F.desc("o_totalprice"), "o_orderkey"]
+    sinks.write_top(X.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), view, order, 700)
+    serve.export_json(tables.read_view(spark, view, F.col("o_totalprice").isNotNull(), order, 500), export, order)
+    return spark.read.schema("o_orderkey bigint, o_totalprice double").json(export)
+
+
+@query(
+    f"""WITH {X.USERS_SQL} SELECT CAST(coalesce(b.user_id, s.user_id) AS VARCHAR) AS user_id, coalesce(s.last_event, b.last_event) AS last_event, coalesce(s.best, b.best) AS best,
+    CASE WHEN b.user_id IS NULL THEN 'speed' WHEN s.user_id IS NULL THEN 'batch' ELSE 'merged' END AS source FROM b FULL JOIN s ON b.user_id = s.user_id ORDER BY best DESC NULLS LAST, user_id LIMIT 25"""
+)
+def srt_07_merged_top(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-07: the best rows of both layers merged; a top-k report."""
+    return serve.merged_top(X.users(spark, d, False), X.users(spark, d, True), "user_id", "best", 25)
+
+
+@query(
+    """WITH top AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 10)
+    SELECT p_type, p_brand, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) / count(*) AS DECIMAL(28,4)) AS mean FROM part WHERE p_brand IN (SELECT p_brand FROM top) GROUP BY 1, 2"""
+)
+def pvt_04_top_mean_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """PVT-04: means on the ten most frequent values, and back to rows."""
+    mean = (F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).cast("decimal(28,4)")
+    wide = pivots.pivot_table(X.table(spark, d, "part"), ["p_type"], "p_brand", mean, top=10)
+    return pivots.unpivot_table(wide, ["p_type"], [c for c in wide.columns if c != "p_type"], "p_brand", "mean", drop_zero=True)
+
+
+@query("SELECT o_custkey, array_to_string(list_sort(list(o_orderpriority)), '|') AS priorities FROM orders GROUP BY 1")
+def agg_12_list(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-12: all values of a group as a sorted list."""
+    return aggs.group_stats(X.table(spark, d, "orders"), ["o_custkey"], [M("priorities", "list", "o_orderpriority")]).withColumn("priorities", F.array_join("priorities", "|"))
 
 
 _RECORD = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("genres", T.ArrayType(T.StructType([T.StructField("name", T.StringType())])))])

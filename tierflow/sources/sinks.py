@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.parse import to_payload
+from .workspace import children, delete_folder
 
 
 def write_view(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: Sequence[str] = (), **options: str) -> None:
@@ -33,25 +34,61 @@ def upsert(df: DataFrame, path: str, key: str, epoch: int, newest: Sequence[str]
     """Write the rows of one epoch under the target; a replayed epoch replaces itself.
 
     The target is merged on reading (``read_upserted``), so an epoch costs its own
-    rows and not the table's.
+    rows and not the table's; ``compact`` bounds how many epochs a reader merges.
     """
     rows = one_per_key(df.where(F.col(key).isNotNull()), key, newest)
     rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def read_upserted(spark: SparkSession, path: str, key: str, keep_epoch: bool = False, newest: Sequence[str] = ()) -> DataFrame:
-    """The newest row of all epochs for each key, ties to the last epoch; without ``newest`` the row of the last epoch."""
-    rows = spark.read.parquet(path)
+#: Aggregates that merge: of parts, they give that of the whole.
+MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[int]]:
+    """The last compacted table and the epochs after it, up to which epoch it goes, and those epochs."""
+    done = [int(x.removeprefix("upto=")) for x in children(spark, f"{path}/_compacted") if x.startswith("upto=") and "_SUCCESS" in children(spark, f"{path}/_compacted/{x}")]
+    upto = max(done, default=-1)
+    later = [e for e in sorted(int(x.removeprefix("epoch=")) for x in children(spark, path) if x.startswith("epoch=")) if e > upto]
+    parts = [spark.read.option("basePath", path).parquet(*[f"{path}/epoch={e}" for e in later])] if later else []
+    parts += [spark.read.parquet(f"{path}/_compacted/upto={upto}")] if done else []
+    if not parts:
+        raise FileNotFoundError(f"nothing was written to {path}")
+    typed = [p.withColumn("epoch", F.col("epoch").cast("long")) for p in parts]
+    return (typed[0] if len(typed) == 1 else typed[0].unionByName(typed[1])), upto, later
+
+
+def read_upserted(spark: SparkSession, path: str, key: str, keep_epoch: bool = False, newest: Sequence[str] = (), merge: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per key over all epochs.
+
+    The newest row, ties to the last epoch; without ``newest`` the row of the last
+    epoch. With ``merge`` (column -> sum, min or max) epochs are parts of one
+    aggregate, and are put together.
+    """
+    rows, _, _ = _stored(spark, path)
+    if merge is not None:
+        made = [MERGES[kind](c).alias(c) for c, kind in merge.items()]
+        return rows.groupBy(key).agg(*made, *([F.max("epoch").alias("epoch")] if keep_epoch else []))
     others = [c for c in rows.columns if c not in (key, "epoch")]
     last = rows.groupBy(key).agg(F.max_by(F.struct(*others, "epoch"), F.struct(*newest, "epoch")).alias("__row"))
     return last.select(key, *[f"__row.{c}" for c in others], *(["__row.epoch"] if keep_epoch else []))
 
 
-def compact(spark: SparkSession, path: str, key: str, target: str, newest: Sequence[str] = ()) -> None:
-    """The merged table as one epoch of a new target folder; the old one is left for the caller to drop."""
-    merged = read_upserted(spark, path, key, keep_epoch=True, newest=newest)
-    last = merged.agg(F.max("epoch")).first()[0] or 0
-    merged.drop("epoch").write.mode("overwrite").parquet(f"{target}/epoch={last}")
+def compact(spark: SparkSession, path: str, key: str, newest: Sequence[str] = (), merge: Mapping[str, str] | None = None) -> None:
+    """Store the merged table once, so that readers merge it with later epochs only.
+
+    What the compaction before this one had covered is deleted; what this one
+    covers stays until the next, for readers that have begun.
+    """
+    _, before, later = _stored(spark, path)
+    if not later:
+        return
+    read_upserted(spark, path, key, True, newest, merge).write.mode("overwrite").parquet(f"{path}/_compacted/upto={later[-1]}")
+    for name in children(spark, path):
+        if name.startswith("epoch=") and int(name.removeprefix("epoch=")) <= before:
+            delete_folder(spark, f"{path}/{name}")
+    for name in children(spark, f"{path}/_compacted"):
+        if int(name.removeprefix("upto=")) < before:
+            delete_folder(spark, f"{path}/_compacted/{name}")
 
 
 def append_new(df: DataFrame, path: str, key: str, order: Sequence[str] = ()) -> int:

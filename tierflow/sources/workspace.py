@@ -35,6 +35,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none where there is no folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,7 +6,7 @@ session's zone at UTC.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.aggs import Measure
-from ..sources.sinks import upsert
+from ..sources.sinks import compact, upsert
 
 
 def watermarked(df: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -36,38 +36,45 @@ def dedup(df: DataFrame, keys: Sequence[str], bounded: bool = True) -> DataFrame
 
 @dataclass(frozen=True)
 class View:
-    """A view of a micro-batch: its name, its key and how its rows are made."""
+    """A view of a micro-batch: its name, its key and how its rows are made.
+
+    ``merge`` says for a running view how each column of two epochs is put together: sum, min or max.
+    """
 
     name: str
     key: str
     make: Callable[[DataFrame], DataFrame]
+    merge: Mapping[str, str] | None = None
+
+
+#: Epochs until a target is compacted.
+COMPACT_EVERY = 50
 
 
-def micro_batch_views(views: Sequence[View], root: str, mode: str = "last_epoch") -> Callable[[DataFrame, int], None]:
+def micro_batch_views(views: Sequence[View], root: str, compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that upserts every view of the batch under ``root``.
 
-    ``last_epoch``: a key's row is that of the last epoch that had it. ``running``:
-    the function keeps the batch's rows too, and views are made of all of them.
+    A view without ``merge`` has for each key the row of the last epoch that had
+    it. One with ``merge`` holds running totals: an epoch writes the aggregate of its own rows, and
+    reading (``read_upserted`` with the same ``merge``) puts the epochs together, so
+    an epoch's work does not grow with the stream.
     The batch is read once and kept while its views are made. A view that fails
     does not stop the others, but fails the epoch, which is then repeated; a
     repeated epoch replaces its own rows.
     """
-    if mode not in ("last_epoch", "running"):
-        raise ValueError(mode)
 
     def run(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         try:
             if batch.isEmpty():
                 return
-            rows = batch
-            if mode == "running":
-                batch.write.mode("overwrite").parquet(f"{root}/_rows/epoch={epoch}")
-                rows = batch.sparkSession.read.parquet(f"{root}/_rows").where(F.col("epoch") <= epoch).drop("epoch")
             failed = []
             for v in views:
                 try:
-                    upsert(v.make(rows).withColumn("epoch_id", F.lit(epoch).cast("long")), f"{root}/{v.name}", v.key, epoch)
+                    made = v.make(batch) if v.merge else v.make(batch).withColumn("epoch_id", F.lit(epoch).cast("long"))
+                    upsert(made, f"{root}/{v.name}", v.key, epoch)
+                    if epoch % compact_every == compact_every - 1:
+                        compact(batch.sparkSession, f"{root}/{v.name}", v.key, merge=v.merge)
                 except Exception as e:  # noqa: BLE001  raised below, with all that failed
                     failed.append((v.name, e))
             if failed:
@@ -78,12 +85,14 @@ def micro_batch_views(views: Sequence[View], root: str, mode: str = "last_epoch"
     return run
 
 
-def upsert_stream(df: DataFrame, path: str, key: str, newest: Sequence[str] = ()) -> DataStreamWriter:
+def upsert_stream(df: DataFrame, path: str, key: str, newest: Sequence[str] = (), compact_every: int = COMPACT_EVERY) -> DataStreamWriter:
     """Every micro-batch's newest row per key to a keyed target."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
             upsert(batch, path, key, epoch, newest)
+            if epoch % compact_every == compact_every - 1:
+                compact(batch.sparkSession, path, key, newest)
 
     return df.writeStream.foreachBatch(run)
 
@@ -105,6 +114,19 @@ def run_until_any_ends(spark: SparkSession, timeout: float | None = None) -> Non
         stop_all(spark)
 
 
-def stop_all(spark: SparkSession) -> None:
+def stop_all(spark: SparkSession, names: Sequence[str] | None = None) -> None:
+    """Stop the named queries, or all."""
     for q in spark.streams.active:
-        q.stop()
+        if names is None or q.name in names:
+            q.stop()
+
+
+def drain_and_stop(queries: Sequence[StreamingQuery]) -> int:
+    """Let running queries finish what has arrived, then stop them; how many micro-batches had rows. An error of a query is raised."""
+    try:
+        for q in queries:
+            q.processAllAvailable()
+        return sum(p["numInputRows"] > 0 for q in queries for p in q.recentProgress)
+    finally:
+        for q in queries:
+            q.stop()
