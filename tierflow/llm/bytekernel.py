@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step handles (one longer text is a step of its own).
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 800_000
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
