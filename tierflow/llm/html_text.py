@@ -387,10 +387,17 @@ def extract(page: str | None, model: Model | None = None) -> str:
 
 
 def training_pages(pages: DataFrame, column: str = "html", most: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS) -> list[str]:
-    """The pages with the smallest hashes of those within the bound on characters: ``most`` * ``characters`` on the driver at most."""
+    """The pages with the smallest hashes of those within the bound on characters: ``most`` * ``characters`` on the driver, about.
+
+    A bound on the hash, from the number of pages, leaves about twice as many as are
+    wanted, so tasks send next to nothing however many they are.
+    """
     page = F.col(column)
-    short = pages.where(page.isNotNull() & (F.length(page) <= characters)).select(page.alias("page"), F.xxhash64(page).alias("place"))
-    return [r["page"] for r in short.orderBy("place", "page").limit(most).collect()]
+    short = pages.where(page.isNotNull() & (F.length(page) <= characters)).select(page.alias("page"), F.pmod(F.xxhash64(page), F.lit(1 << 30)).alias("place"))
+    bound = int((1 << 30) * min(1.0, 2 * most / max(1, short.count())))
+    # Repeated pages share a hash: they count once, so that they cannot crowd the driver.
+    drawn = short.where(F.col("place") < bound).groupBy("place").agg(F.min("page").alias("page"))
+    return [r["page"] for r in drawn.orderBy("place").limit(most).collect()]
 
 
 def learn(pages: DataFrame, column: str = "html") -> Model:
