@@ -391,10 +391,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     with_text = docs.where("text IS NOT NULL").select("doc_id", "text")
     # Rows that repeat an id count once, so that they cannot crowd the driver.
     sizes = with_text.select("doc_id", F.length("text").alias("chars")).join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.max("chars").alias("chars")).withColumn("place", place)
+    counts = {r["toxic"]: r["count"] for r in sizes.groupBy("toxic").count().collect()}
     drawn: list[int] = []
-    for k in (0, 1):
+    for k, of_class in sorted(counts.items()):
         n, left = 0, characters
-        for r in sizes.where(F.col("toxic") == k).orderBy("place", "doc_id").limit(2 * per_class).collect():
+        # A bound on the hash leaves about three times as many as are wanted, so tasks send next to nothing however many they are.
+        bound = int((1 << 30) * min(1.0, 3 * per_class / of_class))
+        for r in sizes.where((F.col("toxic") == k) & (F.col("place") < bound)).orderBy("place", "doc_id").limit(2 * per_class).collect():
             if n < per_class and r["chars"] <= left:
                 n, left = n + 1, left - r["chars"]
                 drawn.append(r["doc_id"])
@@ -405,7 +408,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     for r in sorted(rows, key=lambda r: (r["place"], r["text"])):
         by[int(r["toxic"])].append(r["text"])
     # A table without labelled texts, or labels of one class, give a constant model; a lost class is an error.
-    if not (by[0] and by[1]) and sizes.select("toxic").distinct().count() == 2:
+    if not (by[0] and by[1]) and len(counts) == 2:
         raise ValueError(f"texts of both classes are labelled, but only {len(by[0])} clean and {len(by[1])} toxic ones have at most {characters} characters")
     return by[0] + by[1], [0] * len(by[0]) + [1] * len(by[1])
 
