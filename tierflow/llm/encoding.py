@@ -32,6 +32,8 @@ from . import bytekernel as K
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Pieces remembered by one worker; then it starts over.
 REMEMBERED = 1_500_000
+#: Pieces that the tokenizer encodes at once; its results hold far more than the ids.
+AT_ONCE = 4096
 #: Late comers until they are merged into the large table.
 LATE = 150_000
 
@@ -134,9 +136,12 @@ class PieceEncoder:
         new = np.flatnonzero(at < 0)
         if len(new):
             raw = data.tobytes()
-            spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
-            encoded = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)
-            at[new] = self._remember(h[new], [e.ids for e in encoded])
+            spans = list(zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True))
+            ids: list[list[int]] = []
+            for k in range(0, len(spans), AT_ONCE):
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans[k : k + AT_ONCE]], add_special_tokens=False)]
+            at[new] = self._remember(h[new], ids)
+            del ids
         at = at[inverse]
         lo, hi = self.ends[at], self.ends[at + 1]
         size = hi - lo
