@@ -81,6 +81,25 @@ def test_distributed_rank_equals_window(spark, way):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 40])
+def test_distributed_rank_in_groups_over_ranges(spark, buckets):
+    """Runs of equal keys and groups that go on over several ranges, a value on 90 % of rows, null groups."""
+    from pyspark.sql import Window
+
+    rows = [(i, None if i % 50 == 0 else "hot" if i % 10 else f"g{i % 30}", 1.0 if i % 10 < 9 else float(i % 4), i % 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, y int")
+    kinds = {"r": "rank", "d": "dense_rank", "p": "percent_rank", "c": "cume_dist", "n": "row_number", "t": "ntile:4"}
+    got = windows.distributed_ranks(
+        df, [windows.Ranking([("x", "desc"), ("y", "asc")], kinds, ["id"], ["g"]), windows.Ranking([("x", "asc")], {"all_r": "rank", "all_d": "dense_rank", "all_c": "cume_dist"})], buckets
+    )
+    w = Window.partitionBy("g").orderBy(F.col("x").desc_nulls_last(), F.col("y").asc_nulls_first())
+    u = Window.partitionBy("g").orderBy(F.col("x").desc_nulls_last(), F.col("y").asc_nulls_first(), "id")
+    a = Window.orderBy(F.col("x").asc_nulls_first())
+    plain = {"r": F.rank().over(w), "d": F.dense_rank().over(w), "p": F.percent_rank().over(w), "c": F.cume_dist().over(w), "n": F.row_number().over(u), "t": F.ntile(4).over(u)}
+    want = df.withColumns({**plain, "all_r": F.rank().over(a), "all_d": F.dense_rank().over(a), "all_c": F.cume_dist().over(a)})
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
 def test_distributed_rank_edges(spark):
     empty = spark.createDataFrame([], "id int, x double")
     assert windows.distributed_rank(empty, [("x", "desc")], {"r": "rank"}).count() == 0

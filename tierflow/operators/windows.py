@@ -1,20 +1,20 @@
 """Ranks, lags, running values and shares that stay distributed.
 
-A window without a partition is one task. ``distributed_rank`` replaces it by
-buckets of the leading sort key; ``share_of_total`` by a one-row aggregate. The
+A window without a partition is one task. ``distributed_ranks`` replaces it by
+ranges of the whole sort key; ``share_of_total`` by a one-row aggregate. The
 others take grouped frames, which are a row per year or the like.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the leading key in a global rank.
-BUCKETS = 64
+from ..sources.workspace import discard, materialize
 
 
 def ordered(order: Sequence[tuple[str, str]]) -> list[Column]:
@@ -22,110 +22,156 @@ def ordered(order: Sequence[tuple[str, str]]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_first() for c, way in order]
 
 
-def partition_rank(df: DataFrame, partition: Sequence[str], order: Sequence[tuple[str, str]], kinds: Mapping[str, str], digits: int | None = None) -> DataFrame:
-    """Ranks inside partitions: out -> rank, dense_rank, row_number, percent_rank, cume_dist or ntile:n.
-
-    For row_number and ntile end ``order`` with a key, else ties are arbitrary.
-    """
-    w = Window.partitionBy(*partition).orderBy(*ordered(order))
-    made = {}
-    for out, kind in kinds.items():
-        c = F.ntile(int(kind[6:])).over(w) if kind.startswith("ntile:") else getattr(F, kind)().over(w)
-        made[out] = F.round(c, digits) if digits is not None and kind in ("percent_rank", "cume_dist") else c
-    return df.withColumns(made)
-
-
 @dataclass(frozen=True)
 class Ranking:
-    """One order and the ranks wanted in it."""
+    """One order and the ranks wanted in it, over the whole table or inside groups of equal ``partition`` columns."""
 
     order: Sequence[tuple[str, str]]
     kinds: Mapping[str, str]
     tie_break: Sequence[str] = ()
+    partition: Sequence[str] = ()
 
 
-def distributed_rank(df: DataFrame, order: Sequence[tuple[str, str]], kinds: Mapping[str, str], tie_break: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def distributed_rank(df: DataFrame, order: Sequence[tuple[str, str]], kinds: Mapping[str, str], tie_break: Sequence[str] = (), buckets: int | None = None, partition: Sequence[str] = ()) -> DataFrame:
     """``distributed_ranks`` for one order."""
-    return distributed_ranks(df, [Ranking(order, kinds, tie_break)], buckets)
+    return distributed_ranks(df, [Ranking(order, kinds, tie_break, partition)], buckets)
 
 
-def distributed_ranks(df: DataFrame, rankings: Sequence[Ranking], buckets: int = BUCKETS) -> DataFrame:
-    """Ranks over the whole table, in several orders, without one task for all rows.
+def distributed_ranks(df: DataFrame, rankings: Sequence[Ranking], buckets: int | None = None) -> DataFrame:
+    """Ranks in several orders, without one task for all rows or for one group.
 
     ``kinds``: out -> rank, dense_rank, percent_rank, cume_dist, row_number or
     ntile:n; the last two use ``tie_break`` columns, which should make rows unique.
 
-    1. quantiles of the leading key, which must be a number (a few values on the driver), bound the buckets;
-    2. distinct sort keys and their counts, by bucket;
-    3. windows inside buckets, and running totals over one row per bucket;
-    4. the ranks are joined back by sort key.
+    Each order is one range shuffle by partition, order, tie break and a hash of the
+    row, in ``buckets`` ranges (default: the shuffle partitions). A common value, or a
+    common group, is cut like any other stretch; only rows alike in every column stay
+    together. Positions inside a range come from running windows, and one row for each
+    range says where it begins and which run of equal keys it continues. No join by key.
 
-    The frame is read once for each order and twice more, so pass one that is
-    stored, not a long plan.
+    A range shuffle reads its input twice, so pass a frame that is stored, not a long plan.
     """
-    out = df
-    for number, r in enumerate(rankings):
-        right, keys = _rank_table(df, r, buckets, number)
-        condition = F.lit(True)
-        for name, alias in keys.items():
-            condition = condition & df[name].eqNullSafe(F.col(alias))
-        out = out.join(right, condition).drop(*keys.values())
-    return out.select(*[df[c] for c in df.columns], *[k for r in rankings for k in r.kinds])
-
-
-def _rank_table(df: DataFrame, ranking: Ranking, buckets: int, number: int) -> tuple[DataFrame, dict[str, str]]:
-    """Ranks by distinct sort key, and the names of its key columns by those of ``df``."""
-    order, kinds, tie_break = ranking.order, ranking.kinds, ranking.tie_break
-    keys = [*order, *[(c, "asc") for c in tie_break if c not in {o[0] for o in order}]] if any(k == "row_number" or k.startswith("ntile") for k in kinds.values()) else list(order)
-    lead, way = keys[0]
-    plain = [k for k in order]
-    leading = F.col(lead).cast("double")
-    cuts = df.select(F.percentile_approx(leading, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    cuts = sorted({c for c in cuts if c == c})
-    bucket = F.lit(len(cuts))
-    for i in range(len(cuts) - 1, -1, -1):
-        bucket = F.when(leading <= F.lit(cuts[i]), F.lit(i)).otherwise(bucket)
-    # Nulls end up where the order puts them: first in asc, last in desc.
-    place = F.when(leading.isNull(), F.lit(-1 if way == "asc" else len(cuts) + 1)).otherwise(bucket if way == "asc" else F.lit(len(cuts)) - bucket)
-    names = [c for c, _ in keys]
-    distinct = df.select(*names, place.alias("__b")).groupBy("__b", *names).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy("__b").orderBy(*ordered(keys))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    tied = Window.partitionBy("__b", *[c for c, _ in plain])
-    inner = distinct.withColumn("__row", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    if names != [c for c, _ in plain]:  # rows that differ in the tie-break only share their rank
-        inner = inner.withColumn("__ahead", F.min("__row").over(tied)).withColumn("__ties", F.sum("__n").over(tied))
-    else:
-        inner = inner.withColumn("__ahead", F.col("__row")).withColumn("__ties", F.col("__n"))
-    inner = inner.withColumn("__dense", F.dense_rank().over(Window.partitionBy("__b").orderBy(*ordered(plain))))
-    totals = inner.groupBy("__b").agg(F.sum("__n").alias("__size"), F.max("__dense").alias("__steps"))
-    run = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    totals = totals.select(
-        "__b",
-        F.coalesce(F.sum("__size").over(run), F.lit(0)).alias("__base"),
-        F.coalesce(F.sum("__steps").over(run), F.lit(0)).alias("__dbase"),
-        F.sum("__size").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"),
+    out, earlier = df, None
+    for r in rankings:
+        out, stored = _ranked(out, r, buckets)
+        if earlier is not None:
+            discard(earlier)
+        earlier = stored
+    return out.select(*df.columns, *[k for r in rankings for k in r.kinds])
+
+
+_OFFSET_BITS = 33  # of monotonically_increasing_id: the place in the task
+
+
+def _same(names: Sequence[str], other: Callable[[str], Column]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(other(c)) for c in names], F.lit(True))
+
+
+def _ranked(df: DataFrame, r: Ranking, buckets: int | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the ranks of one order, and the stored table that it reads."""
+    group = list(r.partition)
+    keys = [*group, *[c for c, _ in r.order]]
+    ways = [*[F.col(c).asc_nulls_first() for c in group], *ordered(r.order), *[F.col(c).asc_nulls_first() for c in r.tie_break if c not in keys]]
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    ways = [*ways, F.col("__spread").asc()]
+    spread = df.withColumn("__spread", F.xxhash64(*hashed))
+    ranged = spread.repartitionByRange(*([buckets] if buckets else []), *ways).sortWithinPartitions(*ways).drop("__spread").withColumn("__id", F.monotonically_increasing_id())
+    ranged = ranged.withColumns({"__part": F.shiftright("__id", _OFFSET_BITS), "__at": F.col("__id").bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1))}).drop("__id")
+
+    w = Window.partitionBy("__part").orderBy("__at")
+    far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = ranged.withColumn("__new", (F.col("__at") == 0) | ~_same(keys, lambda c: F.lag(c).over(w)))
+    ranged = ranged.withColumn("__gnew", (F.col("__at") == 0) | ~_same(group, lambda c: F.lag(c).over(w)))
+    ranged = ranged.withColumns(
+        {"__dense": F.sum(F.col("__new").cast("long")).over(far), "__start": F.max(F.when(F.col("__new"), F.col("__at"))).over(far), "__gstart": F.max(F.when(F.col("__gnew"), F.col("__at"))).over(far)}
+    )
+    ranged = ranged.withColumn("__gdense", F.max(F.when(F.col("__gnew"), F.col("__dense"))).over(far)).drop("__new", "__gnew")
+    ends = any(k == "cume_dist" for k in r.kinds.values())
+    sizes = bool(group) and any(k in ("cume_dist", "percent_rank") or k.startswith("ntile") for k in r.kinds.values())
+    ranged = ranged.withColumn("__end", F.col("__start") + F.count("*").over(Window.partitionBy("__part", "__dense")) if ends else F.col("__start"))
+    ranged = ranged.withColumn("__gend", F.col("__gstart") + F.count("*").over(Window.partitionBy("__part", "__gstart")) if sizes else F.col("__gstart"))
+    stored = materialize(ranged, "ranked")
+
+    rows = stored.join(F.broadcast(_ranges(stored, keys, group)), "__part")
+    row, total = F.col("__base") + F.col("__at"), F.col("__total")
+    continues = F.col("__cont") & (F.col("__start") == 0)
+    goes_on = F.col("__next_cont") & (F.col("__start") == F.col("__last_start"))
+    rows = rows.withColumns(
+        {
+            "__first": F.when(continues, F.col("__carry")).otherwise(F.col("__base") + F.col("__start")),
+            "__stop": F.when(goes_on, F.col("__next_end")).otherwise(F.col("__base") + F.col("__end")),
+            "__from": F.lit(0).cast("long"),
+            "__from_dense": F.lit(1).cast("long"),
+            "__total": F.col("__all"),
+        }
     )
-    ranked = inner.join(F.broadcast(totals), "__b")
-    first = F.col("__base") + F.col("__ahead")
-    row = F.col("__base") + F.col("__row")
-    total = F.col("__all")
+    if group:
+        continues = F.col("__gcont") & (F.col("__gstart") == 0)
+        goes_on = F.col("__gnext_cont") & (F.col("__gstart") == F.col("__glast_start"))
+        stop = F.when(goes_on, F.col("__gnext_end")).otherwise(F.col("__base") + F.col("__gend"))
+        rows = rows.withColumns(
+            {
+                "__from": F.when(continues, F.col("__gcarry.at")).otherwise(F.col("__base") + F.col("__gstart")),
+                "__from_dense": F.when(continues, F.col("__gcarry.dense")).otherwise(F.col("__dbase") + F.col("__gdense")),
+            }
+        ).withColumn("__total", stop - F.col("__from"))
+    row, first = row - F.col("__from"), F.col("__first") - F.col("__from")
     made = {}
-    for out, kind in kinds.items():
+    for out, kind in r.kinds.items():
         if kind.startswith("ntile:"):
             n = int(kind[6:])
-            size, more = F.expr(f"__all div {n}"), F.expr(f"__all % {n}")
+            size, more = F.expr(f"__total div {n}"), F.expr(f"__total % {n}")
             made[out] = F.when(row < more * (size + 1), F.floor(row / (size + 1))).otherwise(more + F.floor((row - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
         else:
             made[out] = {
                 "rank": lambda: first + 1,
-                "dense_rank": lambda: F.col("__dbase") + F.col("__dense"),
+                "dense_rank": lambda: F.col("__dbase") + F.col("__dense") - F.col("__from_dense") + 1,
                 "row_number": lambda: row + 1,
                 "percent_rank": lambda: F.when(total > 1, first / (total - 1)).otherwise(F.lit(0.0)),
-                "cume_dist": lambda: (first + F.col("__ties")) / total,
+                "cume_dist": lambda: (F.col("__stop") - F.col("__from")) / total,
             }[kind]()
-    aliases = {c: f"__k{number}_{i}" for i, c in enumerate(names)}
-    return ranked.select(*[F.col(c).alias(a) for c, a in aliases.items()], *[v.alias(k) for k, v in made.items()]), aliases
+    return rows.select(*df.columns, *[v.alias(k) for k, v in made.items()]), stored
+
+
+def _ranges(stored: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """One row for each range of ``_ranked``: where it begins, and the runs it continues or leaves to the next range.
+
+    ``__carry`` is where the run that this range continues began, in whichever range that
+    was; ``__next_end`` where the run that it leaves ends. With ``__g``: the same for groups.
+    """
+    key, part = F.struct(F.lit(0).alias("_"), *keys), F.struct(F.lit(0).alias("_"), *group)
+    ranges = stored.groupBy("__part").agg(
+        F.count("*").alias("__n"),
+        F.max("__dense").alias("__steps"),
+        F.max("__start").alias("__last_start"),
+        F.min("__end").alias("__first_end"),
+        F.min_by(key, "__at").alias("__head"),
+        F.max_by(key, "__at").alias("__tail"),
+        F.max("__gstart").alias("__glast_start"),
+        F.max("__gdense").alias("__glast_dense"),
+        F.min("__gend").alias("__gfirst_end"),
+        F.min_by(part, "__at").alias("__ghead"),
+        F.max_by(part, "__at").alias("__gtail"),
+    )
+    w = Window.orderBy("__part")  # one row per range
+    before, so_far, onward = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    ranges = ranges.withColumns({f"__{g}cont": F.coalesce(F.col(f"__{g}head").eqNullSafe(F.lag(f"__{g}tail").over(w)), F.lit(False)) for g in ("", "g")})
+    ranges = ranges.withColumns(
+        {
+            "__base": F.coalesce(F.sum("__n").over(before), F.lit(0)),
+            "__all": F.sum("__n").over(Window.partitionBy(F.lit(0))),
+            "__dbase": F.coalesce(F.sum(F.col("__steps") - F.col("__cont").cast("long")).over(before), F.lit(0)) - F.col("__cont").cast("long"),
+            **{f"__{g}next_cont": F.coalesce(F.lead(f"__{g}cont").over(w), F.lit(False)) for g in ("", "g")},
+        }
+    )
+    begun = {"": F.col("__base") + F.col("__last_start"), "g": F.struct((F.col("__base") + F.col("__glast_start")).alias("at"), (F.col("__dbase") + F.col("__glast_dense")).alias("dense"))}
+    for g in ("", "g"):
+        single = F.col(f"__{g}last_start") == 0
+        began = F.last(F.when(~(single & F.col(f"__{g}cont")), begun[g]), ignorenulls=True).over(so_far)
+        ended = F.first(F.when(~(single & F.col(f"__{g}next_cont")), F.col("__base") + F.col(f"__{g}first_end")), ignorenulls=True).over(onward)
+        ranges = ranges.withColumns({f"__{g}began": began, f"__{g}ended": ended})
+        ranges = ranges.withColumns({f"__{g}carry": F.lag(f"__{g}began").over(w), f"__{g}next_end": F.lead(f"__{g}ended").over(w)})
+    return ranges.drop("__n", "__steps", "__first_end", "__gfirst_end", "__head", "__tail", "__ghead", "__gtail", "__began", "__gbegan", "__ended", "__gended", "__glast_dense")
 
 
 def lags(df: DataFrame, order: str, spec: Mapping[str, tuple[str, int]]) -> DataFrame:

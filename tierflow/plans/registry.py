@@ -165,11 +165,12 @@ def view_05_top_movies(spark: SparkSession, d: str) -> DataFrame:
     FROM tagged WINDOW r AS (PARTITION BY tag ORDER BY rating DESC NULLS LAST)"""
 )
 def view_06_genre_rankings(spark: SparkSession, d: str) -> DataFrame:
-    """VIEW-06, WIN-01 to WIN-05: ranks inside groups."""
+    """VIEW-06, WIN-01 to WIN-05: ranks inside groups, of which a common one is cut into ranges."""
     rows = X.tagged(spark, d).select("id", "tag", "rating", "revenue")
-    by = windows.partition_rank(rows, ["tag"], [("rating", "desc")], {"rating_rank": "rank", "rating_dense_rank": "dense_rank", "rating_percent_rank": "percent_rank", "rating_cume_dist": "cume_dist"})
-    by = windows.partition_rank(by, ["tag"], [("rating", "desc"), ("id", "asc")], {"rating_row": "row_number"})
-    return windows.partition_rank(by, ["tag"], [("revenue", "desc")], {"revenue_rank": "rank"}).drop("rating", "revenue")
+    kinds = {"rating_rank": "rank", "rating_dense_rank": "dense_rank", "rating_percent_rank": "percent_rank", "rating_cume_dist": "cume_dist", "rating_row": "row_number"}
+    rankings = [Ranking([("rating", "desc")], kinds, ["id"], ["tag"]), Ranking([("revenue", "desc")], {"revenue_rank": "rank"}, (), ["tag"])]
+    out = windows.distributed_ranks(materialize(rows, "tagged"), rankings).drop("rating", "revenue")
+    return out.withColumns({c: F.col(c).cast("int") for c in ("rating_rank", "rating_dense_rank", "rating_row", "revenue_rank")})
 
 
 _SPEED = "events WHERE ts >= TIMESTAMP '2024-01-20'"
