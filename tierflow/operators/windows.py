@@ -69,53 +69,46 @@ def _same(names: Sequence[str], other: Callable[[str], Column]) -> Column:
 
 def _ranked(df: DataFrame, r: Ranking, buckets: int | None) -> tuple[DataFrame, DataFrame]:
     """``df`` with the ranks of one order, and the stored table that it reads."""
-    group = list(r.partition)
+    group, wants = list(r.partition), {k.split(":")[0] for k in r.kinds.values()}
     keys = [*group, *[c for c, _ in r.order]]
-    ways = [*[F.col(c).asc_nulls_first() for c in group], *ordered(r.order), *[F.col(c).asc_nulls_first() for c in r.tie_break if c not in keys]]
-    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
-    ways = [*ways, F.col("__spread").asc()]
-    spread = df.withColumn("__spread", F.xxhash64(*hashed))
-    ranged = spread.repartitionByRange(*([buckets] if buckets else []), *ways).sortWithinPartitions(*ways).drop("__spread").withColumn("__id", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"__part": F.shiftright("__id", _OFFSET_BITS), "__at": F.col("__id").bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1))}).drop("__id")
-
-    w = Window.partitionBy("__part").orderBy("__at")
-    far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranged = ranged.withColumn("__new", (F.col("__at") == 0) | ~_same(keys, lambda c: F.lag(c).over(w)))
-    ranged = ranged.withColumn("__gnew", (F.col("__at") == 0) | ~_same(group, lambda c: F.lag(c).over(w)))
-    ranged = ranged.withColumns(
-        {"__dense": F.sum(F.col("__new").cast("long")).over(far), "__start": F.max(F.when(F.col("__new"), F.col("__at"))).over(far), "__gstart": F.max(F.when(F.col("__gnew"), F.col("__at"))).over(far)}
-    )
-    ranged = ranged.withColumn("__gdense", F.max(F.when(F.col("__gnew"), F.col("__dense"))).over(far)).drop("__new", "__gnew")
-    ends = any(k == "cume_dist" for k in r.kinds.values())
-    sizes = bool(group) and any(k in ("cume_dist", "percent_rank") or k.startswith("ntile") for k in r.kinds.values())
-    ranged = ranged.withColumn("__end", F.col("__start") + F.count("*").over(Window.partitionBy("__part", "__dense")) if ends else F.col("__start"))
-    ranged = ranged.withColumn("__gend", F.col("__gstart") + F.count("*").over(Window.partitionBy("__part", "__gstart")) if sizes else F.col("__gstart"))
+    dense, ends = "dense_rank" in wants, "cume_dist" in wants
+    sizes = bool(group) and bool(wants & {"cume_dist", "percent_rank", "ntile"})
+    # What is followed: runs of equal keys, unless rows are only numbered, and groups.
+    levels = {**({"": keys} if wants - {"row_number", "ntile"} else {}), **({"g": group} if group else {})}
+    stopped = [level for level in levels if (sizes if level else ends)]
+
+    ways = [*[F.col(c).asc_nulls_first() for c in group], *ordered(r.order), *[F.col(c).asc_nulls_first() for c in r.tie_break if c not in keys], F.col("__spread").asc()]
+    spread = df.withColumn("__spread", F.xxhash64(*[f.name for f in df.schema if "map<" not in f.dataType.simpleString()]))
+    ranged = spread.repartitionByRange(*([buckets] if buckets else []), *ways).sortWithinPartitions(*ways)
+    ranged = ranged.select(*df.columns, F.monotonically_increasing_id().alias("__id"))
+    ranged = ranged.select(*df.columns, F.shiftright("__id", _OFFSET_BITS).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1)).alias("__at"))
+    if levels:
+        w = Window.partitionBy("__part").orderBy("__at")
+        far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranged = ranged.withColumns({f"__{g}new": (F.col("__at") == 0) | ~_same(names, lambda c: F.lag(c).over(w)) for g, names in levels.items()})
+        counted = {"__dense": F.sum(F.col("__new").cast("long")).over(far)} if dense else {}
+        ranged = ranged.withColumns({f"__{g}start": F.max(F.when(F.col(f"__{g}new"), F.col("__at"))).over(far) for g in levels} | counted)
+        if dense and group:
+            ranged = ranged.withColumn("__gdense", F.max(F.when(F.col("__gnew"), F.col("__dense"))).over(far))
+        ranged = ranged.withColumns({f"__{g}end": F.col(f"__{g}start") + F.count("*").over(Window.partitionBy("__part", f"__{g}start")) for g in stopped})
+        ranged = ranged.drop("__new", "__gnew")
     stored = materialize(ranged, "ranked")
 
-    rows = stored.join(F.broadcast(_ranges(stored, keys, group)), "__part")
-    row, total = F.col("__base") + F.col("__at"), F.col("__total")
-    continues = F.col("__cont") & (F.col("__start") == 0)
-    goes_on = F.col("__next_cont") & (F.col("__start") == F.col("__last_start"))
-    rows = rows.withColumns(
-        {
-            "__first": F.when(continues, F.col("__carry")).otherwise(F.col("__base") + F.col("__start")),
-            "__stop": F.when(goes_on, F.col("__next_end")).otherwise(F.col("__base") + F.col("__end")),
-            "__from": F.lit(0).cast("long"),
-            "__from_dense": F.lit(1).cast("long"),
-            "__total": F.col("__all"),
-        }
-    )
-    if group:
-        continues = F.col("__gcont") & (F.col("__gstart") == 0)
-        goes_on = F.col("__gnext_cont") & (F.col("__gstart") == F.col("__glast_start"))
-        stop = F.when(goes_on, F.col("__gnext_end")).otherwise(F.col("__base") + F.col("__gend"))
-        rows = rows.withColumns(
-            {
-                "__from": F.when(continues, F.col("__gcarry.at")).otherwise(F.col("__base") + F.col("__gstart")),
-                "__from_dense": F.when(continues, F.col("__gcarry.dense")).otherwise(F.col("__dbase") + F.col("__gdense")),
-            }
-        ).withColumn("__total", stop - F.col("__from"))
-    row, first = row - F.col("__from"), F.col("__first") - F.col("__from")
+    rows = stored.join(F.broadcast(_ranges(stored, levels, stopped, dense)), "__part")
+    base = F.col("__base")
+
+    def start(g: str, carried: str, here: Column) -> Column:
+        return F.when(F.col(f"__{g}cont") & (F.col(f"__{g}start") == 0), F.col(carried)).otherwise(here)
+
+    def stop(g: str) -> Column:
+        goes_on = F.col(f"__{g}next_cont") & (F.col(f"__{g}start") == F.col(f"__{g}last_start"))
+        return F.when(goes_on, F.col(f"__{g}next_end")).otherwise(base + F.col(f"__{g}end"))
+
+    begin = start("g", "__gcarry.at", base + F.col("__gstart")) if group else F.lit(0).cast("long")
+    dense_begin = start("g", "__gcarry.dense", F.col("__dbase") + F.col("__gdense")) if group and dense else F.lit(1)
+    rows = rows.withColumn("__total", stop("g") - begin if sizes else F.col("__all"))
+    row, total = base + F.col("__at") - begin, F.col("__total")
+    first = start("", "__carry.at", base + F.col("__start")) - begin if "" in levels else None
     made = {}
     for out, kind in r.kinds.items():
         if kind.startswith("ntile:"):
@@ -125,53 +118,55 @@ def _ranked(df: DataFrame, r: Ranking, buckets: int | None) -> tuple[DataFrame,
         else:
             made[out] = {
                 "rank": lambda: first + 1,
-                "dense_rank": lambda: F.col("__dbase") + F.col("__dense") - F.col("__from_dense") + 1,
+                "dense_rank": lambda: F.col("__dbase") + F.col("__dense") - dense_begin + 1,
                 "row_number": lambda: row + 1,
                 "percent_rank": lambda: F.when(total > 1, first / (total - 1)).otherwise(F.lit(0.0)),
-                "cume_dist": lambda: (F.col("__stop") - F.col("__from")) / total,
+                "cume_dist": lambda: (stop("") - begin) / total,
             }[kind]()
     return rows.select(*df.columns, *[v.alias(k) for k, v in made.items()]), stored
 
 
-def _ranges(stored: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """One row for each range of ``_ranked``: where it begins, and the runs it continues or leaves to the next range.
+def _ranges(stored: DataFrame, levels: Mapping[str, Sequence[str]], stopped: Sequence[str], dense: bool) -> DataFrame:
+    """One row for each range of ``_ranked``: where it begins, and the runs and groups it continues or leaves to the next range.
 
     ``__carry`` is where the run that this range continues began, in whichever range that
     was; ``__next_end`` where the run that it leaves ends. With ``__g``: the same for groups.
     """
-    key, part = F.struct(F.lit(0).alias("_"), *keys), F.struct(F.lit(0).alias("_"), *group)
-    ranges = stored.groupBy("__part").agg(
-        F.count("*").alias("__n"),
-        F.max("__dense").alias("__steps"),
-        F.max("__start").alias("__last_start"),
-        F.min("__end").alias("__first_end"),
-        F.min_by(key, "__at").alias("__head"),
-        F.max_by(key, "__at").alias("__tail"),
-        F.max("__gstart").alias("__glast_start"),
-        F.max("__gdense").alias("__glast_dense"),
-        F.min("__gend").alias("__gfirst_end"),
-        F.min_by(part, "__at").alias("__ghead"),
-        F.max_by(part, "__at").alias("__gtail"),
-    )
+    found = {"__n": F.count("*")}
+    for g, names in levels.items():
+        found |= {f"__{g}last_start": F.max(f"__{g}start")}
+        found |= {f"__{g}head{i}": F.min_by(c, "__at") for i, c in enumerate(names)} | {f"__{g}tail{i}": F.max_by(c, "__at") for i, c in enumerate(names)}
+        found |= {f"__{g}first_end": F.min(f"__{g}end")} if g in stopped else {}
+    found |= {"__steps": F.max("__dense")} if dense else {}
+    found |= {"__glast_dense": F.max("__gdense")} if dense and "g" in levels else {}
+    ranges = stored.groupBy("__part").agg(*[c.alias(k) for k, c in found.items()])
+
     w = Window.orderBy("__part")  # one row per range
     before, so_far, onward = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    ranges = ranges.withColumns({f"__{g}cont": F.coalesce(F.col(f"__{g}head").eqNullSafe(F.lag(f"__{g}tail").over(w)), F.lit(False)) for g in ("", "g")})
     ranges = ranges.withColumns(
         {
             "__base": F.coalesce(F.sum("__n").over(before), F.lit(0)),
-            "__all": F.sum("__n").over(Window.partitionBy(F.lit(0))),
-            "__dbase": F.coalesce(F.sum(F.col("__steps") - F.col("__cont").cast("long")).over(before), F.lit(0)) - F.col("__cont").cast("long"),
-            **{f"__{g}next_cont": F.coalesce(F.lead(f"__{g}cont").over(w), F.lit(False)) for g in ("", "g")},
+            "__all": F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            **{f"__{g}cont": reduce(lambda a, b: a & b, [F.col(f"__{g}head{i}").eqNullSafe(F.lag(f"__{g}tail{i}").over(w)) for i in range(len(names))], F.row_number().over(w) > 1) for g, names in levels.items()},
         }
     )
-    begun = {"": F.col("__base") + F.col("__last_start"), "g": F.struct((F.col("__base") + F.col("__glast_start")).alias("at"), (F.col("__dbase") + F.col("__glast_dense")).alias("dense"))}
-    for g in ("", "g"):
+    if levels:
+        repeated = F.col("__cont").cast("long") if dense else None
+        steps = {"__dbase": F.coalesce(F.sum(F.col("__steps") - repeated).over(before), F.lit(0)) - repeated} if dense else {}
+        ranges = ranges.withColumns(steps | {f"__{g}next_cont": F.coalesce(F.lead(f"__{g}cont").over(w), F.lit(False)) for g in levels})
+    edges = {}
+    for g in levels:
         single = F.col(f"__{g}last_start") == 0
-        began = F.last(F.when(~(single & F.col(f"__{g}cont")), begun[g]), ignorenulls=True).over(so_far)
-        ended = F.first(F.when(~(single & F.col(f"__{g}next_cont")), F.col("__base") + F.col(f"__{g}first_end")), ignorenulls=True).over(onward)
-        ranges = ranges.withColumns({f"__{g}began": began, f"__{g}ended": ended})
-        ranges = ranges.withColumns({f"__{g}carry": F.lag(f"__{g}began").over(w), f"__{g}next_end": F.lead(f"__{g}ended").over(w)})
-    return ranges.drop("__n", "__steps", "__first_end", "__gfirst_end", "__head", "__tail", "__ghead", "__gtail", "__began", "__gbegan", "__ended", "__gended", "__glast_dense")
+        at = [(F.col("__base") + F.col(f"__{g}last_start")).alias("at"), *([(F.col("__dbase") + F.col("__glast_dense")).alias("dense")] if g and dense else [])]
+        edges[f"__{g}began"] = F.last(F.when(~(single & F.col(f"__{g}cont")), F.struct(*at)), ignorenulls=True).over(so_far)
+        if g in stopped:
+            edges[f"__{g}ended"] = F.first(F.when(~(single & F.col(f"__{g}next_cont")), F.col("__base") + F.col(f"__{g}first_end")), ignorenulls=True).over(onward)
+    if levels:
+        ranges = ranges.withColumns(edges)
+        ranges = ranges.withColumns({f"__{g}carry": F.lag(f"__{g}began").over(w) for g in levels} | {f"__{g}next_end": F.lead(f"__{g}ended").over(w) for g in stopped})
+    kept = ["__part", "__base", "__all", *(["__dbase"] if dense else [])]
+    kept += [f"__{g}{c}" for g in levels for c in ("cont", "next_cont", "last_start", "carry")] + [f"__{g}next_end" for g in stopped]
+    return ranges.select(*kept)
 
 
 def lags(df: DataFrame, order: str, spec: Mapping[str, tuple[str, int]]) -> DataFrame:
