@@ -46,8 +46,9 @@ def distributed_ranks(df: DataFrame, rankings: Sequence[Ranking], buckets: int |
     Each order is one range shuffle by partition, order, tie break and a hash of the
     row, in ``buckets`` ranges (default: the shuffle partitions). A common value, or a
     common group, is cut like any other stretch; only rows alike in every column stay
-    together. Positions inside a range come from running windows, and one row for each
-    range says where it begins and which run of equal keys it continues. No join by key.
+    together. Where only rows are numbered, the place in the task is enough; runs of equal
+    keys and groups take a second exchange, by range, and running windows. One row for each
+    range says where it begins and which run and group it continues. No join by key.
 
     A range shuffle reads its input twice, so pass a frame that is stored, not a long plan.
     """
