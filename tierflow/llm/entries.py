@@ -1,4 +1,4 @@
-"""Registered queries of the ten training-data operators, with their SQL."""
+"""Registered queries of the training-data operators, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, html_text, langid, minhash, mixing, packing, quality, token_store, toxicity
+from . import best_fit, chat, embedding_dedup, html_text, langid, manifest, minhash, mixing, packing, prefix_trie, quality, token_store, toxicity
 from .common import crc_mod, shared_dir, table
 from .encoding import tokenizer_file
 
@@ -94,6 +94,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampered rows: in lower case (A-Z) where 3 divides the id's checksum."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.manifest(table(spark, sf_dir, "documents"), F.when(crc_mod("doc_id", 3) == 0, lower))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,12 +115,39 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_chat_formatting, op2_toxicity, op3_token_store, op4_embedding_dedup, op5_html_text, op6_mixing, op7_minhash, op8_language, op9_quality, op10_packing, pipeline]
+    named = [op1_chat_formatting, op2_toxicity, op3_token_store, op4_embedding_dedup, op5_html_text, op6_mixing, op7_minhash, op8_language, op9_quality, op10_packing]
+    named += [op11_prefix_trie, op12_manifest, op13_best_fit, pipeline]
     return {f.__name__: f for f in named}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+
+def _crc_sql(x: str) -> str:
+    """crc32 of a text of ASCII characters."""
+    steps = f"flatten(list_transform(range(1, length({x}) + 1), lambda i: [CAST(ord({x}[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce({steps}, lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _said_sql(x: str) -> str:
+    return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+
+
+_LEAF_SQL = " || ".join(_said_sql(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+def _walk_sql(name: str, start: str) -> str:
+    """From the leaves of a tree up: what a hash becomes with its siblings, and the siblings."""
+    return f"""{name}(rid, g, level, pos, h, proof) AS (
+            {start}
+            UNION ALL
+            SELECT w.rid, w.g, w.level + 1, w.pos // 8,
+                   sha256(array_to_string(r.hs[1:w.pos % 8], '') || w.h || array_to_string(r.hs[w.pos % 8 + 2:], '')), w.proof || array_to_string(r.hs[1:w.pos % 8], '') || array_to_string(r.hs[w.pos % 8 + 2:], '')
+            FROM {name} w JOIN runs r ON r.g = w.g AND r.level = w.level AND r.run = w.pos // 8
+        )"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": r"""
         WITH rows_ AS (
@@ -185,4 +226,43 @@ ORACLE_SQL: dict[str, str] = {
                     OR length(regexp_replace(text, '[^0-9]+', '', 'g')) > 0.6 * word_chars OR length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) < 0.3 * word_chars) AS kept
         FROM f
     """,
+    "op11_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), h AS (SELECT conv_id, p, CAST({_crc_sql("CAST(conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h FROM t
+        ), b AS (
+            SELECT h.conv_id, list_concat(coalesce(f.p[1:h.h], []), h.p[h.h + 1:]) AS p FROM h LEFT JOIN t f ON f.conv_id = h.conv_id - h.conv_id % 100
+        ), m AS (SELECT conv_id, p, len(p) AS n, unnest(range(0, len(p) + 1)) AS depth FROM b
+        ), nodes AS (
+            SELECT depth, p[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends, count(*) FILTER (n = depth) AS n_ends FROM m GROUP BY 1, 2
+        ), below AS (
+            SELECT path[1:k] AS path, count(*) FILTER (n_ends = n_convs) AS n_leaves, sum((n_convs - 1) * coalesce(length(path[-1].x), 0)) AS saved
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM nodes) GROUP BY 1
+        ), kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+        )
+        SELECT o.conv_id, o.depth, u.conv_id AS parent_conv_id, o.n_convs, coalesce(kids.n, 0) AS n_children, below.n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, sha256(o.ends) AS ends_sha256
+        FROM nodes o JOIN below ON below.path = o.path LEFT JOIN kids ON kids.path = o.path LEFT JOIN nodes u ON o.depth > 0 AND u.depth = o.depth - 1 AND u.path = o.path[1:o.depth - 1]
+    """,
+    "op12_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS g, sha256({_LEAF_SQL} || {_said_sql("text")}) AS leaf,
+                   CASE WHEN {_crc_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({_LEAF_SQL} || {_said_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS again FROM documents
+        ), leaf AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d
+        ), up(g, level, pos, n, hash) AS (
+            SELECT g, 0, pos, n, leaf FROM leaf
+            UNION ALL SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(hash, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY g, level, pos // 8, n
+        ), tops AS (SELECT g, hash, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+        ), high(g, level, pos, n, hash) AS (
+            SELECT '/', 0, pos, n, hash FROM tops
+            UNION ALL SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(hash, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY g, level, pos // 8, n
+        ), runs AS (SELECT g, level, pos // 8 AS run, list(hash ORDER BY pos) AS hs FROM (SELECT * FROM up UNION ALL SELECT * FROM high) WHERE n > 1 GROUP BY 1, 2, 3
+        ), {_walk_sql("low", "SELECT rid, g, 0, pos, coalesce(again, leaf), '' FROM leaf")}
+        , half AS (SELECT rid, g, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM low GROUP BY 1, 2
+        ), {_walk_sql("top", "SELECT half.rid, '/', 0, tops.pos, half.h, half.proof FROM half JOIN tops ON tops.g = half.g")}
+        , whole AS (SELECT rid, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM top GROUP BY 1
+        ), root AS (SELECT hash FROM high WHERE n = 1)
+        SELECT doc_id, leaf, tops.hash AS subroot, root.hash AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = root.hash AS verified
+        FROM leaf JOIN tops ON tops.g = leaf.g JOIN whole ON whole.rid = leaf.rid, root
+    """,
 }
