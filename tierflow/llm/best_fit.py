@@ -7,7 +7,8 @@
    this works on how many there are of each length: a step fills
    all bins that look alike, and costs the same for any number of documents.
 3. Dual feasible functions give a number of bins that no packing of the same pieces
-   can go below. A partition that meets its bound is certified and done.
+   can go below. A partition that meets its bound is certified and done. The gap is
+   taken before rounding, since partitions that each miss part of a bin can save whole ones together.
 4. Partitions with a gap keep their full bins and give the documents of all others
    to a pool for ``POOL`` partitions; the pool is packed and bounded in the same way. If that
    saves no bin, the partitions keep what they had. Pools with a gap go on to larger pools.
@@ -23,6 +24,7 @@ packed whole; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -81,27 +83,30 @@ def best_fit_decreasing(counts: np.ndarray) -> Bins:
     return [(contents, bins) for groups in room for contents, bins in groups]
 
 
-def lower_bound(counts: np.ndarray) -> int:
-    """Bins that any packing needs: the best of two families of dual feasible functions."""
+def fractional_bound(counts: np.ndarray) -> float:
+    """Bins, not rounded up, that any packing needs: the best of two families of dual feasible functions."""
     capacity = len(counts) - 1
     n = counts.astype(np.int64)
     size = np.arange(capacity + 1)
-    total = int((n * size).sum())
-    best = -(-total // capacity)
+    best = float((n * size).sum() / capacity)
     # Sizes above capacity - k count as a whole bin, sizes below k as nothing.
     number, weight = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * size)])
     for k in range(1, capacity // 2 + 1):
-        big = int(number[-1] - number[capacity - k + 1])
-        middle = int(weight[capacity - k + 1] - weight[k])
-        best = max(best, big - (-middle // capacity))
+        big, middle = number[-1] - number[capacity - k + 1], weight[capacity - k + 1] - weight[k]
+        best = max(best, float(big + middle / capacity))
     # Sizes are rounded down to multiples of 1 / (k + 1) of a bin, which then count as 1 / k.
     for k in range(1, ROUNDINGS + 1):
         steps = (k + 1) * size
         value = np.where(steps % capacity == 0, size * k, steps // capacity * capacity)
-        best = max(best, -(-int((n * value).sum()) // (capacity * k)))
+        best = max(best, float((n * value).sum() / (capacity * k)))
     return best
 
 
+def lower_bound(counts: np.ndarray) -> int:
+    """Bins that any packing needs."""
+    return math.ceil(fractional_bound(counts) - 1e-6)
+
+
 def layout(bins: Bins, capacity: int) -> dict[str, list[int]]:
     """Places for the pieces of each size, full bins first, as stretches ordered by size and by first place.
 
@@ -137,12 +142,12 @@ def placed(size: np.ndarray, place: np.ndarray, plan: dict) -> tuple[np.ndarray,
 
 _LISTS = ("size", "base", "each", "offset", "bin", "keep", "rest")
 _LONGS = pa.list_(pa.int64())
-_PLAN = [*[(k, _LONGS) for k in _LISTS], *[(k, pa.int64()) for k in ("n_full", "n_rest", "bound")]]
+_PLAN = [*[(k, _LONGS) for k in _LISTS], *[(k, pa.int64()) for k in ("n_full", "n_rest")], ("bound", pa.float64())]
 
 
 def _packed(counts: np.ndarray) -> dict:
     plan = layout(best_fit_decreasing(counts), len(counts) - 1)
-    return plan | {"bound": lower_bound(counts)}
+    return plan | {"bound": fractional_bound(counts)}
 
 
 def _mapped(df: DataFrame, rows: Callable[[dict], dict], schema: pa.Schema) -> DataFrame:
@@ -203,7 +208,7 @@ def pooled_plans(plans: DataFrame) -> DataFrame:
     the first place of its pieces by size among the pool's.
     """
     member = F.col("node").bitwiseAND(F.lit(POOL - 1))
-    open_ = plans.where(F.col("n_full") + F.col("n_rest") > F.col("bound")).select(F.shiftright("node", POOL_BITS).alias("node"), F.struct(member.alias("member"), "rest", "n_rest").alias("given"))
+    open_ = plans.where(F.col("n_full") + F.col("n_rest") > F.col("bound") + 1e-6).select(F.shiftright("node", POOL_BITS).alias("node"), F.struct(member.alias("member"), "rest", "n_rest").alias("given"))
 
     def plan(r: dict) -> dict:
         offsets: list[list[int]] = [[] for _ in range(POOL)]
@@ -215,7 +220,7 @@ def pooled_plans(plans: DataFrame) -> DataFrame:
         made = _packed(counts)
         saved = made["n_full"] + made["n_rest"] < before
         # A pool that saves nothing has no pieces, and goes on to no larger pool.
-        return {"node": r["node"], "saved": saved, "offsets": offsets} | (made if saved else {k: [] for k in _LISTS} | {"n_full": 0, "n_rest": 0, "bound": 0})
+        return {"node": r["node"], "saved": saved, "offsets": offsets} | (made if saved else {k: [] for k in _LISTS} | {"n_full": 0, "n_rest": 0, "bound": 0.0})
 
     return _mapped(open_.groupBy("node").agg(F.collect_list("given").alias("given")), plan, pa.schema([("node", pa.int64()), ("saved", pa.bool_()), ("offsets", pa.list_(_LONGS)), *_PLAN]))
 
