@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import derive, parse
 from ..sources import tables
-from ..sources.workspace import fresh
+from ..sources.workspace import children, delete_folder, fresh, make_folder, move_folder
+from ..streaming import streams
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,35 +88,62 @@ EVENT_STATS_SQL = """b AS (SELECT event_type, count(*) AS n, CAST(sum(CAST(value
 
 
 def users(spark: SparkSession, sf_dir: str, speed: bool) -> DataFrame:
-    """One row per user: the last event of that side; odd users of the speed side have no value."""
+    """One row per user: the last event of that side, and the best value."""
     events = table(spark, sf_dir, "events")
     cut = F.lit(SPLIT).cast("timestamp_ntz")
     side = events.where(F.col("ts") >= cut) if speed else events.where(F.col("ts") < cut)
-    last = side.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.max("value").alias("best"))
-    return last.withColumn("best", F.when(F.col("user_id") % 2 == 0, F.col("best"))) if speed else last
+    return side.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.max("value").alias("best"))
 
 
 USERS_SQL = """b AS (SELECT user_id, max(event_id) AS last_event, max(value) AS best FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1),
- s AS (SELECT user_id, max(event_id) AS last_event, CASE WHEN user_id % 2 = 0 THEN max(value) END AS best FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1)"""
+ s AS (SELECT user_id, max(event_id) AS last_event, max(value) AS best FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1)"""
+
+
+@dataclass(frozen=True)
+class Arrivals:
+    """The events as a stream to which they come in parts.
+
+    The parts lie ready in folders of any number of files; one arrives by moving its folder
+    into the stream's, so a micro-batch has whole parts, whatever their files are.
+    """
+
+    stream: DataFrame
+    staged: str
+    parts: Sequence[str]
+    folder: str
+
+    def run(self, writers: dict[str, DataStreamWriter]) -> list[dict]:
+        """Start queries, let one part after the other arrive, and stop them when they have read all; their progress reports."""
+        spark = self.stream.sparkSession
+        queries = streams.start_all({f"{name}_{self.folder[-8:]}": w for name, w in writers.items()}, fresh(spark, "checkpoint"), "0 seconds")
+        out = streams.feed(queries, [partial(move_folder, spark, f"{self.staged}/{p}", f"{self.folder}/{p}") for p in self.parts])
+        for path in (self.staged, self.folder):
+            delete_folder(spark, path)
+        return out
 
 
-def event_stream(spark: SparkSession, sf_dir: str, slices: int = 5, by: str = "time", late: bool = False) -> DataFrame:
-    """The events as a stream that arrives in ``slices`` parts, one file a micro-batch.
+def arrivals(spark: SparkSession, sf_dir: str, slices: int = 5, by: str = "time", late: bool = False) -> Arrivals:
+    """The events in ``slices`` parts.
 
-    ``by``: time, or hash for parts in no order. ``late``: the first part arrives
-    again at the end, with negative ids. Parts are written one after another, since the
-    file source goes by the files' times.
+    ``by``: time, where events without one come last as a part of their own; or hash, for parts in no order.
+    ``late``: the first part comes again at the end, with negative ids.
     """
     events = table(spark, sf_dir, "events")
     if by == "time":
-        first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+        micros = F.unix_micros(F.col("ts").cast("timestamp"))
+        first, last = events.agg(F.min(micros), F.max(micros)).first()
         width = ((last or 0) - (first or 0)) // slices + 1
-        part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first or 0)) / F.lit(width))
+        part = F.coalesce(F.floor((micros - F.lit(first or 0)) / F.lit(width)).cast("int"), F.lit(slices))
     else:
-        part = F.pmod(F.xxhash64("event_id"), F.lit(slices))
-    folder = fresh(spark, "stream")
-    for k in range(slices):
-        events.where(part == k).write.mode("append").parquet(folder)
+        part = F.pmod(F.xxhash64("event_id"), F.lit(slices)).cast("int")
+    dealt = events.withColumn("arrival", part)
     if late:
-        events.where(part == 0).withColumn("event_id", -1 - F.col("event_id")).write.mode("append").parquet(folder)
-    return tables.read_log(spark, "parquet", {"path": folder}, streaming=True, schema=events.schema, rate=1)
+        again = dealt.where("arrival = 0").withColumns({"event_id": -1 - F.col("event_id"), "arrival": F.lit(slices + 1)})
+        dealt = dealt.unionByName(again)
+    staged, folder = fresh(spark, "staged"), fresh(spark, "stream")
+    dealt.write.partitionBy("arrival").parquet(staged)
+    make_folder(spark, folder)
+    parts = sorted((p for p in children(spark, staged) if p.startswith("arrival=")), key=lambda p: int(p.partition("=")[2]))
+    # The file source's own order and number of files play no part: what has arrived is read whole.
+    stream = tables.read_log(spark, "parquet", {"path": folder, "recursiveFileLookup": "true"}, streaming=True, schema=events.schema)
+    return Arrivals(stream, staged, parts, folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,7 @@ from ..operators.windows import Ranking
 from ..sources import sinks, tables
 from ..sources.workspace import fresh, materialize
 from ..streaming import streams
+from ..streaming.late import LateWindows
 from . import frames as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,58 +174,99 @@ def view_06_genre_rankings(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("int") for c in ("rating_rank", "rating_dense_rank", "rating_row", "revenue_rank")})
 
 
-_SPEED = "events WHERE ts >= TIMESTAMP '2024-01-20'"
+def _all_read(arrived: X.Arrivals, writers: dict) -> int:
+    """Run queries over all arrivals; how many micro-batches had rows."""
+    return sum(p["numInputRows"] > 0 for p in arrived.run(writers))
 
 
-def _speed_events(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "events").where(F.col("ts") >= F.lit(X.SPLIT).cast("timestamp_ntz"))
+def _several_epochs(df: DataFrame) -> DataFrame:
+    """``epoch`` replaced by whether the rows come from several epochs."""
+    several = df.agg((F.count_distinct("epoch") > 1).alias("several_epochs"))
+    return df.drop("epoch").crossJoin(F.broadcast(several))  # one row
+
+
+def _speed_views(spark: SparkSession, d: str, views: Sequence[streams.StatsView | streams.View]) -> tuple[str, bool]:
+    """One stream that feeds the views, and whether it had several epochs: where the views are."""
+    root, arrived = fresh(spark, "views"), X.arrivals(spark, d, 3)
+    batches = _all_read(arrived, {"views": arrived.stream.writeStream.foreachBatch(streams.micro_batch_views(views, root, compact_every=2))})
+    return root, batches > 1
+
+
+_STATS = [M("n", "count"), M("avg_value", "avg", "value"), M("value_stddev", "stddev", "value"), M("max_value", "max", "value"), M("min_value", "min", "value"), M("users", "distinct", "user_id", rsd=0.002)]
+_STATS_SQL = """count(*) AS n, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value, CAST(stddev(value) AS DECIMAL(28,6)) AS value_stddev,
+    max(value) AS max_value, min(value) AS min_value, count(DISTINCT user_id) AS users"""
+
+
+def _labels(rows: DataFrame) -> DataFrame:
+    """A micro-batch with its derived columns."""
+    rows = rows.withColumns({"popularity": D.bucketize("value", D.STREAM_POPULARITY), "rating": D.bucketize(F.col("value") / 10, D.STREAM_RATING), "day": F.dayofmonth("ts"), "is_high": F.col("value") > 50})
+    return P.clock_parts(rows, F.col("ts")).withColumn("period", D.bucketize("process_hour", D.PERIOD))
+
+
+def _exact_stats(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: exact(c) for c in ("avg_value", "value_stddev") if c in df.columns})
+
+
+TYPE_VIEW = streams.StatsView("type", ["event_type"], _STATS)
+DAY_VIEW = streams.StatsView("day", ["day"], [M("n", "count"), M("n_high", "count_if", "is_high"), *_STATS[1:]], _labels)
+USER_VIEW = streams.StatsView("user", ["user_id"], [*_STATS[:5], M("active_days", "distinct", "day", rsd=0.01)], _labels)
+POPULARITY_VIEW = streams.StatsView("popularity", ["popularity"], _STATS, _labels)
+RATING_VIEW = streams.StatsView("rating", ["rating"], _STATS, _labels)
+LABELS_VIEW = streams.StatsView("labels", ["popularity", "rating"], _STATS[:5], _labels)
+PERIOD_VIEW = streams.StatsView("period", ["period"], _STATS, _labels)
+ROWS_VIEW = streams.View("rows", "event_id", lambda batch: batch.select("event_id", "user_id", "event_type", "value"))
+
+
+def _ranked(g: DataFrame, key: str) -> DataFrame:
+    """Groups with a rank and a percentile by row number."""
+    g = windows.distributed_rank(materialize(g, "groups"), [("avg_value", "desc")], {"rating_rank": "rank", "row": "row_number"}, tie_break=[key])
+    total = g.agg(F.count("*").alias("total"))
+    return g.crossJoin(F.broadcast(total)).withColumn("percentile", (1 - (F.col("row") - 1) / F.col("total")) * 100).drop("row", "total")  # one row
+
+
+def _top_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The 100 best of the stored rows, with two ranks over all of them."""
+    rows = materialize(sinks.read_upserted(spark, f"{root}/rows", "event_id"), "rows")
+    rankings = [Ranking([("value", "desc"), ("user_id", "desc")], {"rating_rank": "rank"}), Ranking([("user_id", "desc")], {"user_rank": "rank"})]
+    return serve.top_k(windows.distributed_ranks(rows, rankings), [F.desc("value"), "event_id"], 100).select("event_id", "value", "rating_rank", "user_rank")
 
 
 @query(
-    f"""WITH g AS (SELECT event_type, count(*) AS n, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value, CAST(stddev(value) AS DECIMAL(28,6)) AS value_stddev, max(value) AS max_value, min(value) AS min_value, count(DISTINCT user_id) > 0 AS has_users FROM {_SPEED} GROUP BY 1)
+    f"""WITH g AS (SELECT event_type, {_STATS_SQL} FROM events WHERE event_type IS NOT NULL GROUP BY 1)
     SELECT *, rank() OVER (ORDER BY avg_value DESC) AS rating_rank, (1 - CAST(row_number() OVER (ORDER BY avg_value DESC, event_type) - 1 AS DOUBLE) / (SELECT count(*) FROM g)) * 100 AS percentile FROM g"""
 )
 def view_08_speed_genre_ranked(spark: SparkSession, d: str) -> DataFrame:
-    """VIEW-07, VIEW-08, WIN-15: a micro-batch's groups, ranked, with a percentile by row number."""
-    g = aggs.group_stats(
-        _speed_events(spark, d),
-        ["event_type"],
-        [M("n", "count"), M("avg_value", "avg", "value"), M("value_stddev", "stddev", "value"), M("max_value", "max", "value"), M("min_value", "min", "value"), M("users", "distinct", "user_id")],
-    )
-    g = g.withColumns({"avg_value": exact("avg_value"), "value_stddev": exact("value_stddev"), "has_users": F.col("users") > 0}).drop("users")
-    g = windows.distributed_rank(g, [("avg_value", "desc")], {"rating_rank": "rank", "row": "row_number"}, tie_break=["event_type"])
-    total = g.agg(F.count("*").alias("total"))
-    return g.crossJoin(F.broadcast(total)).withColumn("percentile", (1 - (F.col("row") - 1) / F.col("total")) * 100).drop("row", "total")
+    """VIEW-07, VIEW-08, WIN-15: groups of micro-batches as states that merge; ranked, with a percentile by row number."""
+    root, _ = _speed_views(spark, d, [TYPE_VIEW])
+    return _ranked(_exact_stats(TYPE_VIEW.read(spark, root)), "event_type")
 
 
 @query(
-    f"""WITH g AS (SELECT CAST(day(ts) AS INTEGER) AS day, count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_high, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value FROM {_SPEED} GROUP BY 1)
+    """WITH g AS (SELECT CAST(day(ts) AS INTEGER) AS day, count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_high, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value FROM events WHERE ts IS NOT NULL GROUP BY 1)
     SELECT *, CAST(n_high AS DOUBLE) / n * 100 AS high_rate, lag(avg_value) OVER (ORDER BY day) AS prev_value, avg_value - lag(avg_value) OVER (ORDER BY day) AS value_change FROM g"""
 )
 def view_09_speed_year_stats(spark: SparkSession, d: str) -> DataFrame:
-    """VIEW-09, AGG-02, WIN-07: a micro-batch's time groups with the change from the one before."""
-    rows = _speed_events(spark, d).withColumn("day", F.dayofmonth("ts"))
-    g = aggs.group_stats(rows, ["day"], [M("n", "count"), M("n_high", "count_if", F.col("value") > 50), M("avg_value", "avg", "value")], not_null=True)
-    g = windows.lags(g.withColumns({"avg_value": exact("avg_value"), "high_rate": aggs.rate("n_high", "n", None)}), "day", {"prev_value": ("avg_value", 1)})
+    """VIEW-09, AGG-02, WIN-07: time groups of micro-batches, with the change from the one before."""
+    root, _ = _speed_views(spark, d, [DAY_VIEW])
+    g = _exact_stats(DAY_VIEW.read(spark, root)).select("day", "n", "n_high", "avg_value", aggs.rate("n_high", "n", None).alias("high_rate"))
+    g = windows.lags(g, "day", {"prev_value": ("avg_value", 1)})
     return g.withColumn("value_change", (F.col("avg_value") - F.col("prev_value")).cast("decimal(28,6)"))
 
 
-@query(f"SELECT user_id, count(*) AS n, count(DISTINCT day(ts)) AS active_days FROM {_SPEED} GROUP BY 1")
+@query("SELECT user_id, count(*) AS n, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value, count(DISTINCT day(ts)) AS active_days FROM events WHERE user_id IS NOT NULL GROUP BY 1")
 def view_10_speed_language_stats(spark: SparkSession, d: str) -> DataFrame:
-    """VIEW-10: groups with distinct days."""
-    rows = _speed_events(spark, d).withColumn("day", F.dayofmonth("ts"))
-    return aggs.group_stats(rows, ["user_id"], [M("n", "count"), M("active_days", "distinct", "day", rsd=0.01)], not_null=True)
+    """VIEW-10: groups of micro-batches with distinct days, counted by sketches that merge."""
+    root, _ = _speed_views(spark, d, [USER_VIEW])
+    return _exact_stats(USER_VIEW.read(spark, root)).select("user_id", "n", "avg_value", "active_days")
 
 
 @query(
-    f"""SELECT event_id, value, CAST(rank() OVER (ORDER BY value DESC, user_id DESC) AS BIGINT) AS rating_rank, CAST(rank() OVER (ORDER BY user_id DESC) AS BIGINT) AS user_rank
-    FROM {_SPEED} ORDER BY value DESC, event_id LIMIT 100"""
+    """SELECT event_id, value, CAST(rank() OVER (ORDER BY value DESC, user_id DESC) AS BIGINT) AS rating_rank, CAST(rank() OVER (ORDER BY user_id DESC) AS BIGINT) AS user_rank
+    FROM events ORDER BY value DESC, event_id LIMIT 100"""
 )
 def view_11_speed_top(spark: SparkSession, d: str) -> DataFrame:
-    """VIEW-11: two global ranks; a top-k report of 100 rows."""
-    rankings = [Ranking([("value", "desc"), ("user_id", "desc")], {"rating_rank": "rank"}), Ranking([("user_id", "desc")], {"user_rank": "rank"})]
-    rows = windows.distributed_ranks(_speed_events(spark, d), rankings)
-    return serve.top_k(rows, [F.desc("value"), "event_id"], 100).select("event_id", "value", "rating_rank", "user_rank")
+    """VIEW-11: two global ranks over the stored rows of all micro-batches; a top-k report of 100 rows."""
+    return _top_rows(spark, _speed_views(spark, d, [ROWS_VIEW])[0])
 
 
 def _case(column: str, bounds: D.Bounds) -> str:
@@ -232,22 +274,20 @@ def _case(column: str, bounds: D.Bounds) -> str:
 
 
 @query(
-    f"""SELECT {_case("value", D.STREAM_POPULARITY)} AS popularity, {_case("value / 10", D.STREAM_RATING)} AS rating, count(*) AS n, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value, max(value) AS max_value, min(value) AS min_value
-    FROM {_SPEED} GROUP BY 1, 2"""
+    f"""SELECT {_case("value", D.STREAM_POPULARITY)} AS popularity, {_case("value / 10", D.STREAM_RATING)} AS rating, count(*) AS n, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value,
+    CAST(stddev(value) AS DECIMAL(28,6)) AS value_stddev, max(value) AS max_value, min(value) AS min_value FROM events GROUP BY 1, 2"""
 )
 def view_12_13_distributions(spark: SparkSession, d: str) -> DataFrame:
-    """VIEW-12, VIEW-13, BKT-06, BKT-07: counts by label."""
-    rows = _speed_events(spark, d).withColumns({"popularity": D.bucketize("value", D.STREAM_POPULARITY), "rating": D.bucketize(F.col("value") / 10, D.STREAM_RATING)})
-    out = aggs.group_stats(rows, ["popularity", "rating"], [M("n", "count"), M("avg_value", "avg", "value"), M("max_value", "max", "value"), M("min_value", "min", "value")])
-    return out.withColumn("avg_value", exact("avg_value"))
+    """VIEW-12, VIEW-13, BKT-06, BKT-07: counts by label over micro-batches."""
+    root, _ = _speed_views(spark, d, [LABELS_VIEW])
+    return _exact_stats(LABELS_VIEW.read(spark, root))
 
 
-@query(f"SELECT {_case('hour(ts)', D.PERIOD)} AS period, count(*) AS n, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value FROM {_SPEED} GROUP BY 1")
+@query(f"SELECT {_case('hour(ts)', D.PERIOD)} AS period, count(*) AS n, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value FROM events GROUP BY 1")
 def view_14_period_stats(spark: SparkSession, d: str) -> DataFrame:
-    """VIEW-14, BKT-08, PRJ-11: counts by period of the day."""
-    rows = _speed_events(spark, d)
-    rows = P.clock_parts(rows, F.col("ts")).withColumn("period", D.bucketize("process_hour", D.PERIOD))
-    return aggs.group_stats(rows, ["period"], [M("n", "count"), M("avg_value", "avg", "value")]).withColumn("avg_value", exact("avg_value"))
+    """VIEW-14, BKT-08, PRJ-11: counts by period of the day over micro-batches."""
+    root, _ = _speed_views(spark, d, [PERIOD_VIEW])
+    return _exact_stats(PERIOD_VIEW.read(spark, root)).select("period", "n", "avg_value")
 
 
 # --- projections, buckets, filters ----------------------------------------------------------------
@@ -503,10 +543,10 @@ def srt_06_07_merged_page(spark: SparkSession, d: str) -> DataFrame:
     return serve.merged_page(X.users(spark, d, False), X.users(spark, d, True), "user_id", [F.col("best").desc_nulls_last(), F.col("user_id")], 2, 10)[0]
 
 
-@query("SELECT * FROM (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN max(value) END AS best FROM events GROUP BY user_id) ORDER BY coalesce(best, 0), user_id LIMIT 30")
+@query("SELECT * FROM (SELECT user_id, max(value) AS best FROM events GROUP BY user_id) ORDER BY coalesce(best, 0), user_id LIMIT 30")
 def srt_04_null_as_zero(spark: SparkSession, d: str) -> DataFrame:
     """SRT-03, SRT-04: sorted by a column whose nulls count as 0; a report of 30 rows."""
-    rows = X.table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("best")).withColumn("best", F.when(F.col("user_id") % 2 == 0, F.col("best")))
+    rows = X.table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("best"))
     return serve.sort_null_as_zero(rows, "best", True, ["user_id"]).limit(30)
 
 
@@ -542,25 +582,6 @@ def ops_10_profitable(spark: SparkSession, d: str) -> DataFrame:
 # --- sources, sinks and streams ---------------------------------------------------------------------
 
 
-def _all_read(spark: SparkSession, writers: dict) -> list:
-    """Run streams until all input is read; their progress reports."""
-    started = streams.start_all(writers, fresh(spark, "checkpoint"))
-    for q in started:
-        q.awaitTermination()
-    return [p for q in started for p in q.recentProgress]
-
-
-def _batches(progress: list) -> int:
-    """Micro-batches that had rows."""
-    return sum(p["numInputRows"] > 0 for p in progress)
-
-
-def _several_epochs(df: DataFrame) -> DataFrame:
-    """``epoch`` replaced by whether the rows come from several epochs."""
-    several = df.agg((F.count_distinct("epoch") > 1).alias("several_epochs"))
-    return df.drop("epoch").crossJoin(F.broadcast(several))  # one row
-
-
 @query("SELECT c_custkey, c_name, c_acctbal, CAST(NULL AS VARCHAR) AS c_comment FROM customer")
 def src_01_csv(spark: SparkSession, d: str) -> DataFrame:
     """SRC-01, SNK-09: a CSV snapshot read back by name, a missing column as nulls."""
@@ -590,19 +611,18 @@ def snk_10_append_new(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, max(event_id) AS event_id, TRUE AS several_epochs FROM events GROUP BY 1")
 def snk_03_upsert(spark: SparkSession, d: str) -> DataFrame:
     """SNK-03, SNK-07: the newest row per key over the epochs of a stream whose parts come in no order."""
-    target = fresh(spark, "upserted")
-    stream = X.event_stream(spark, d, by="hash").select("user_id", "event_id")
-    _all_read(spark, {"upsert": streams.upsert_stream(stream, target, "user_id", ["event_id"], compact_every=3)})
+    target, arrived = fresh(spark, "upserted"), X.arrivals(spark, d, by="hash")
+    _all_read(arrived, {"upsert": streams.upsert_stream(arrived.stream.select("user_id", "event_id"), target, "user_id", ["event_id"], compact_every=3)})
     return _several_epochs(sinks.read_upserted(spark, target, "user_id", True, ["event_id"]))
 
 
 def _window_stream(spark: SparkSession, d: str, width: str, slide: str | None, keys: list[str], measures: list[M]) -> DataFrame:
     """Windows of the event stream, every update upserted."""
-    stats = streams.windowed_stats(streams.watermarked(X.event_stream(spark, d), "ts"), "ts", width, slide, keys, measures)
-    keyed = stats.withColumn("key", F.concat_ws("|", F.col("window_start").cast("string"), *keys))
-    target = fresh(spark, "windows")
-    _all_read(spark, {"windows": streams.upsert_stream(keyed, target, "key").outputMode("update")})
-    out = sinks.read_upserted(spark, target, "key", True).drop("key")
+    target, arrived = fresh(spark, "windows"), X.arrivals(spark, d)
+    stats = streams.windowed_stats(streams.watermarked(arrived.stream, "ts"), "ts", width, slide, keys, measures)
+    key = ["window_start", *keys]
+    _all_read(arrived, {"windows": streams.upsert_stream(stats, target, key, unique=True).outputMode("update")})
+    out = sinks.read_upserted(spark, target, key, True)
     return _several_epochs(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}))
 
 
@@ -639,40 +659,74 @@ def str_04_trend(spark: SparkSession, d: str) -> DataFrame:
 )
 def str_05_late(spark: SparkSession, d: str) -> DataFrame:
     """STR-05: windows that the watermark has closed; the first part's rows come again at the end, days late, and are dropped."""
-    stream = streams.watermarked(X.event_stream(spark, d, late=True), "ts")
-    target = fresh(spark, "closed")
-    stats = streams.windowed_stats(stream, "ts", "5 minutes", None, ["event_type"], [M("n", "count")])
-    progress = _all_read(spark, {"closed": stats.writeStream.format("parquet").option("path", target).outputMode("append")})
+    target, arrived = fresh(spark, "closed"), X.arrivals(spark, d, late=True)
+    stats = streams.windowed_stats(streams.watermarked(arrived.stream, "ts"), "ts", "5 minutes", None, ["event_type"], [M("n", "count")])
+    progress = arrived.run({"closed": stats.writeStream.format("parquet").option("path", target).outputMode("append")})
     late = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
     rows = spark.read.parquet(target).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
-    return rows.withColumns({"several_epochs": F.lit(_batches(progress) > 1), "late_dropped": F.lit(late > 0)})
+    return rows.withColumns({"several_epochs": F.lit(sum(p["numInputRows"] > 0 for p in progress) > 1), "late_dropped": F.lit(late > 0)})
+
+
+_LATE = [M("n", "count"), M("avg_value", "avg", "value"), M("value_stddev", "stddev", "value"), M("max_value", "max", "value"), M("users", "distinct", "user_id", rsd=0.01)]
+
+
+@query(
+    """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, CAST(avg(value) AS DECIMAL(28,6)) AS avg_value, CAST(stddev(value) AS DECIMAL(28,6)) AS value_stddev,
+                  max(value) AS max_value, count(DISTINCT user_id) AS users FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)
+    SELECT *, window_start + INTERVAL 1 HOUR AS window_end, TRUE AS late_found, (SELECT count(*) FROM events) AS n_all FROM w"""
+)
+def str_01_late_windows(spark: SparkSession, d: str) -> DataFrame:
+    """STR-01, STR-05: parts in no order, so that most rows are late; they are kept, and closed windows are corrected by them.
+
+    ``n_all``: the rows that came in time, and the late ones.
+    """
+    arrived = X.arrivals(spark, d, 4, by="hash")
+    view = LateWindows(fresh(spark, "late"), "ts", "1 hour", _LATE, ["event_type"], compact_every=3)
+    _all_read(arrived, {"late": arrived.stream.withColumn("ts", F.col("ts").cast("timestamp")).writeStream.foreachBatch(view)})
+    on_time, late = view.on_time(spark).agg(F.sum("n").alias("on_time")), view.late(spark).agg(F.count("*").alias("late"))
+    told = on_time.crossJoin(late).select((F.col("late") > 0).alias("late_found"), (F.coalesce("on_time", F.lit(0)) + F.col("late")).alias("n_all"))  # one row each
+    out = view.corrected(spark).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    return _exact_stats(out).crossJoin(F.broadcast(told))
 
 
 @query("SELECT event_id, event_type, TRUE AS several_epochs FROM events")
 def str_06_dedup(spark: SparkSession, d: str) -> DataFrame:
     """STR-06: a stream in which every event comes twice, deduplicated with bounded state."""
-    twice = X.event_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    target = fresh(spark, "deduplicated")
+    target, arrived = fresh(spark, "deduplicated"), X.arrivals(spark, d)
+    twice = arrived.stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     once = streams.dedup(streams.watermarked(twice, "ts"), ["event_id"]).select("event_id", "event_type")
-    progress = _all_read(spark, {"dedup": once.writeStream.format("parquet").option("path", target)})
-    return spark.read.parquet(target).withColumn("several_epochs", F.lit(_batches(progress) > 1))
+    batches = _all_read(arrived, {"dedup": once.writeStream.format("parquet").option("path", target)})
+    return spark.read.parquet(target).withColumn("several_epochs", F.lit(batches > 1))
 
 
 def _total_view(name: str, key: Column) -> streams.View:
     return streams.View(name, "key", lambda b: b.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.max("value").alias("top")), {"n": "sum", "top": "max"})
 
 
+_SEVEN = [TYPE_VIEW, DAY_VIEW, streams.StatsView("user", ["user_id"], _STATS), POPULARITY_VIEW, RATING_VIEW, PERIOD_VIEW]
+_SEVEN_SQL = {"type": "event_type", "day": "day(ts)", "user": "user_id", "popularity": _case("value", D.STREAM_POPULARITY), "rating": _case("value / 10", D.STREAM_RATING), "period": _case("hour(ts)", D.PERIOD)}
+_NO_STATS = ", ".join(f"CAST(NULL AS {kind}) AS {c}" for c, kind in (("avg_value", "DECIMAL(28,6)"), ("value_stddev", "DECIMAL(28,6)"), ("max_value", "DOUBLE"), ("min_value", "DOUBLE"), ("users", "BIGINT")))
+
+
 @query(
-    """SELECT 'type' AS view, event_type AS key, count(*) AS n, max(value) AS top, TRUE AS several_epochs FROM events GROUP BY 2
-    UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), count(*), max(value), TRUE FROM events GROUP BY 2"""
+    " UNION ALL ".join(f"SELECT '{name}' AS view, CAST({key} AS VARCHAR) AS key, {_STATS_SQL}, TRUE AS several_epochs FROM events WHERE {key} IS NOT NULL GROUP BY 2" for name, key in _SEVEN_SQL.items())
+    + f""" UNION ALL SELECT 'ranked', event_type, CAST(rank() OVER (ORDER BY a DESC) AS BIGINT), {_NO_STATS}, TRUE FROM (SELECT event_type, CAST(avg(value) AS DECIMAL(28,6)) AS a FROM events WHERE event_type IS NOT NULL GROUP BY 1)
+    UNION ALL SELECT * FROM (SELECT 'top', CAST(event_id AS VARCHAR), rank() OVER (ORDER BY value DESC, user_id DESC), {_NO_STATS}, TRUE FROM events ORDER BY value DESC, event_id LIMIT 100)"""
 )
 def str_07_views(spark: SparkSession, d: str) -> DataFrame:
-    """STR-07, STR-08: views of every micro-batch, as running totals that each epoch adds to."""
-    root = fresh(spark, "views")
-    views = [_total_view("type", F.col("event_type")), _total_view("user", F.col("user_id").cast("string"))]
-    progress = _all_read(spark, {"views": X.event_stream(spark, d).writeStream.foreachBatch(streams.micro_batch_views(views, root, compact_every=2))})
-    read = [sinks.read_upserted(spark, f"{root}/{v.name}", "key", merge=v.merge).select(F.lit(v.name).alias("view"), "key", "n", "top") for v in views]
-    return read[0].unionByName(read[1]).withColumn("several_epochs", F.lit(_batches(progress) > 1))
+    """STR-07, STR-08, VIEW-07 to VIEW-14: one stream whose micro-batches feed eight views and the rows that two of them rank."""
+    root, several = _speed_views(spark, d, [*_SEVEN, ROWS_VIEW])
+    told = {v.name: _exact_stats(v.read(spark, root)) for v in _SEVEN}
+    stats = [m.out for m in _STATS]
+    read = [df.select(F.lit(name).alias("view"), F.col(df.columns[0]).cast("string").alias("key"), *stats) for name, df in told.items()]
+    ranked = _ranked(told["type"], "event_type").select(F.lit("ranked").alias("view"), F.col("event_type").alias("key"), F.col("rating_rank").alias("n"))
+    top = _top_rows(spark, root).select(F.lit("top").alias("view"), F.col("event_id").cast("string").alias("key"), F.col("rating_rank").alias("n"))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*read, ranked, top])
+    return every.withColumn("several_epochs", F.lit(several))
+
+
+def _total_view(name: str, key: Column) -> streams.StatsView:
+    return streams.StatsView(name, ["key"], [M("n", "count")], lambda batch: batch.withColumn("key", key.cast("string")))
 
 
 @query(
@@ -681,11 +735,11 @@ def str_07_views(spark: SparkSession, d: str) -> DataFrame:
 )
 def view_15_raw_rows(spark: SparkSession, d: str) -> DataFrame:
     """VIEW-15, PRJ-10: a stream's rows with all derived columns, upserted by id."""
-    rows = X.event_stream(spark, d)
-    rows = rows.withColumns({"k": F.get_json_object("props", "$.k").try_cast("long"), "popularity": D.bucketize("value", D.STREAM_POPULARITY), "rating": D.bucketize(F.col("value") / 10, D.STREAM_RATING)})
+    arrived = X.arrivals(spark, d)
+    rows = arrived.stream.withColumns({"k": F.get_json_object("props", "$.k").try_cast("long"), "popularity": D.bucketize("value", D.STREAM_POPULARITY), "rating": D.bucketize(F.col("value") / 10, D.STREAM_RATING)})
     rows = P.clock_parts(rows, F.col("ts")).withColumns({"period": D.bucketize("process_hour", D.PERIOD), "is_high": D.flag(F.col("value") > 50)})
     target = fresh(spark, "raw")
-    _all_read(spark, {"raw": streams.upsert_stream(P.audit(rows, "speed"), target, "event_id")})
+    _all_read(arrived, {"raw": streams.upsert_stream(P.audit(rows, "speed"), target, "event_id")})
     return _several_epochs(sinks.read_upserted(spark, target, "event_id", True).drop("user_id", "ts", "props", "processed_at"))
 
 
@@ -695,13 +749,14 @@ def view_15_raw_rows(spark: SparkSession, d: str) -> DataFrame:
 )
 def str_14_two_sinks(spark: SparkSession, d: str) -> DataFrame:
     """STR-14, PRJ-01, PRJ-06: messages parsed, cast and upserted to two sinks."""
-    messages = P.to_payload(X.event_stream(spark, d).select("event_id", "user_id", "event_type", F.col("value").cast("string").alias("value")), "event_id")
+    arrived = X.arrivals(spark, d)
+    messages = P.to_payload(arrived.stream.select("event_id", "user_id", "event_type", F.col("value").cast("string").alias("value")), "event_id")
     read = P.parse_payload(messages, "value", "event_id string, user_id string, event_type string, value string")
     rows = read.select(P.to_number("event_id", "long").alias("last_event"), F.col("user_id"), F.col("event_type"), P.to_number("value").alias("value"))
     targets = {"user": (fresh(spark, "users"), "user_id"), "type": (fresh(spark, "types"), "event_type")}
-    progress = _all_read(spark, {name: streams.upsert_stream(rows.select(F.col(key).alias("key"), "last_event", "value"), path, "key", ["last_event"]) for name, (path, key) in targets.items()})
+    batches = _all_read(arrived, {name: streams.upsert_stream(rows.select(F.col(key).alias("key"), "last_event", "value"), path, "key", ["last_event"]) for name, (path, key) in targets.items()})
     out = [sinks.read_upserted(spark, path, "key", newest=["last_event"]).select(F.lit(name).alias("sink"), "key", "last_event", "value") for name, (path, _) in targets.items()]
-    return out[0].unionByName(out[1]).withColumn("several_epochs", F.lit(_batches(progress) > len(targets)))
+    return out[0].unionByName(out[1]).withColumn("several_epochs", F.lit(batches > len(targets)))
 
 
 @query(
@@ -710,12 +765,10 @@ def str_14_two_sinks(spark: SparkSession, d: str) -> DataFrame:
 def str_13_four_queries(spark: SparkSession, d: str) -> DataFrame:
     """STR-13, STR-09: four named queries run side by side on a processing-time trigger, and are stopped when they have read what is there."""
     keys = {"type": F.col("event_type"), "user": F.col("user_id"), "day": F.dayofmonth("ts"), "hour": F.hour("ts")}
-    root = fresh(spark, "side")
-    stream = X.event_stream(spark, d)
-    views = {n: _total_view(n, c.cast("string")) for n, c in keys.items()}
-    started = streams.start_all({f"{n}-{root[-8:]}": stream.writeStream.foreachBatch(streams.micro_batch_views([v], root)) for n, v in views.items()}, fresh(spark, "checkpoint"), "0 seconds")
-    batches = streams.drain_and_stop(started)
-    read = [sinks.read_upserted(spark, f"{root}/{n}", "key", merge=v.merge).select(F.lit(n).alias("view"), "key", "n") for n, v in views.items()]
+    root, arrived = fresh(spark, "side"), X.arrivals(spark, d)
+    views = [_total_view(n, c) for n, c in keys.items()]
+    batches = _all_read(arrived, {v.name: arrived.stream.writeStream.foreachBatch(streams.micro_batch_views([v], root)) for v in views})
+    read = [v.read(spark, root).select(F.lit(v.name).alias("view"), "key", "n") for v in views]
     return reduce(DataFrame.unionByName, read).withColumn("several_batches", F.lit(batches > len(views)))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -23,25 +23,38 @@ def write_top(df: DataFrame, path: str, order: Sequence, n: int) -> None:
     write_view(df.orderBy(*order).limit(n), path)
 
 
+def _listed(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def one_per_key(df: DataFrame, key: str | Sequence[str], newest: Sequence[str]) -> DataFrame:
     """The newest row of each key, ties broken by the whole row: a map-side aggregate, no sort."""
-    key = [key] if isinstance(key, str) else list(key)
+    key = _listed(key)
     others = [c for c in df.columns if c not in key]
     return df.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*newest, F.to_json(F.struct(*others)))).alias("__row")).select(*key, "__row.*").select(*df.columns)
 
 
-def upsert(df: DataFrame, path: str, key: str, epoch: int, newest: Sequence[str] = ()) -> None:
-    """Write the rows of one epoch under the target; a replayed epoch replaces itself.
+def upsert(df: DataFrame, path: str, key: str | Sequence[str], epoch: int, newest: Sequence[str] = (), unique: bool = False) -> None:
+    """Write the rows of one epoch under the target; a replayed epoch replaces itself. Rows with a null in the key are dropped.
 
     The target is merged on reading (``read_upserted``), so an epoch costs its own
     rows and not the table's; ``compact`` bounds how many epochs a reader merges.
+    ``unique``: the rows have one for each key already, as after an aggregate by it.
     """
-    rows = one_per_key(df.where(F.col(key).isNotNull()), key, newest)
-    rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    rows = df.dropna(subset=_listed(key))
+    (rows if unique else one_per_key(rows, key, newest)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def committed(spark: SparkSession, path: str, epoch: int) -> bool:
+    """Whether a target has all rows of an epoch, as itself or compacted."""
+    compacted = [int(x.removeprefix("upto=")) for x in children(spark, f"{path}/_compacted") if "_SUCCESS" in children(spark, f"{path}/_compacted/{x}")]
+    return max(compacted, default=-1) >= epoch or "_SUCCESS" in children(spark, f"{path}/epoch={epoch}")
 
 
 #: Aggregates that merge: of parts, they give that of the whole.
 MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
+#: How a stored column of several epochs is put together: a name of ``MERGES``, or an aggregate of the column.
+Merge = Mapping[str, str | Callable[[str], Column]]
 
 
 def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[int]]:
@@ -57,23 +70,27 @@ def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[int]]:
     return (typed[0] if len(typed) == 1 else typed[0].unionByName(typed[1])), upto, later
 
 
-def read_upserted(spark: SparkSession, path: str, key: str, keep_epoch: bool = False, newest: Sequence[str] = (), merge: Mapping[str, str] | None = None) -> DataFrame:
+def read_upserted(spark: SparkSession, path: str, key: str | Sequence[str], keep_epoch: bool = False, newest: Sequence[str] = (), merge: Merge | None = None) -> DataFrame:
     """One row per key over all epochs.
 
     The newest row, ties to the last epoch; without ``newest`` the row of the last
-    epoch. With ``merge`` (column -> sum, min or max) epochs are parts of one
-    aggregate, and are put together.
+    epoch. With ``merge`` epochs are parts of one aggregate, and are put together.
     """
     rows, _, _ = _stored(spark, path)
+    return merged_rows(rows, _listed(key), keep_epoch, newest, merge)
+
+
+def merged_rows(rows: DataFrame, key: Sequence[str], keep_epoch: bool = False, newest: Sequence[str] = (), merge: Merge | None = None) -> DataFrame:
+    """One row per key of the rows of several epochs, which have their number in ``epoch``."""
     if merge is not None:
-        made = [MERGES[kind](c).alias(c) for c, kind in merge.items()]
-        return rows.groupBy(key).agg(*made, *([F.max("epoch").alias("epoch")] if keep_epoch else []))
-    others = [c for c in rows.columns if c not in (key, "epoch")]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*others, "epoch"), F.struct(*newest, "epoch")).alias("__row"))
-    return last.select(key, *[f"__row.{c}" for c in others], *(["__row.epoch"] if keep_epoch else []))
+        made = [(MERGES[kind] if isinstance(kind, str) else kind)(c).alias(c) for c, kind in merge.items()]
+        return rows.groupBy(*key).agg(*made, *([F.max("epoch").alias("epoch")] if keep_epoch else []))
+    others = [c for c in rows.columns if c not in (*key, "epoch")]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*others, "epoch"), F.struct(*newest, "epoch")).alias("__row"))
+    return last.select(*key, *[f"__row.{c}" for c in others], *(["__row.epoch"] if keep_epoch else []))
 
 
-def compact(spark: SparkSession, path: str, key: str, newest: Sequence[str] = (), merge: Mapping[str, str] | None = None) -> None:
+def compact(spark: SparkSession, path: str, key: str | Sequence[str], newest: Sequence[str] = (), merge: Merge | None = None) -> None:
     """Store the merged table once, so that readers merge it with later epochs only.
 
     What the compaction before this one had covered is deleted; what this one

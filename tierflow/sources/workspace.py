@@ -51,3 +51,15 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and no later plan reads."""
     for df in tables:
         delete_folder(df.sparkSession, df._tierflow_path)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder: whoever lists the target's parent sees all of it or nothing, on file systems that rename in one step."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).rename(where, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} was not moved to {to}")

@@ -6,15 +6,17 @@ session's zone at UTC.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import time
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from ..operators import partials
 from ..operators.aggs import Measure
-from ..sources.sinks import compact, upsert
+from ..sources.sinks import Merge, committed, compact, read_upserted, upsert
 
 
 def watermarked(df: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -38,43 +40,73 @@ def dedup(df: DataFrame, keys: Sequence[str], bounded: bool = True) -> DataFrame
 class View:
     """A view of a micro-batch: its name, its key and how its rows are made.
 
-    ``merge`` says for a running view how each column of two epochs is put together: sum, min or max.
+    ``merge`` says for a running view how each column of two epochs is put together.
     """
 
     name: str
-    key: str
+    key: str | Sequence[str]
     make: Callable[[DataFrame], DataFrame]
-    merge: Mapping[str, str] | None = None
+    merge: Merge | None = None
+
+
+@dataclass(frozen=True)
+class StatsView:
+    """A running view of measures by key: an epoch writes states, and readers merge them.
+
+    ``rows`` makes the rows to group of a micro-batch. Rows with a null in the key are left out.
+    """
+
+    name: str
+    keys: Sequence[str]
+    measures: Sequence[Measure]
+    rows: Callable[[DataFrame], DataFrame] = lambda batch: batch
+
+    @property
+    def key(self) -> Sequence[str]:
+        return self.keys
+
+    @property
+    def merge(self) -> Merge:
+        return partials.mergers(self.measures)
+
+    def make(self, batch: DataFrame) -> DataFrame:
+        return self.rows(batch).groupBy(*self.keys).agg(*partials.states(self.measures))
+
+    def read(self, spark: SparkSession, root: str, keep_epoch: bool = False) -> DataFrame:
+        """The measures over all epochs."""
+        return partials.finished(read_upserted(spark, f"{root}/{self.name}", self.keys, keep_epoch, merge=self.merge), self.measures)
 
 
 #: Epochs until a target is compacted.
 COMPACT_EVERY = 50
 
 
-def micro_batch_views(views: Sequence[View], root: str, compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+def micro_batch_views(views: Sequence[View | StatsView], root: str, compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that upserts every view of the batch under ``root``.
 
     A view without ``merge`` has for each key the row of the last epoch that had
     it. One with ``merge`` holds running totals: an epoch writes the aggregate of its own rows, and
-    reading (``read_upserted`` with the same ``merge``) puts the epochs together, so
+    reading (``read_upserted`` with the same ``merge``, or the view's ``read``) puts the epochs together, so
     an epoch's work does not grow with the stream.
     The batch is read once and kept while its views are made. A view that fails
     does not stop the others, but fails the epoch, which is then repeated; a
-    repeated epoch replaces its own rows.
+    repeated epoch makes only the views that it has not written yet.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        left = [v for v in views if not committed(spark, f"{root}/{v.name}", epoch)]
         batch = batch.persist()
         try:
-            if batch.isEmpty():
+            if not left or batch.isEmpty():
                 return
             failed = []
-            for v in views:
+            for v in left:
                 try:
                     made = v.make(batch) if v.merge else v.make(batch).withColumn("epoch_id", F.lit(epoch).cast("long"))
-                    upsert(made, f"{root}/{v.name}", v.key, epoch)
+                    upsert(made, f"{root}/{v.name}", v.key, epoch, unique=isinstance(v, StatsView))
                     if epoch % compact_every == compact_every - 1:
-                        compact(batch.sparkSession, f"{root}/{v.name}", v.key, merge=v.merge)
+                        compact(spark, f"{root}/{v.name}", v.key, merge=v.merge)
                 except Exception as e:  # noqa: BLE001  raised below, with all that failed
                     failed.append((v.name, e))
             if failed:
@@ -85,33 +117,58 @@ def micro_batch_views(views: Sequence[View], root: str, compact_every: int = COM
     return run
 
 
-def upsert_stream(df: DataFrame, path: str, key: str, newest: Sequence[str] = (), compact_every: int = COMPACT_EVERY) -> DataStreamWriter:
-    """Every micro-batch's newest row per key to a keyed target."""
+def upsert_stream(df: DataFrame, path: str, key: str | Sequence[str], newest: Sequence[str] = (), compact_every: int = COMPACT_EVERY, unique: bool = False) -> DataStreamWriter:
+    """Every micro-batch's newest row per key to a keyed target. ``unique``: a micro-batch has one row per key already."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        if not batch.isEmpty():
-            upsert(batch, path, key, epoch, newest)
+        if unique or not batch.isEmpty():
+            upsert(batch, path, key, epoch, newest, unique)
             if epoch % compact_every == compact_every - 1:
                 compact(batch.sparkSession, path, key, newest)
 
     return df.writeStream.foreachBatch(run)
 
 
+#: State on local disk with its changes in the checkpoint, so that it may outgrow memory and a commit costs what changed.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def use_disk_state(spark: SparkSession) -> None:
+    """Set ``STATE_STORE`` for queries that start from now on, where the session says nothing else."""
+    for name, value in STATE_STORE.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 def start_all(writers: dict[str, DataStreamWriter], checkpoint_root: str, processing_time: str | None = None) -> list[StreamingQuery]:
     """Start named queries, each with a checkpoint of its own; without ``processing_time`` they end when all input is read."""
     out = []
+    for w in writers.values():
+        use_disk_state(w._spark)
     for name, w in writers.items():
         w = w.queryName(name).option("checkpointLocation", f"{checkpoint_root}/{name}")
         out.append((w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)).start())
     return out
 
 
-def run_until_any_ends(spark: SparkSession, timeout: float | None = None) -> None:
-    """Wait for the first query to end, then stop the others; a query's error is raised."""
+def run_until_any_ends(queries: Sequence[StreamingQuery], timeout: float | None = None) -> None:
+    """Wait for the first of the queries to end, or for the time to pass, then stop the others; a query's error is raised.
+
+    Queries that ended in the session before play no part.
+    """
+    end = None if timeout is None else time.monotonic() + timeout
     try:
-        spark.streams.awaitAnyTermination(timeout) if timeout else spark.streams.awaitAnyTermination()
+        while all(q.isActive for q in queries) and (end is None or time.monotonic() < end):
+            queries[0].awaitTermination(1)
+        failed = [q.exception() for q in queries if not q.isActive and q.exception() is not None]
+        if failed:
+            raise failed[0]
     finally:
-        stop_all(spark)
+        for q in queries:
+            q.stop()
 
 
 def stop_all(spark: SparkSession, names: Sequence[str] | None = None) -> None:
@@ -130,3 +187,19 @@ def drain_and_stop(queries: Sequence[StreamingQuery]) -> int:
     finally:
         for q in queries:
             q.stop()
+
+
+def feed(queries: Sequence[StreamingQuery], steps: Iterable[Callable[[], None]]) -> list[dict]:
+    """Take a step, let all running queries finish what has arrived by it, and so on; then stop them. Their progress reports.
+
+    An error of a query is raised.
+    """
+    try:
+        for step in steps:
+            step()
+            for q in queries:
+                q.processAllAvailable()
+        return [p for q in queries for p in q.recentProgress]
+    finally:
+        for q in queries:
+            q.stop()
