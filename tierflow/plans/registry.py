@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 
 from ..functions import derive as D
 from ..functions import parse as P
-from ..operators import aggs, filters, joins, merge, pivots, serve, windows
+from ..operators import aggs, filters, joins, merge, pivots, series, serve, windows
 from ..operators.aggs import Measure as M
 from ..operators.windows import Ranking
 from ..sources import sinks, tables
+from ..sources.keyed import KeyedTable
 from ..sources.workspace import fresh, materialize
 from ..streaming import streams
 from ..streaming.late import LateWindows
@@ -497,6 +498,26 @@ def win_13_global_ranks(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("l_quantity", "l_discount", "l_extendedprice")
 
 
+@query(
+    """SELECT event_id, lag(value, 1) OVER w AS prev_value, lag(event_type, 2) OVER w AS type_before_last, lead(value, 1) OVER w AS next_value,
+    CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (ORDER BY date_trunc('hour', ts) NULLS FIRST) AS DECIMAL(28,2)) AS running_value,
+    CAST(avg(CAST(value AS DECIMAL(18,2))) OVER (ORDER BY date_trunc('hour', ts) NULLS FIRST, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DECIMAL(28,4)) AS moving_value
+    FROM events WINDOW w AS (ORDER BY date_trunc('hour', ts) NULLS FIRST, event_id)"""
+)
+def win_06_09_series(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-06, WIN-08, WIN-09: lags, running sums and moving means over a whole event table, of which many rows share an hour."""
+    events = X.table(spark, d, "events").select("event_id", "event_type", "value", F.date_trunc("hour", "ts").alias("hour"), F.col("value").cast("decimal(18,2)").alias("amount"))
+    out = series.over_series(
+        events,
+        "hour",
+        ["event_id"],
+        lags={"prev_value": ("value", 1), "type_before_last": ("event_type", 2), "next_value": ("value", -1)},
+        running={"running_value": "amount"},
+        moving={"moving_value": ("amount", 3)},
+    )
+    return out.select("event_id", "prev_value", "type_before_last", "next_value", F.col("running_value").cast("decimal(28,2)").alias("running_value"), F.col("moving_value").cast("decimal(28,4)").alias("moving_value"))
+
+
 _LABELS = ["Viral", "Trending", "Popular", "Moderate"]
 
 
@@ -611,9 +632,11 @@ def snk_10_append_new(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, max(event_id) AS event_id, TRUE AS several_epochs FROM events GROUP BY 1")
 def snk_03_upsert(spark: SparkSession, d: str) -> DataFrame:
     """SNK-03, SNK-07: the newest row per key over the epochs of a stream whose parts come in no order."""
-    target, arrived = fresh(spark, "upserted"), X.arrivals(spark, d, by="hash")
-    _all_read(arrived, {"upsert": streams.upsert_stream(arrived.stream.select("user_id", "event_id"), target, "user_id", ["event_id"], compact_every=3)})
-    return _several_epochs(sinks.read_upserted(spark, target, "user_id", True, ["event_id"]))
+    arrived = X.arrivals(spark, d, by="hash")
+    rows = arrived.stream.select("user_id", "event_id")
+    table = KeyedTable(spark, fresh(spark, "upserted"), "user_id", rows.schema, 16, ["event_id"])
+    _all_read(arrived, {"upsert": streams.upsert_table(rows, table)})
+    return _several_epochs(table.read(keep_epoch=True))
 
 
 def _window_stream(spark: SparkSession, d: str, width: str, slide: str | None, keys: list[str], measures: list[M]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators import partials
 from ..operators.aggs import Measure
+from ..sources.keyed import KeyedTable
 from ..sources.sinks import Merge, committed, compact, read_upserted, upsert
 
 
@@ -129,6 +130,11 @@ def upsert_stream(df: DataFrame, path: str, key: str | Sequence[str], newest: Se
     return df.writeStream.foreachBatch(run)
 
 
+def upsert_table(df: DataFrame, table: KeyedTable) -> DataStreamWriter:
+    """Every micro-batch to a table of sorted runs."""
+    return df.writeStream.foreachBatch(lambda batch, epoch: None if batch.isEmpty() else table.upsert(batch, epoch) and None)
+
+
 #: State on local disk with its changes in the checkpoint, so that it may outgrow memory and a commit costs what changed.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
