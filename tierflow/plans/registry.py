@@ -16,6 +16,7 @@ from ..operators.aggs import Measure as M
 from ..operators.windows import Ranking
 from ..sources import sinks, tables
 from ..sources.keyed import KeyedTable
+from ..sources.ordered import OrderedTable
 from ..sources.workspace import fresh, materialize
 from ..streaming import streams
 from ..streaming.late import LateWindows
@@ -554,6 +555,28 @@ def srt_05_page(spark: SparkSession, d: str) -> DataFrame:
     return serve.page(X.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 3, 20)[0]
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, l_extendedprice, p AS page FROM (
+        SELECT *, (row_number() OVER (ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey NULLS FIRST, l_linenumber NULLS FIRST) - 1) // 50 + 1 AS p, (count(*) OVER () + 49) // 50 AS pages FROM lineitem)
+    WHERE p IN (1, pages // 2, pages)"""
+)
+def srt_05_deep_pages(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-05, SRT-01: the first, the middle and the last page of a stored order, of which only the files they lie in are opened."""
+    lines = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    table = OrderedTable(spark, fresh(spark, "ordered")).store(lines, [("l_extendedprice", "desc"), ("l_orderkey", "asc"), ("l_linenumber", "asc")])
+    pages = table.page(1, 50)[2]
+    return reduce(DataFrame.unionByName, [table.page(p, 50)[0].withColumn("page", F.lit(p).cast("long")) for p in sorted({1, pages // 2, pages} - {0})])
+
+
+@query("SELECT o.o_orderkey, o.o_custkey, o.o_totalprice FROM orders o JOIN (SELECT o_custkey AS c FROM orders GROUP BY 1 ORDER BY count(*) DESC, o_custkey LIMIT 3) ON o_custkey = c")
+def flt_11_clustered_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-11, SRC-10: the orders of the three busiest customers, looked up in a table stored by customer; a top-k report of lookups."""
+    orders = X.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    table = OrderedTable(spark, fresh(spark, "clustered")).store(orders, [("o_custkey", "asc"), ("o_orderkey", "asc")])
+    busiest = serve.top_k(orders.groupBy("o_custkey").count(), [F.desc("count"), "o_custkey"], 3)
+    return reduce(DataFrame.unionByName, [table.lookup("o_custkey", r["o_custkey"]) for r in busiest.collect()], orders.limit(0))
+
+
 @query(
     f"""WITH {X.USERS_SQL}, m AS (SELECT CAST(coalesce(b.user_id, s.user_id) AS VARCHAR) AS user_id, coalesce(s.last_event, b.last_event) AS last_event, coalesce(s.best, b.best) AS best,
     CASE WHEN b.user_id IS NULL THEN 'speed' WHEN s.user_id IS NULL THEN 'batch' ELSE 'merged' END AS source FROM b FULL JOIN s ON b.user_id = s.user_id)
