@@ -790,3 +790,36 @@ def test_toxic_sample_holds_whole_texts_within_its_bounds(spark):
     with pytest.raises(ValueError, match="both classes"):
         toxicity.training_sample(docs.where("doc_id < 40 OR doc_id % 2 = 0"), labels, characters=50)
     assert toxicity.training_sample(docs.limit(0), labels) == ([], [])
+
+
+def framed_page(body="", wrapper="", article=""):
+    text = "".join(f"<p>{'A sentence of the article that is long enough to be one. ' * 3}</p>" for _ in range(4))
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>"
+    comments = '<div class="comments"><article class="comment-body"><p>I like this text very much, thank you for it.</p></article></div>'
+    return f'<html><head><title>t</title></head><body{body}><div{wrapper}>{menu}<main><article{article}><h1>Title</h1>{text}</article></main>{comments}</div><footer>Copyright 2024</footer></body></html>'
+
+
+@pytest.mark.parametrize("name", ["has-banner", "single-post with-sidebar", "no-comments", "search-results widget-area", "page-with-menu newsletter-popup"])
+def test_classes_of_what_frames_the_page_say_nothing_of_its_blocks(name):
+    plain = html_text.extract(framed_page())
+    assert plain.startswith("Title\n") and "thank you" not in plain and "Copyright" not in plain and "Home" not in plain
+    for place in ("body", "wrapper"):
+        assert html_text.extract(framed_page(**{place: f' class="{name}"'})) == plain
+    assert "thank you" not in html_text.extract(framed_page().replace('class="comments"', 'class="x"'))
+
+
+@tables
+def test_body_classes_change_no_page():
+    pages = pd.read_parquet(f"{SF}/pages.parquet").html.tolist()
+    model = html_text.fit(pages)
+    for name in ("has-banner", "single-post with-sidebar", "no-comments"):
+        other = [re.sub("<body", f'<body class="{name}"', p, count=1) for p in pages]
+        assert [html_text.extract(p, model) for p in other] == [html_text.extract(p, model) for p in pages]
+
+
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    """Two rules that reject the same rows, one of them slow; and two that cost the same, of which one rejects nothing."""
+    counted = quality.with_counts(documents(spark, ["some words of a text " * 200] * 40))
+    slow = "length(regexp_replace(repeat(text, 20), '(a|o|e)(.)\\\\1?', '$2')) > 0"
+    assert quality.cascade_order(counted, {"slow": slow, "cheap": "length(text) > 0"}) == ["cheap", "slow"]
+    assert quality.cascade_order(counted, {"none": slow.replace("> 0", "< 0"), "all": slow}) == ["all", "none"]

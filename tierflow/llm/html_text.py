@@ -75,6 +75,9 @@ HIDDEN_BIT = 1 << len(PLACES)
 HINT_BITS = [1 << (len(PLACES) + 1 + k) for k in range(len(HINTS))]
 #: Marks that make what is around a block no content, whatever element it stands in.
 NEGATIVE = sum(PLACE_BITS[t] for t, w in PLACES.items() if w < 0) | HIDDEN_BIT | sum(b for b, (_, w) in zip(HINT_BITS, HINTS, strict=True) if w < 0)
+NEGATIVE_HINTS = sum(b for b, (_, w) in zip(HINT_BITS, HINTS, strict=True) if w < 0)
+#: Elements that are the whole page; what holds one of the two after them frames the page's text as well. Their classes speak of the page, not of a block.
+WHOLE, HELD = frozenset(("html", "body")), frozenset(("main", "article"))
 MARKS = len(PLACES) + 1 + len(HINTS)
 PRIOR = np.array([*OWN.values(), *PLACES.values(), HIDDEN, *[w for _, w in HINTS], *[0.0] * NAMES])
 
@@ -113,6 +116,8 @@ class Page:
 def marks_of(tag: str, attributes: str) -> tuple[int, int]:
     """Place and hint bits, and hashed names, of an element."""
     marks, names = PLACE_BITS.get(tag, 0), 0
+    if tag in WHOLE:
+        return marks | (HIDDEN_BIT if _HIDDEN.search(attributes) else 0), names
     if tag not in ("article", "p"):
         names |= 1 << zlib.crc32(tag.encode()) % NAMES
     if attributes:
@@ -144,6 +149,8 @@ def parse(page: str) -> Page:
     """Text blocks in page order. White space inside a block is one space. Every character is passed a bounded number of times."""
     out: list[Block] = []
     parent, depth = [0], [0]
+    # Of each element: its own marks, the element around it, whether it frames the page; and each block's innermost element.
+    own, around_it, frames, inner = [0], [0], [True], []
     stack = [_Open("", 0, 0, 0, 0, False, False, False)]
     places: dict[str, list[int]] = {}  # where on the stack elements of a name are
     text: list[str] = []
@@ -157,6 +164,7 @@ def parse(page: str) -> Page:
             if words:
                 top = stack[-1]
                 around = stack[top.block]
+                inner.append(top.node)
                 out.append(Block(words, around.node, around.tag, top.marks, top.names, linked, top.labelled))
             text.clear()
         linked = 0
@@ -231,6 +239,14 @@ def parse(page: str) -> Page:
         marks, names = marks_of(tag, attributes)
         if tag == "header" and (top.article or top.marks & PLACE_BITS["main"]):
             marks &= ~PLACE_BITS["header"]
+        if tag in HELD and not marks & NEGATIVE:
+            for e in reversed(stack):
+                if frames[e.node]:
+                    break  # and so does all that holds it
+                frames[e.node] = True
+        own.append(marks)
+        around_it.append(top.node)
+        frames.append(tag in WHOLE)
         parent.append(stack[top.block].node)
         depth.append(depth[parent[-1]] + (tag in BLOCK_TAGS))
         places.setdefault(tag, []).append(len(stack))
@@ -238,6 +254,11 @@ def parse(page: str) -> Page:
         labelled = article and not marks & NEGATIVE and (top.labelled or not top.article)
         stack.append(_Open(tag, len(parent) - 1, len(stack) if tag in BLOCK_TAGS else top.block, top.marks | marks, top.names | names, top.link or tag == "a", article, labelled))
     flush()
+    marks = [0]
+    for k in range(1, len(own)):
+        marks.append(marks[around_it[k]] | (own[k] & ~NEGATIVE_HINTS if frames[k] else own[k]))
+    for b, k in zip(out, inner, strict=True):
+        b.marks = marks[k]
     return Page(out, parent, depth)
 
 
