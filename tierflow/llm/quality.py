@@ -31,7 +31,7 @@ SYMBOLS = "[^#*$%&|<>]"
 #: Rows that the costs and selectivities are measured on, about.
 SAMPLE_ROWS = 2000
 #: How often a sampled row is judged for a rule's cost, and the least cost that is told from none.
-REPEATS, LEAST_SECONDS = 8, 0.002
+REPEATS, LEAST_SECONDS = 3, 0.002
 
 #: Rules: name -> expression that is true for a document to reject. Each reads the
 #: text (and base counts) itself, so a document that an earlier rule rejects
