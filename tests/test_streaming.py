@@ -179,6 +179,20 @@ def test_arrivals_hold_every_row_once(spark):
     assert [p["numInputRows"] for p in progress if p["numInputRows"]][:-1] and sum(p["numInputRows"] for p in progress[:-1]) >= n
 
 
+@needs_tables
+@pytest.mark.parametrize("wanted", [True, False])
+def test_micro_batches_without_rows(spark, tmp_path, wanted):
+    """They close the last windows in append mode; without them these wait for rows, and the session's setting stays as it was."""
+    arrived = frames.arrivals(spark, SF, 2)
+    stats = streams.windowed_stats(streams.watermarked(arrived.stream, "ts"), "ts", "5 minutes", measures=[M("n", "count")])
+    progress = arrived.run({"closed": stats.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")}, wanted)
+    assert any(p["numInputRows"] == 0 and p["durationMs"].get("addBatch") for p in progress) == wanted
+    closed = spark.read.schema("n long").parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] or 0
+    n = tables.read_table(spark, f"{SF}/events.parquet").count()
+    assert 0.9 * n < closed <= n if wanted else closed < 0.6 * n
+    assert spark.conf.get(streams.NO_DATA_BATCHES, None) in (None, "true")
+
+
 # --- late rows ------------------------------------------------------------------------------------------
 
 

@@ -112,10 +112,10 @@ class Arrivals:
     parts: Sequence[str]
     folder: str
 
-    def run(self, writers: dict[str, DataStreamWriter]) -> list[dict]:
+    def run(self, writers: dict[str, DataStreamWriter], no_data_batches: bool = True) -> list[dict]:
         """Start queries, let one part after the other arrive, and stop them when they have read all; their progress reports."""
         spark = self.stream.sparkSession
-        queries = streams.start_all({f"{name}_{self.folder[-8:]}": w for name, w in writers.items()}, fresh(spark, "checkpoint"), "0 seconds")
+        queries = streams.start_all({f"{name}_{self.folder[-8:]}": w for name, w in writers.items()}, fresh(spark, "checkpoint"), "0 seconds", no_data_batches)
         out = streams.feed(queries, [partial(move_folder, spark, f"{self.staged}/{p}", f"{self.folder}/{p}") for p in self.parts])
         for path in (self.staged, self.folder):
             delete_folder(spark, path)

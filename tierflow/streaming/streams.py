@@ -149,14 +149,27 @@ def use_disk_state(spark: SparkSession) -> None:
             spark.conf.set(name, value)
 
 
-def start_all(writers: dict[str, DataStreamWriter], checkpoint_root: str, processing_time: str | None = None) -> list[StreamingQuery]:
-    """Start named queries, each with a checkpoint of its own; without ``processing_time`` they end when all input is read."""
+#: Whether a micro-batch runs to move the watermark on when nothing has arrived.
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def start_all(writers: dict[str, DataStreamWriter], checkpoint_root: str, processing_time: str | None = None, no_data_batches: bool = True) -> list[StreamingQuery]:
+    """Start named queries, each with a checkpoint of its own; without ``processing_time`` they end when all input is read.
+
+    ``no_data_batches``: windows close, and state goes, as soon as the watermark has passed them, by micro-batches without
+    rows. Without them that waits for the next rows, which update mode does not mind.
+    """
     out = []
-    for w in writers.values():
-        use_disk_state(w._spark)
     for name, w in writers.items():
-        w = w.queryName(name).option("checkpointLocation", f"{checkpoint_root}/{name}")
-        out.append((w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)).start())
+        spark = w._spark
+        use_disk_state(spark)
+        before = spark.conf.get(NO_DATA_BATCHES, None)
+        spark.conf.set(NO_DATA_BATCHES, str(no_data_batches).lower())  # a query keeps the settings that it started with
+        try:
+            w = w.queryName(name).option("checkpointLocation", f"{checkpoint_root}/{name}")
+            out.append((w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)).start())
+        finally:
+            spark.conf.unset(NO_DATA_BATCHES) if before is None else spark.conf.set(NO_DATA_BATCHES, before)
     return out
 
 
