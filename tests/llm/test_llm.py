@@ -399,6 +399,32 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_many_equal_vectors_are_one_class(spark):
+    """5,000 copies (zeros of both signs among them), one null id, a near vector in another block, and one id with two vectors."""
+    e, f = [1.0, 0.0, 0.0], [0.99, 0.141, 0.0]  # cosine 0.99
+    far = [0.0, 0.0, 1.0]
+    rows = [(i, [1.0, -0.0 if i % 2 else 0.0, 0.0], "x") for i in range(10, 5009)] + [(None, e, "x")]
+    rows += [(3, f, "x"), (5, [0.0, 1.0, 0.0], "x"), (7, far, "x"), (10, far, "x"), (1, e, "y"), (2, [0.0, 0.0, -1.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = embedding_dedup.near_duplicates(df, block=1).toPandas()
+    assert len(got) == len(rows)
+    many = got[got.vec_id > 10]
+    assert len(many) == 4998 and set(many.n_links) == {5000} and set(many.component_id) == {3}
+    of = {k: sorted(zip(g.n_links, g.component_id, g.kept, strict=True)) for k, g in got[got.vec_id <= 10].groupby("vec_id")}
+    assert of == {1: [(0, 1, True)], 2: [(0, 2, True)], 3: [(5000, 3, True)], 5: [(0, 5, True)], 7: [(1, 3, False)], 10: [(1, 3, False), (5000, 3, False)]}
+    none = got[got.vec_id.isna()].iloc[0]
+    assert none.n_links == 5000 and none.component_id != none.component_id and none.kept
+    assert embedding_dedup.near_duplicates(df.where("vec_id IS NULL")).first().component_id is None
+
+
+def test_a_vector_without_id_joins_two_others(spark):
+    """The row between has no id; the ends do not link themselves."""
+    turn = lambda t: [float(np.cos(t)), float(np.sin(t))]
+    df = spark.createDataFrame([(1, turn(0.0), 0), (None, turn(0.18), 0), (2, turn(0.36), 0)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, block=1).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), None: (2, None, True)}
+
+
 # --- 5 ----------------------------------------------------------------------------------------------
 
 
