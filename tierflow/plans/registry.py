@@ -17,6 +17,7 @@ from ..operators.windows import Ranking
 from ..sources import sinks, tables
 from ..sources.keyed import KeyedTable
 from ..sources.ordered import OrderedTable
+from ..sources.textindex import TextIndex
 from ..sources.workspace import fresh, materialize
 from ..streaming import streams
 from ..streaming.late import LateWindows
@@ -382,6 +383,22 @@ def flt_01_09_search(spark: SparkSession, d: str) -> DataFrame:
     return filters.search(docs, "Idiot", ["text"], literal=True).unionByName(filters.search(docs, "SRC1", ["source"])).select("doc_id", "lang").distinct()
 
 
+@query(
+    """WITH d AS (SELECT doc_id, lang, source, CASE WHEN lang = 'en' THEN concat('Revised: ', coalesce(text, '')) ELSE text END AS text FROM documents WHERE doc_id IS NOT NULL)
+    SELECT 'idiot' AS asked, doc_id, lang FROM d WHERE contains(lower(text), 'idiot') OR contains(lower(source), 'idiot')
+    UNION ALL SELECT 'SRC1' AS asked, doc_id, lang FROM d WHERE contains(lower(source), 'src1')
+    UNION ALL SELECT 'revised: ' AS asked, doc_id, lang FROM d WHERE contains(lower(text), 'revised: ')"""
+)
+def flt_08_text_index(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-08, FLT-09, SNK-04: searches of all documents by trigrams; a later epoch replaces the English ones."""
+    docs = X.table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    index = TextIndex(spark, fresh(spark, "text"), "doc_id", ["text", "source"], docs.schema, 16)
+    index.upsert(docs, 0)
+    index.upsert(docs.where("lang = 'en'").withColumn("text", F.concat(F.lit("Revised: "), F.coalesce("text", F.lit("")))), 1)
+    found = {"idiot": None, "SRC1": ["source"], "revised: ": ["text"]}
+    return reduce(DataFrame.unionByName, [index.search(asked, columns).select(F.lit(asked).alias("asked"), "doc_id", "lang") for asked, columns in found.items()])
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, o_custkey LIMIT 50)")
 def flt_05_members(spark: SparkSession, d: str) -> DataFrame:
     """FLT-05: rows of the most frequent keys, by a semi join."""

@@ -11,12 +11,12 @@ are neither repeated nor left out between pages; a cursor of another version is
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import ordered
+from .workspace import readable_path
 
 _OFFSET_BITS = 33  # of monotonically_increasing_id: the place in the task
 
@@ -66,7 +66,7 @@ class OrderedTable:
         found = [(r["__file"], r["__first"], r["__base"]) for r in self._index().where(needed).select("__file", "__first", "__base").collect()]
         if not found:
             return stored.where(F.lit(False)).withColumn("__place", F.lit(0).cast("long"))
-        rows = self.spark.read.schema(stored.schema).parquet(*[_path(f) for f, _, _ in found])
+        rows = self.spark.read.schema(stored.schema).parquet(*[readable_path(f) for f, _, _ in found])
         # A file holds one task's rows, whose ids go on from its first.
         task = F.shiftright("__id", _OFFSET_BITS)
         place = F.lit(None).cast("long")
@@ -110,9 +110,3 @@ class OrderedTable:
             place = int(at)
         end = place + per_page
         return self.rows_from(place, per_page), f"{version}:{end}" if end < self.size() else None
-
-
-def _path(uri: str) -> str:
-    """A file's path as it can be read again: ``_metadata`` gives it escaped."""
-    parts = urlparse(uri)
-    return f"{parts.scheme}://{parts.netloc}{unquote(parts.path)}" if parts.scheme else unquote(uri)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +64,9 @@ def move_folder(spark: SparkSession, path: str, to: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).rename(where, spark._jvm.org.apache.hadoop.fs.Path(to)):
         raise OSError(f"{path} was not moved to {to}")
+
+
+def readable_path(uri: str) -> str:
+    """A file's path as it can be read again: ``_metadata`` gives it escaped."""
+    parts = urlparse(uri)
+    return f"{parts.scheme}://{parts.netloc}{unquote(parts.path)}" if parts.scheme else unquote(uri)
