@@ -21,6 +21,7 @@ from ..sources.textindex import TextIndex
 from ..sources.workspace import fresh, materialize
 from ..streaming import streams
 from ..streaming.late import LateWindows
+from ..streaming.seen import ExactDedup
 from . import frames as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -763,6 +764,17 @@ def str_06_dedup(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(target).withColumn("several_epochs", F.lit(batches > 1))
 
 
+@query("SELECT event_id, event_type, value, TRUE AS several_epochs, (SELECT count(*) FROM events) AS n_keys FROM events")
+def str_06_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """STR-06 without a bound: every event comes twice at once, and those of the first part again at the end, days late."""
+    arrived = X.arrivals(spark, d, late=True)
+    first = F.when(F.col("event_id") < 0, -1 - F.col("event_id")).otherwise(F.col("event_id"))
+    twice = arrived.stream.select(first.alias("event_id"), "event_type", "value", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    once = ExactDedup(spark, fresh(spark, "seen"), "event_id", twice.schema, 16, ["copy"])
+    _all_read(arrived, {"exact": once.stream(twice)})
+    return _several_epochs(once.read().where("copy = 1").drop("copy")).withColumn("n_keys", F.lit(once.state()["keys"]).cast("long"))
+
+
 def _total_view(name: str, key: Column) -> streams.View:
     return streams.View(name, "key", lambda b: b.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.max("value").alias("top")), {"n": "sum", "top": "max"})
 
