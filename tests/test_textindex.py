@@ -65,9 +65,9 @@ def test_few_rows_and_files_are_read(spark, tmp_path, monkeypatch):
     found = index.candidates("NEEDLE")
     assert [r.id for r in index.search("NEEDLE").collect()] == [7_777]
     assert found.count() == 1 and len([f for f in found.inputFiles() if "/rows/" in f]) == 1
-    assert index._part("files", [0]).count() >= 40
-    asked = index._part("postings", [0]).where("field = 'text' AND gram = 'eed'")
-    assert scanned(asked)[1] < index._part("postings", [0]).count() / 4
+    assert index.store.part("files", [0]).count() >= 40
+    asked = index.store.part("postings", [0]).where("field = 'text' AND gram = 'eed'")
+    assert scanned(asked)[1] < index.store.part("postings", [0]).count() / 4
     # Every trigram is there, though not together.
     assert index.search("words common").count() == 0
 

@@ -7,8 +7,7 @@ three together, so a frequent trigram is many files, and a query's trigrams skip
 A search keeps the places that have all trigrams asked for, opens the files that these places are in, and
 matches the text itself there; it finds what a scan finds. Literals of fewer than three letters have no trigram and scan.
 
-A key's row of a later epoch replaces the earlier one: the epoch names the keys that it replaces, found in a
-``KeyedTable`` of all keys that is read without a shuffle. An epoch counts once its postings are written, and repeating it changes nothing.
+A key's row of a later epoch replaces the earlier one (``EpochFolders``); repeating an epoch changes nothing.
 Replaced rows stay in their files; storing ``read()`` in a new index drops them.
 """
 
@@ -21,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.filters import search
-from .keyed import KeyedTable
+from .epochs import EpochFolders
 from .sinks import one_per_key
-from .workspace import children, readable_path
+from .workspace import readable_path
 
 ROWS_PER_FILE = 100_000
 #: A query asks for at most so many of its trigrams, evenly spread; the match on the text decides in any case.
@@ -49,31 +48,20 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str, key: str, columns: Sequence[str], schema: T.StructType, buckets: int = 64):
         self.spark, self.path, self.key, self.columns, self.schema = spark, path, key, list(columns), schema
-        self.keys = KeyedTable(spark, f"{path}/keys", key, T.StructType([schema[key]]), buckets)
-
-    def _epochs(self) -> list[int]:
-        found = [x for x in children(self.spark, f"{self.path}/postings") if x.startswith("epoch=")]
-        return sorted(int(x.removeprefix("epoch=")) for x in found if "_SUCCESS" in children(self.spark, f"{self.path}/postings/{x}"))
-
-    def _part(self, kind: str, epochs: Sequence[int]) -> DataFrame:
-        """A kind of file of some epochs."""
-        base = f"{self.path}/{kind}"
-        return self.spark.read.option("basePath", base).parquet(*[f"{base}/epoch={e}" for e in epochs]).withColumn("epoch", F.col("epoch").cast("long"))
+        self.store = EpochFolders(spark, path, key, schema, buckets, "postings")
 
     def upsert(self, df: DataFrame, epoch: int, newest: Sequence[str] = ()) -> None:
         """Add an epoch's rows; those without a key are dropped, and of several rows of a key the newest stays."""
-        of = {kind: f"{self.path}/{kind}/epoch={epoch}" for kind in ("rows", "files", "replaced", "postings")}
-        if epoch not in self._epochs():
+        store, of = self.store, {kind: f"{self.path}/{kind}/epoch={epoch}" for kind in ("rows", "files", "postings")}
+        if epoch not in store.epochs():
             once = one_per_key(df.dropna(subset=[self.key]).select(*self.schema.names), self.key, newest)
-            if "_SUCCESS" not in children(self.spark, of["rows"]):
+            if not store.whole("rows", epoch):
                 numbered = once.select("*", F.monotonically_increasing_id().alias("__place"))
                 numbered.write.option("maxRecordsPerFile", str(ROWS_PER_FILE)).mode("overwrite").parquet(of["rows"])
             rows = self.spark.read.parquet(of["rows"])
             ends = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("__place").alias("first"), F.max("__place").alias("last"))
             ends.coalesce(1).write.mode("overwrite").parquet(of["files"])
-            if "_SUCCESS" not in children(self.spark, of["replaced"]):
-                known = self.keys.read() if self.keys.runs() else rows.select(self.key).limit(0)
-                rows.select(self.key).repartition(self.keys.buckets, self.key).join(known, self.key, "left_semi").write.mode("overwrite").parquet(of["replaced"])
+            store.name_replaced(rows, epoch)
             parts = []
             for c in self.columns:
                 spelled = rows.where(F.col(c).isNotNull()).select(F.col(c).alias("__text"), "__place", characters(F.col(c)).alias("__chars"))
@@ -83,19 +71,14 @@ class TextIndex:
                 made = made.unionByName(p)
             order = ["field", "gram", "place"]
             made.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(of["postings"])
-        self.keys.upsert(self.spark.read.parquet(of["rows"]).select(self.key), epoch)
-
-    def _live(self, rows: DataFrame, epochs: Sequence[int]) -> DataFrame:
-        """Rows that no later epoch replaces."""
-        later = self._part("replaced", epochs).select(F.col(self.key).alias("__key"), F.col("epoch").alias("__epoch"))
-        return rows.join(later, (F.col(self.key) == F.col("__key")) & (F.col("epoch") < F.col("__epoch")), "left_anti")
+        store.name_keys(self.spark.read.parquet(of["rows"]), epoch)
 
     def read(self) -> DataFrame:
         """All rows as they are now."""
-        epochs = self._epochs()
+        epochs = self.store.epochs()
         if not epochs:
             return self.spark.createDataFrame([], self.schema)
-        return self._live(self._part("rows", epochs), epochs).select(*self.schema.names)
+        return self.store.live(self.store.part("rows", epochs), epochs).select(*self.schema.names)
 
     def places(self, query: str, columns: Sequence[str], epochs: Sequence[int]) -> DataFrame | None:
         """``(epoch, place)`` of the rows that have all trigrams asked for in one of the columns; None where the query has none."""
@@ -103,20 +86,20 @@ class TextIndex:
         if not asked:
             return None
         asked = [asked[i * len(asked) // ASKED] for i in range(ASKED)] if len(asked) > ASKED else asked
-        some = self._part("postings", epochs).where(F.col("field").isin(list(columns)) & F.col("gram").isin(asked))
+        some = self.store.part("postings", epochs).where(F.col("field").isin(list(columns)) & F.col("gram").isin(asked))
         return some.groupBy("epoch", "field", "place").agg(F.count("*").alias("n")).where(F.col("n") == len(asked)).select("epoch", "place").distinct()
 
     def candidates(self, query: str, columns: Sequence[str] | None = None) -> DataFrame:
         """The rows that a search matches the text of, with their ``epoch``."""
-        columns, epochs = list(columns or self.columns), self._epochs()
+        columns, epochs = list(columns or self.columns), self.store.epochs()
         if unknown := set(columns) - set(self.columns):
             raise ValueError(f"not indexed: {sorted(unknown)}")
         if not epochs:
             return self.spark.createDataFrame([], self.schema).withColumn("epoch", F.lit(0).cast("long"))
         places = self.places(query, columns, epochs)
         if places is None:
-            return self._part("rows", epochs)
-        files = self._part("files", epochs)
+            return self.store.part("rows", epochs)
+        files = self.store.part("files", epochs)
         # A file's places are one stretch of a task's, so a place falls into the file that begins at or before it.
         task = F.shiftright("first", _OFFSET_BITS).alias("task")
         ends = files.select("epoch", "file", "first", "last", task)
@@ -133,5 +116,5 @@ class TextIndex:
     def search(self, query: str, columns: Sequence[str] | None = None) -> DataFrame:
         """The rows that hold a literal in one of the columns, in any letter case."""
         found = search(self.candidates(query, columns), query, columns or self.columns)
-        epochs = self._epochs()
-        return (self._live(found, epochs) if epochs else found).select(*self.schema.names)
+        epochs = self.store.epochs()
+        return (self.store.live(found, epochs) if epochs else found).select(*self.schema.names)
