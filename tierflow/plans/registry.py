@@ -17,6 +17,7 @@ from ..operators.windows import Ranking
 from ..sources import sinks, tables
 from ..sources.keyed import KeyedTable
 from ..sources.ordered import OrderedTable
+from ..sources.pairsview import SimilarPairsView
 from ..sources.textindex import TextIndex
 from ..sources.workspace import fresh, materialize
 from ..streaming import streams
@@ -424,15 +425,28 @@ def join_01_03_lookups(spark: SparkSession, d: str) -> DataFrame:
     return joins.enrich(rows, tables.lookup(spark, "language"), {"lang": "lang_code"}, ["lang_name"]).select("o_orderkey", "era_name", "era_characteristic", "lang_name")
 
 
-@query(
-    """SELECT a.p_partkey AS p_partkey_1, b.p_partkey AS p_partkey_2, a.p_retailprice AS p_retailprice_1, b.p_retailprice AS p_retailprice_2
+_PAIRS_SQL = """SELECT a.p_partkey AS p_partkey_1, b.p_partkey AS p_partkey_2, a.p_retailprice AS p_retailprice_1, b.p_retailprice AS p_retailprice_2
     FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE abs(a.p_retailprice - b.p_retailprice) < 0.5"""
-)
+
+
+@query(_PAIRS_SQL)
 def join_04_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-04, FLT-06, VIEW-16: pairs of like rows, blocked by value."""
     return joins.similar_pairs(X.table(spark, d, "part"), "p_partkey", ["p_brand", "p_type"], "p_retailprice", 0.5).drop("p_brand", "p_type")
 
 
+@query(_PAIRS_SQL)
+def join_04_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """JOIN-04, VIEW-16: the same pairs kept up over three loads, of which the first has drafts of the second's rows."""
+    parts = X.table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
+    dealt = parts.withColumn("load", F.pmod(F.xxhash64("p_partkey"), F.lit(3)))
+    view = SimilarPairsView(spark, fresh(spark, "pairs"), parts.schema, "p_partkey", ["p_brand", "p_type"], "p_retailprice", 0.5, folders=16, buckets=16)
+    drafts = dealt.where("load = 1").withColumn("p_retailprice", (F.col("p_retailprice") + 0.3).cast(parts.schema["p_retailprice"].dataType))
+    for epoch, rows in enumerate([dealt.where("load = 0").unionByName(drafts), dealt.where("load = 1"), dealt.where("load = 2")]):
+        view.load(rows.drop("load"), epoch)
+    return view.read().drop("p_brand", "p_type")
+
+
 @query(
     f"""WITH {X.USERS_SQL} SELECT CAST(coalesce(b.user_id, s.user_id) AS VARCHAR) AS user_id, coalesce(s.last_event, b.last_event) AS last_event, coalesce(s.best, b.best) AS best,
     CASE WHEN b.user_id IS NULL THEN 'speed' WHEN s.user_id IS NULL THEN 'batch' ELSE 'merged' END AS source FROM b FULL JOIN s ON b.user_id = s.user_id"""
