@@ -68,34 +68,80 @@ def _same(names: Sequence[str], other: Callable[[str], Column]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(other(c)) for c in names], F.lit(True))
 
 
+@dataclass(frozen=True)
+class Follow:
+    """What has to be known of ranges for the ranks of one order: ``levels`` are the runs of equal keys, unless rows are only numbered, and the groups."""
+
+    r: Ranking
+
+    @property
+    def group(self) -> list[str]:
+        return list(self.r.partition)
+
+    @property
+    def wants(self) -> set[str]:
+        return {k.split(":")[0] for k in self.r.kinds.values()}
+
+    @property
+    def dense(self) -> bool:
+        return "dense_rank" in self.wants
+
+    @property
+    def sizes(self) -> bool:
+        return bool(self.group) and bool(self.wants & {"cume_dist", "percent_rank", "ntile"})
+
+    @property
+    def levels(self) -> dict[str, list[str]]:
+        keys = [*self.group, *[c for c, _ in self.r.order]]
+        return {**({"": keys} if self.wants - {"row_number", "ntile"} else {}), **({"g": self.group} if self.group else {})}
+
+    @property
+    def stopped(self) -> list[str]:
+        return [level for level in self.levels if (self.sizes if level else "cume_dist" in self.wants)]
+
+    @property
+    def sorted_by(self) -> list[str]:
+        """The columns of the whole sort key: groups, order, tie break."""
+        return list(dict.fromkeys([*self.group, *[c for c, _ in self.r.order], *self.r.tie_break]))
+
+    @property
+    def ways(self) -> list[Column]:
+        keys = [*self.group, *[c for c, _ in self.r.order]]
+        return [*[F.col(c).asc_nulls_first() for c in self.group], *ordered(self.r.order), *[F.col(c).asc_nulls_first() for c in self.r.tie_break if c not in keys]]
+
+
 def _ranked(df: DataFrame, r: Ranking, buckets: int | None) -> tuple[DataFrame, DataFrame]:
     """``df`` with the ranks of one order, and the stored table that it reads."""
-    group, wants = list(r.partition), {k.split(":")[0] for k in r.kinds.values()}
-    keys = [*group, *[c for c, _ in r.order]]
-    dense, ends = "dense_rank" in wants, "cume_dist" in wants
-    sizes = bool(group) and bool(wants & {"cume_dist", "percent_rank", "ntile"})
-    # What is followed: runs of equal keys, unless rows are only numbered, and groups.
-    levels = {**({"": keys} if wants - {"row_number", "ntile"} else {}), **({"g": group} if group else {})}
-    stopped = [level for level in levels if (sizes if level else ends)]
-
-    ways = [*[F.col(c).asc_nulls_first() for c in group], *ordered(r.order), *[F.col(c).asc_nulls_first() for c in r.tie_break if c not in keys], F.col("__spread").asc()]
+    follow = Follow(r)
+    ways = [*follow.ways, F.col("__spread").asc()]
     spread = df.withColumn("__spread", F.xxhash64(*[f.name for f in df.schema if "map<" not in f.dataType.simpleString()]))
     ranged = spread.repartitionByRange(*([buckets] if buckets else []), *ways).sortWithinPartitions(*ways)
     ranged = ranged.select(*df.columns, F.monotonically_increasing_id().alias("__id"))
     ranged = ranged.select(*df.columns, F.shiftright("__id", _OFFSET_BITS).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1)).alias("__at"))
-    if levels:
-        w = Window.partitionBy("__part").orderBy("__at")
-        far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranged = ranged.withColumns({f"__{g}new": (F.col("__at") == 0) | ~_same(names, lambda c: F.lag(c).over(w)) for g, names in levels.items()})
-        counted = {"__dense": F.sum(F.col("__new").cast("long")).over(far)} if dense else {}
-        ranged = ranged.withColumns({f"__{g}start": F.max(F.when(F.col(f"__{g}new"), F.col("__at"))).over(far) for g in levels} | counted)
-        if dense and group:
-            ranged = ranged.withColumn("__gdense", F.max(F.when(F.col("__gnew"), F.col("__dense"))).over(far))
-        ranged = ranged.withColumns({f"__{g}end": F.col(f"__{g}start") + F.count("*").over(Window.partitionBy("__part", f"__{g}start")) for g in stopped})
-        ranged = ranged.drop("__new", "__gnew")
-    stored = materialize(ranged, "ranked")
-
-    rows = stored.join(F.broadcast(_ranges(stored, levels, stopped, dense)), "__part")
+    stored = materialize(runs_in_ranges(ranged, follow), "ranked")
+    return ranks_in_ranges(stored, range_carries(range_counts(stored, follow), follow), follow).select(*df.columns, *r.kinds), stored
+
+
+def runs_in_ranges(ranged: DataFrame, follow: Follow) -> DataFrame:
+    """Rows of ranges ``__part``, with their places ``__at`` in them, with the runs and groups that they belong to there."""
+    levels = follow.levels
+    if not levels:
+        return ranged
+    w = Window.partitionBy("__part").orderBy("__at")
+    far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = ranged.withColumns({f"__{g}new": (F.col("__at") == 0) | ~_same(names, lambda c: F.lag(c).over(w)) for g, names in levels.items()})
+    counted = {"__dense": F.sum(F.col("__new").cast("long")).over(far)} if follow.dense else {}
+    ranged = ranged.withColumns({f"__{g}start": F.max(F.when(F.col(f"__{g}new"), F.col("__at"))).over(far) for g in levels} | counted)
+    if follow.dense and follow.group:
+        ranged = ranged.withColumn("__gdense", F.max(F.when(F.col("__gnew"), F.col("__dense"))).over(far))
+    ranged = ranged.withColumns({f"__{g}end": F.col(f"__{g}start") + F.count("*").over(Window.partitionBy("__part", f"__{g}start")) for g in follow.stopped})
+    return ranged.drop("__new", "__gnew")
+
+
+def ranks_in_ranges(stored: DataFrame, ranges: DataFrame, follow: Follow, on: Sequence[str] = ("__part",)) -> DataFrame:
+    """Rows of ``runs_in_ranges`` with their ranks, from ``range_carries``, and their place ``__place`` in the whole order."""
+    group, r = follow.group, follow.r
+    rows = stored.join(F.broadcast(ranges), list(on))
     base = F.col("__base")
 
     def start(g: str, carried: str, here: Column) -> Column:
@@ -106,10 +152,10 @@ def _ranked(df: DataFrame, r: Ranking, buckets: int | None) -> tuple[DataFrame,
         return F.when(goes_on, F.col(f"__{g}next_end")).otherwise(base + F.col(f"__{g}end"))
 
     begin = start("g", "__gcarry.at", base + F.col("__gstart")) if group else F.lit(0).cast("long")
-    dense_begin = start("g", "__gcarry.dense", F.col("__dbase") + F.col("__gdense")) if group and dense else F.lit(1)
-    rows = rows.withColumn("__total", stop("g") - begin if sizes else F.col("__all"))
+    dense_begin = start("g", "__gcarry.dense", F.col("__dbase") + F.col("__gdense")) if group and follow.dense else F.lit(1)
+    rows = rows.withColumn("__total", stop("g") - begin if follow.sizes else F.col("__all"))
     row, total = base + F.col("__at") - begin, F.col("__total")
-    first = start("", "__carry.at", base + F.col("__start")) - begin if "" in levels else None
+    first = start("", "__carry.at", base + F.col("__start")) - begin if "" in follow.levels else None
     made = {}
     for out, kind in r.kinds.items():
         if kind.startswith("ntile:"):
@@ -124,15 +170,12 @@ def _ranked(df: DataFrame, r: Ranking, buckets: int | None) -> tuple[DataFrame,
                 "percent_rank": lambda: F.when(total > 1, first / (total - 1)).otherwise(F.lit(0.0)),
                 "cume_dist": lambda: (stop("") - begin) / total,
             }[kind]()
-    return rows.select(*df.columns, *[v.alias(k) for k, v in made.items()]), stored
-
+    return rows.select(*stored.columns, (base + F.col("__at")).alias("__place"), *[v.alias(k) for k, v in made.items()])
 
-def _ranges(stored: DataFrame, levels: Mapping[str, Sequence[str]], stopped: Sequence[str], dense: bool) -> DataFrame:
-    """One row for each range of ``_ranked``: where it begins, and the runs and groups it continues or leaves to the next range.
 
-    ``__carry`` is where the run that this range continues began, in whichever range that
-    was; ``__next_end`` where the run that it leaves ends. With ``__g``: the same for groups.
-    """
+def range_counts(stored: DataFrame, follow: Follow, by: str = "__part") -> DataFrame:
+    """One row for each range of ``runs_in_ranges``: its rows, its first and last keys and where its first run ends and its last one begins."""
+    levels, stopped, dense = follow.levels, follow.stopped, follow.dense
     found = {"__n": F.count("*")}
     for g, names in levels.items():
         found |= {f"__{g}last_start": F.max(f"__{g}start")}
@@ -140,8 +183,16 @@ def _ranges(stored: DataFrame, levels: Mapping[str, Sequence[str]], stopped: Seq
         found |= {f"__{g}first_end": F.min(f"__{g}end")} if g in stopped else {}
     found |= {"__steps": F.max("__dense")} if dense else {}
     found |= {"__glast_dense": F.max("__gdense")} if dense and "g" in levels else {}
-    ranges = stored.groupBy("__part").agg(*[c.alias(k) for k, c in found.items()])
+    return stored.groupBy(by).agg(*[c.alias(k) for k, c in found.items()])
 
+
+def range_carries(ranges: DataFrame, follow: Follow, on: Sequence[str] = ("__part",)) -> DataFrame:
+    """``range_counts``, in the order of ``__part``, with where each range begins, and the runs and groups it continues or leaves to the next range.
+
+    ``__carry`` is where the run that this range continues began, in whichever range that
+    was; ``__next_end`` where the run that it leaves ends. With ``__g``: the same for groups.
+    """
+    levels, stopped, dense = follow.levels, follow.stopped, follow.dense
     w = Window.orderBy("__part")  # one row per range
     before, so_far, onward = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     ranges = ranges.withColumns(
@@ -165,7 +216,7 @@ def _ranges(stored: DataFrame, levels: Mapping[str, Sequence[str]], stopped: Seq
     if levels:
         ranges = ranges.withColumns(edges)
         ranges = ranges.withColumns({f"__{g}carry": F.lag(f"__{g}began").over(w) for g in levels} | {f"__{g}next_end": F.lead(f"__{g}ended").over(w) for g in stopped})
-    kept = ["__part", "__base", "__all", *(["__dbase"] if dense else [])]
+    kept = [*on, "__base", "__all", *(["__dbase"] if dense else [])]
     kept += [f"__{g}{c}" for g in levels for c in ("cont", "next_cont", "last_start", "carry")] + [f"__{g}next_end" for g in stopped]
     return ranges.select(*kept)
 

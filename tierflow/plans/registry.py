@@ -18,6 +18,7 @@ from ..sources import sinks, tables
 from ..sources.keyed import KeyedTable
 from ..sources.ordered import OrderedTable
 from ..sources.pairsview import SimilarPairsView
+from ..sources.ranked import RankedTable
 from ..sources.textindex import TextIndex
 from ..sources.workspace import fresh, materialize
 from ..streaming import streams
@@ -531,6 +532,31 @@ def win_13_global_ranks(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("l_quantity", "l_discount", "l_extendedprice")
 
 
+@query(
+    """WITH b AS (SELECT coalesce(event_type, '') || '|' || coalesce(CAST(user_id AS VARCHAR), '') AS id, event_type, max(value) AS best, count(*) AS n FROM events GROUP BY event_type, user_id)
+    SELECT id, event_type, best, n, rank() OVER w AS best_rank, dense_rank() OVER w AS best_dense, CAST(percent_rank() OVER w AS DECIMAL(28,6)) AS best_percent, row_number() OVER v AS best_row, ntile(4) OVER v AS best_tile
+    FROM b WINDOW w AS (PARTITION BY event_type ORDER BY best DESC NULLS LAST), v AS (PARTITION BY event_type ORDER BY best DESC NULLS LAST, id)"""
+)
+def view_06_ranks_by_loads(spark: SparkSession, d: str) -> DataFrame:
+    """VIEW-05, VIEW-06, WIN-13: users ranked by their best value in each event type, kept up over three loads of events by time; each load changes rows of the ones before."""
+    events = X.table(spark, d, "events").select("event_type", "user_id", "value", "ts")
+    edges = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    micros = {c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("ts", "first", "last")}
+    share = (micros["ts"] - micros["first"]) / F.greatest(micros["last"] - micros["first"], F.lit(1))
+    id_ = F.concat(F.coalesce("event_type", F.lit("")), F.lit("|"), F.coalesce(F.col("user_id").cast("string"), F.lit("")))
+    parts = events.crossJoin(F.broadcast(edges)).select(id_.alias("id"), "event_type", "value", F.coalesce(F.least(F.floor(share * 3), F.lit(2)), F.lit(0)).alias("load"))
+    sums = materialize(parts.groupBy("id", "event_type", "load").agg(F.max("value").alias("best"), F.count("*").alias("n")), "loads")
+    kinds = {"best_rank": "rank", "best_dense": "dense_rank", "best_percent": "percent_rank", "best_row": "row_number", "best_tile": "ntile:4"}
+    table = None
+    for k in range(3):
+        # A load has what the users seen in it have come to.
+        seen = sums.where(F.col("load") == k).select("id")
+        rows = sums.where(F.col("load") <= k).join(seen, "id", "left_semi").groupBy("id", "event_type").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+        table = table or RankedTable(spark, fresh(spark, "ranks"), rows.schema, "id", Ranking([("best", "desc")], kinds, [], ["event_type"]))
+        table.load(rows, k)
+    return table.read().withColumn("best_percent", exact("best_percent"))
+
+
 @query(
     """SELECT event_id, lag(value, 1) OVER w AS prev_value, lag(event_type, 2) OVER w AS type_before_last, lead(value, 1) OVER w AS next_value,
     CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (ORDER BY date_trunc('hour', ts) NULLS FIRST) AS DECIMAL(28,2)) AS running_value,
