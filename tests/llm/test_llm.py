@@ -129,6 +129,22 @@ def test_fold_equals_plain_fold(spark, monkeypatch):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_messages_longer_than_a_run(spark):
+    """Texts above ``RUN_CHARS`` are runs of their own, cut nowhere; what stands around them goes into other runs."""
+    long = "</turn> ü" * (chat.RUN_CHARS // 9 + 10)
+    texts = ["short", long, "after", "again", long + "x", None]
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(texts)]
+    rendered = chat.render(spark.createDataFrame(rows, "conv_id long, seq long, role string, text string"))
+    assert [r.n_turns for r in sorted(rendered.collect(), key=lambda r: r.run)] == [1, 1, 2, 1, 1]
+    turns, loss = conversations(rendered)[1]
+    assert turns == [(r, t or "") for _, _, r, t in rows] and loss == [t or "" for _, _, r, t in rows if r == "assistant"]
+    (got,) = chat.digests(rendered).collect()
+    assert got.n_turns == 6 and got.loss_chars == sum(map(len, loss))
+    assert got.loss_sha256 == hashlib.sha256("".join(loss).encode()).hexdigest()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t or ''}\n" for _, _, r, t in rows).encode()).hexdigest()
+
+
+
 def test_turns_through_the_fold(spark):
     """Every row of a table comes back from its events: repeated rows, equal and null turns, null texts, a long conversation."""
     rnd = random.Random(2)
@@ -275,6 +291,19 @@ def test_language_edges(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_the_most_frequent_languages_are_learned(spark):
+    """More labels than a model may have: the most frequent ones, then by name; nulls and other labels are predicted all the same."""
+    rows = [(i, "hello there friend", "c" if i < 4 else "b" if i < 7 else f"x{i}") for i in range(12)] + [(12, "hello", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.training_sample(docs.where("lang IS NOT NULL"), most=3)[1]) == {"c", "b", "x10"}
+    many = spark.createDataFrame([(i, "a b", f"l{i:04d}") for i in range(langid.MOST_LANGUAGES + 40)], "doc_id long, text string, lang string")
+    labels = langid.training_sample(many)[1]
+    assert sorted(labels) == [f"l{i:04d}" for i in range(langid.MOST_LANGUAGES)]
+    model = langid.fit(*langid.training_sample(docs.where("lang IS NOT NULL"), most=3))
+    found = langid.predict(docs, model).collect()
+    assert len(found) == 13 and {r.lang_pred for r in found} <= {"c", "b", "x10"}
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 

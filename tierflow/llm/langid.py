@@ -269,15 +269,15 @@ def _posteriors(e: np.ndarray, moves: np.ndarray, start: np.ndarray):
     return post, pair, post[:, 0].sum(0)
 
 
-def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
+def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> tuple[list[str], list[str]]:
     """At most ``per_language`` stretches for each language: the rows with the smallest hashes.
 
+    Of more than ``most`` labels those with the most rows are learned, and of equally frequent ones the first by name: a bound
+    of the fitted model, as ``per_language`` is. Texts of other labels are predicted like all others.
     Returns to the driver (number of languages) * ``per_language`` * ``STRETCH`` characters at most, about.
     """
     # One number per language, as the model itself has: the filter needs no join, so texts are not shuffled.
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: is this column one of languages?")
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * per_language / n))])

@@ -385,6 +385,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
 
     A text that does not fit into what is left of the characters is passed over,
     so the driver holds 2 * ``characters`` at most, and long texts are learned from.
+    Raises ValueError if a class has labelled texts but each of them alone is longer than ``characters``.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 30))
