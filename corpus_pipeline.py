@@ -24,7 +24,8 @@ LEAST_SHARE = 0.6
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, those in which no language has ``LEAST_SHARE`` of the words, and those whose ``lang`` names another one.
 
-    A null ``lang`` contradicts nothing. A null ``doc_id`` is judged and never learned from.
+    A null ``lang`` contradicts nothing. A null ``doc_id`` is judged and never learned from. At most ``langid.MOST_LANGUAGES`` labels,
+    those with the most rows, are learned; a document labelled otherwise goes, since what is found in it is one of those.
     """
     found, share = spare_names(docs, "lang_pred", "share")
     model = langid.learn(docs.where(crc_mod("doc_id", 5) != 0))
@@ -34,7 +35,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents predicted toxic; without labels of both classes nothing is learned, and only a share of toxic labels above the threshold drops rows."""
+    """Drop documents predicted toxic; without labels of both classes nothing is learned, and only a share of toxic labels above the threshold drops rows.
+
+    A null or empty text is scored like any other. Raises ValueError if all labelled texts of a class are longer than ``toxicity.CHARACTERS``.
+    """
     score, predicted = spare_names(docs, "score", "predicted")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_mod("doc_id", 4) != 2)
     model = toxicity.fit(*toxicity.training_sample(docs, labels))
