@@ -273,3 +273,35 @@ def test_stream_to_memory(spark, tmp_path):
     q = sinks.stream_to(stream.groupBy("k").sum("v"), "memory", "complete", "shown").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("shown").collect())) == [("a", 1), ("b", 2)]
+
+
+def test_exact_distinct_counts(spark, tmp_path):
+    """More values than a sketch tells apart: counted exactly over epochs, compactions, late rows and null keys."""
+    df = spark.range(30_000).select((F.col("id") % 20_011).alias("user"), F.when(F.col("id") % 3 > 0, F.lit("a")).alias("g"), (F.col("id") % 5).alias("part"), F.timestamp_seconds(F.col("id") % 7 * 600).alias("ts"))
+    df = df.withColumn("user", F.when(F.col("user") != 5, F.col("user")))
+    m = [M("n", "count"), M("users", "distinct_exact", "user"), M("last", "max", "user")]
+    view = streams.StatsView("v", ["g"], m)
+    run = streams.micro_batch_views([view], f"{tmp_path}/views", compact_every=2)
+    late = LateWindows(f"{tmp_path}/late", "ts", "10 minutes", m, ["g"], delay="1 minute", compact_every=2)
+    for epoch in range(5):
+        run(df.where(F.col("part") == epoch), epoch)
+        late(df.where(F.col("part") == epoch), epoch)
+    want = [("a", *df.where("g = 'a'").agg(F.count("*"), F.count_distinct("user"), F.max("user")).first())]
+    assert [tuple(r) for r in view.read(spark, f"{tmp_path}/views").collect()] == want
+    exact = df.groupBy(F.window("ts", "10 minutes").start.alias("s"), "g").agg(F.count("*"), F.count_distinct("user"), F.max("user"))
+    got = late.corrected(spark).select("window_start", "g", *[x.out for x in m])
+    assert late.late(spark).count() > 0 and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, exact.collect())))
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["view_08_speed_genre_ranked", "str_01_late_windows", "str_07_views"])
+def test_means_half_way_and_many_users(spark, tmp_path, name):
+    """Means that end in a 5 at the seventh decimal, of rows in no order, and some thousand users: as in SQL."""
+    rnd = random.Random(7)
+    events = [(i, i * 7 % 3000, "abcde"[i // 64 % 5], rnd.randint(0, 20_000) / 100, i // 320) for i in range(9_600)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, hour long")
+    df = df.withColumns({"ts": F.timestamp_seconds(F.col("hour") * 3600).cast("timestamp_ntz"), "props": F.lit('{"k": 1}')}).drop("hour")
+    df.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(registry.queries()[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(registry.oracle_sql()[name]).df())

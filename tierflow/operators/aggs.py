@@ -16,7 +16,7 @@ class Measure:
     """``kind`` of ``of`` as ``out``.
 
     Kinds: count, count_if, sum, avg, min, max, stddev, stddev_pop, variance,
-    percentile (``q``, ``accuracy``), distinct (approximate, ``rsd``), set, list (both sorted).
+    percentile (``q``, ``accuracy``), distinct (approximate, ``rsd``), distinct_exact, set, list (both sorted).
     ``digits`` rounds the result.
     """
 
@@ -42,6 +42,7 @@ class Measure:
             "variance": lambda: F.variance(of),
             "percentile": lambda: F.percentile_approx(of, self.q, self.accuracy),
             "distinct": lambda: F.approx_count_distinct(of, self.rsd),
+            "distinct_exact": lambda: F.count_distinct(of),
             "set": lambda: F.array_sort(F.collect_set(of)),
             "list": lambda: F.array_sort(F.collect_list(of)),
         }[self.kind]()

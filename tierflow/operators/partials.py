@@ -10,6 +10,9 @@ An epoch, a file or a day writes the states of its own rows; reading merges them
 * percentiles: KLL sketches (error of the rank under ``KLL_ERROR``);
 * sets and lists: sorted arrays.
 
+Exact distinct counts (``distinct_exact``) have no state of bounded size: ``split`` takes them out, and their
+values are rows of their own (``values_of``), one for each group and value, counted when they are read (``with_counts``).
+
 States of a group that are merged one by one (second moments, sets, lists) are gathered
 first, one for each stored part, so compaction bounds how many there are.
 """
@@ -17,7 +20,8 @@ first, one for each stored part, so compaction bounds how many there are.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +55,30 @@ def _merge_moments(c: str) -> Column:
     return F.aggregate(F.array_sort(F.collect_list(c)), none, _together)
 
 
+#: The column of the values that an exact distinct count counts.
+VALUE = "__value"
+
+
+def split(measures: Sequence[Measure]) -> tuple[list[Measure], list[Measure]]:
+    """The measures that have a state, and the exact distinct counts."""
+    exact = [m for m in measures if m.kind == "distinct_exact"]
+    return [m for m in measures if m not in exact], exact
+
+
+def values_of(df: DataFrame, m: Measure) -> DataFrame:
+    """The rows that an exact distinct count counts, with their ``VALUE``."""
+    return df.withColumn(VALUE, col(m.of)).where(F.col(VALUE).isNotNull())
+
+
+def with_counts(df: DataFrame, keys: Sequence[str], values: Mapping[str, DataFrame]) -> DataFrame:
+    """Groups with exact distinct counts: out -> one row for each group and value. Null keys are groups too."""
+    for out, of in values.items():
+        counted = of.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(F.count("*").alias("__count"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+        df = df.join(counted, same, "left").select(*df.columns, F.coalesce("__count", F.lit(0)).alias(out))
+    return df
+
+
 def state(m: Measure) -> Column:
     """The measure's state over a group of rows."""
     of = col(m.of) if m.of is not None else F.lit(1)

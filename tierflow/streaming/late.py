@@ -54,18 +54,22 @@ class LateWindows:
             placed = self._windows(batch)
             closed = F.lit(False) if before is None else F.col("window_end") <= self._mark(before)
             upsert(self._states(placed.where(~closed)), f"{self.root}/windows", WINDOW, epoch, unique=True)
+            for m in self._exact:
+                upsert(self._values(placed.where(~closed), m), f"{self.root}/values/{m.out}", WINDOW, epoch, unique=True)
             timeless = batch.where(F.col(self.ts).isNull()).withColumns({c: F.lit(None).cast("timestamp") for c in WINDOW})
             placed.where(closed).unionByName(timeless).write.mode("overwrite").parquet(f"{self.root}/late/epoch={epoch}")
             # Last, so that an epoch counts for the next only when it is whole.
             spark.createDataFrame([(latest,)], "latest long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/times/epoch={epoch}")
             if epoch % self.compact_every == self.compact_every - 1:
-                compact(spark, f"{self.root}/windows", [*WINDOW, *self._key_names()], merge=partials.mergers(self.measures))
+                compact(spark, f"{self.root}/windows", [*WINDOW, *self._key_names()], merge=partials.mergers(self._bounded))
+                for m in self._exact:
+                    compact(spark, f"{self.root}/values/{m.out}", [*WINDOW, *self._key_names(), partials.VALUE], merge={"n": "sum"})
         finally:
             batch.unpersist()
 
     def on_time(self, spark: SparkSession) -> DataFrame:
         """Windows as they stand without late rows, and whether each is ``closed``."""
-        stored = partials.finished(self._stored(spark), self.measures)
+        stored = self._counted(partials.finished(self._stored(spark), self._bounded), {m.out: self._stored_values(spark, m) for m in self._exact})
         latest = self._latest(spark, None)
         return self._named(stored).withColumn("closed", F.lit(False) if latest is None else F.col("window_end") <= self._mark(latest))
 
@@ -75,9 +79,10 @@ class LateWindows:
 
     def corrected(self, spark: SparkSession) -> DataFrame:
         """All windows with their late rows, as if these had come in time."""
-        late = self._states(self.late(spark).where(F.col("window_end").isNotNull()))
-        both = self._stored(spark).unionByName(late)
-        return self._named(partials.finished(partials.merged(both, [*WINDOW, *self._key_names()], self.measures), self.measures))
+        late, names = self.late(spark).where(F.col("window_end").isNotNull()), [*WINDOW, *self._key_names()]
+        both = self._stored(spark).unionByName(self._states(late))
+        values = {m.out: self._stored_values(spark, m).unionByName(self._values(late, m)).select(*names, partials.VALUE).distinct() for m in self._exact}
+        return self._named(self._counted(partials.finished(partials.merged(both, names, self._bounded), self._bounded), values))
 
     def corrections(self, spark: SparkSession) -> DataFrame:
         """The windows that late rows change: their ``n_late`` rows, and the measures of ``corrected``."""
@@ -93,15 +98,34 @@ class LateWindows:
         window = F.window(self.ts, self.width, self.slide) if self.slide else F.window(self.ts, self.width)
         return rows.select("*", window.alias("__window")).select(*rows.columns, F.col("__window.start").alias(WINDOW[0]), F.col("__window.end").alias(WINDOW[1]))
 
+    @property
+    def _bounded(self) -> list[Measure]:
+        return partials.split(self.measures)[0]
+
+    @property
+    def _exact(self) -> list[Measure]:
+        return partials.split(self.measures)[1]
+
     def _key_names(self) -> list[str]:
         return [f"__key_{c}" for c in self.keys]
 
     def _states(self, placed: DataFrame) -> DataFrame:
         # Keys are stored under other names, so that a measure may be called as its key.
-        return placed.groupBy(*WINDOW, *[F.col(c).alias(f"__key_{c}") for c in self.keys]).agg(*partials.states(self.measures))
+        return placed.groupBy(*WINDOW, *[F.col(c).alias(f"__key_{c}") for c in self.keys]).agg(*partials.states(self._bounded))
+
+    def _values(self, placed: DataFrame, m: Measure) -> DataFrame:
+        """One row for each window, key and value of an exact distinct count."""
+        return partials.values_of(placed, m).groupBy(*WINDOW, *[F.col(c).alias(f"__key_{c}") for c in self.keys], partials.VALUE).agg(F.count("*").alias("n"))
 
     def _stored(self, spark: SparkSession) -> DataFrame:
-        return read_upserted(spark, f"{self.root}/windows", [*WINDOW, *self._key_names()], merge=partials.mergers(self.measures))
+        return read_upserted(spark, f"{self.root}/windows", [*WINDOW, *self._key_names()], merge=partials.mergers(self._bounded))
+
+    def _stored_values(self, spark: SparkSession, m: Measure) -> DataFrame:
+        return read_upserted(spark, f"{self.root}/values/{m.out}", [*WINDOW, *self._key_names(), partials.VALUE], merge={"n": "sum"})
+
+    def _counted(self, windows: DataFrame, values: dict[str, DataFrame]) -> DataFrame:
+        names = [*WINDOW, *self._key_names()]
+        return partials.with_counts(windows, names, values).select(*names, *[m.out for m in self.measures])
 
     def _named(self, df: DataFrame) -> DataFrame:
         return df.withColumnsRenamed({f"__key_{c}": c for c in self.keys})

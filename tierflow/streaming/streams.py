@@ -68,14 +68,24 @@ class StatsView:
 
     @property
     def merge(self) -> Merge:
-        return partials.mergers(self.measures)
+        return partials.mergers(partials.split(self.measures)[0])
+
+    @property
+    def values(self) -> dict[str, StatsView]:
+        """A view for each exact distinct count: the rows of each group and value."""
+        return {
+            m.out: StatsView(f"{self.name}.{m.out}", [*self.keys, partials.VALUE], [Measure("n", "count")], lambda batch, m=m: partials.values_of(self.rows(batch), m))
+            for m in partials.split(self.measures)[1]
+        }
 
     def make(self, batch: DataFrame) -> DataFrame:
-        return self.rows(batch).groupBy(*self.keys).agg(*partials.states(self.measures))
+        return self.rows(batch).groupBy(*self.keys).agg(*partials.states(partials.split(self.measures)[0]))
 
     def read(self, spark: SparkSession, root: str, keep_epoch: bool = False) -> DataFrame:
         """The measures over all epochs."""
-        return partials.finished(read_upserted(spark, f"{root}/{self.name}", self.keys, keep_epoch, merge=self.merge), self.measures)
+        out = partials.finished(read_upserted(spark, f"{root}/{self.name}", self.keys, keep_epoch, merge=self.merge), partials.split(self.measures)[0])
+        counted = partials.with_counts(out, self.keys, {name: v.read(spark, root) for name, v in self.values.items()})
+        return counted.select(*self.keys, *[m.out for m in self.measures], *(["epoch"] if keep_epoch else []))
 
 
 #: Epochs until a target is compacted.
@@ -85,6 +95,7 @@ COMPACT_EVERY = 50
 def micro_batch_views(views: Sequence[View | StatsView], root: str, compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that upserts every view of the batch under ``root``.
 
+    A view with exact distinct counts writes their values as further views (``StatsView.values``).
     A view without ``merge`` has for each key the row of the last epoch that had
     it. One with ``merge`` holds running totals: an epoch writes the aggregate of its own rows, and
     reading (``read_upserted`` with the same ``merge``, or the view's ``read``) puts the epochs together, so
@@ -94,6 +105,8 @@ def micro_batch_views(views: Sequence[View | StatsView], root: str, compact_ever
     repeated epoch makes only the views that it has not written yet.
     """
 
+    views = [w for v in views for w in (v, *(v.values.values() if isinstance(v, StatsView) else ()))]
+
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         left = [v for v in views if not committed(spark, f"{root}/{v.name}", epoch)]
