@@ -230,6 +230,21 @@ def test_upsert_of_shuffled_files(spark, tmp_path):
     assert got == want
 
 
+def test_similar_classes_hold_all_pairs(spark):
+    """Expanded by their members, the pairs of classes are the pairs of rows; copies are one class."""
+    rows = [(i, "ab"[i % 7 % 2] if i % 11 else None, (i * 37 % 23) / 10 if i % 13 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, g string, v double")
+    pairs, members = joins.similar_classes(df, "id", ["g"], "v", 0.5)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.class_id, []).append(r.id)
+    found = pairs.collect()
+    assert all(r.v_1 <= r.v_2 and r.n_pairs > 0 for r in found) and len(found) < 2 * 23 * 5
+    got = [tuple(sorted((a, b))) for r in found for a in of[r.class_1] for b in of[r.class_2] if r.class_1 != r.class_2 or a < b]
+    want = [(r.id_1, r.id_2) for r in joins.similar_pairs(df, "id", ["g"], "v", 0.5).collect()]
+    assert sorted(got) == sorted(want) and sum(r.n_pairs for r in found) == len(want)
+
+
 def test_global_ranks_of_repeated_keys(spark, tmp_path):
     """Lines of one key and price that differ in quantity: their places are the SQL's, not chance."""
     import duckdb

@@ -53,6 +53,28 @@ def similar_pairs(df: DataFrame, key: str, equal_on: Sequence[str], value: str,
     return pairs.drop("__block")
 
 
+def similar_classes(df: DataFrame, key: str, equal_on: Sequence[str], value: str, width: float) -> tuple[DataFrame, DataFrame]:
+    """``similar_pairs`` without expanding copies: the linked classes, and the class of each row. ``key`` is unique.
+
+    Rows with equal ``equal_on`` and ``value`` are one class, named by its smallest key. Every pair of rows is in one pair of
+    classes: their ``class_1`` and ``class_2`` (the greater value, or the class itself) with both values, and ``n_pairs`` of rows.
+    So what comes out grows with the rows and with links between different values, not with the copies' squares.
+    """
+    rows = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, *equal_on, value).dropna(subset=list(equal_on))
+    classes = rows.groupBy(*equal_on, value).agg(F.min(key).alias("class_id"), F.count("*").alias("__n"))
+    block = F.floor(F.col(value) / F.lit(width))
+
+    def side(i: int) -> list:
+        return [*[F.col(c) for c in equal_on], F.col("class_id").alias(f"class_{i}"), F.col(value).alias(f"{value}_{i}"), F.col("__n").alias(f"__n_{i}")]
+
+    left, right = classes.select(*side(1), block.alias("__block")), classes.select(*side(2), F.explode(F.array(block - 1, block)).alias("__block"))
+    low, high = F.col(f"{value}_1"), F.col(f"{value}_2")
+    pairs = left.join(right, [*equal_on, "__block"]).where((low <= high) & (F.abs(low - high) < width))
+    n = F.when(low == high, F.expr("__n_1 * (__n_1 - 1) div 2")).otherwise(F.col("__n_1") * F.col("__n_2"))
+    pairs = pairs.withColumn("n_pairs", n).where("n_pairs > 0").drop("__block", "__n_1", "__n_2")
+    return pairs, rows.join(classes.drop("__n"), [*equal_on, value])
+
+
 def new_rows(df: DataFrame, master: DataFrame, key: str) -> DataFrame:
     """Rows whose key the master does not have."""
     return df.join(master.select(key), key, "left_anti").select(*df.columns)
