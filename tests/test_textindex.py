@@ -80,3 +80,16 @@ def test_empty_index(spark, tmp_path):
     assert index.read().count() == index.search("abc").count() == index.search("a").count() == 0
     index.upsert(spark.createDataFrame([(1, "xabcx", None)], SCHEMA), 1)
     assert [r.id for r in index.search("ABC").collect()] == [1]
+
+
+def test_postings_are_made_by_stretches(spark, tmp_path, monkeypatch):
+    """A trigram of many rows is one posting a stretch and not one a row; letters beyond the 16-bit plane and texts of under three."""
+    grams, ends, numbers = textindex.trigrams(["😀😀x", "ab", "", "abab", "x😀😀x"])
+    assert {g: numbers[a:b].tolist() for g, a, b in zip(grams, ends[:-1], ends[1:])} == {"😀😀x": [0, 4], "aba": [3], "bab": [3], "x😀😀": [4]}
+    df = spark.range(5_000).select("id", F.concat(F.lit("common words "), F.col("id").cast("string")).alias("text"))
+    index = TextIndex(spark, f"file://{tmp_path}/i", "id", ["text"], df.schema, 4)
+    index.upsert(df, 0)
+    files = index.store.part("files", [0]).count()
+    common = index.store.part("postings", [0]).where("gram = 'com'")
+    assert common.count() <= files and common.selectExpr("sum(size(steps))").first()[0] == 5_000
+    assert index.search("words 4321").count() == 1

@@ -1,8 +1,9 @@
 """Literal text search by an index of trigrams that epochs add to.
 
-An epoch stores its rows in files of about ``ROWS_PER_FILE`` and, for each column to search, one posting for each trigram of
-a row's lower-case text: (column, trigram, place of the row). Postings are sorted by ranges of the
-three together, so a frequent trigram is many files, and a query's trigrams skip all row groups but their own.
+An epoch stores its rows in files of about ``ROWS_PER_FILE`` and, for each column to search, postings of the trigrams of
+the rows' lower-case texts: (column, trigram, the places of the rows that have it). A posting has the places of one stretch of
+rows, of about ``STRETCH_CHARS`` characters, so a frequent trigram is many postings. They are made where the rows
+are read and sorted there, without a shuffle; a query's trigrams skip all pages of a file but their own.
 
 A search keeps the places that have all trigrams asked for, opens the files that these places are in, and
 matches the text itself there; it finds what a scan finds. Literals of fewer than three letters have no trigram and scan.
@@ -13,9 +14,12 @@ Replaced rows stay in their files; storing ``read()`` in a new index drops them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,17 +34,63 @@ ASKED = 8
 #: Places of 16 bytes that are broadcast at most; where there are more, the whole files named by them are matched.
 BROADCAST_PLACES = 1_000_000
 
-_OFFSET_BITS = 33  # of monotonically_increasing_id: the place in the task
-
-
-def trigrams(text: Column, chars: str = "__chars") -> Column:
-    """The distinct trigrams of a text whose characters are in the column ``chars`` (see ``characters``)."""
-    three = F.transform(F.col(chars), lambda c, i: F.concat(c, F.get(F.col(chars), i + 1), F.get(F.col(chars), i + 2)))
-    return F.when(F.length(text) >= 3, F.array_distinct(F.filter(three, lambda g: g.isNotNull()))).otherwise(F.array().cast("array<string>"))
+#: Characters whose postings are made together, in about 60 bytes each.
+STRETCH_CHARS = 2_000_000
+#: Postings in a page, the least that a query reads.
+PAGE_POSTINGS = 200
 
-
-def characters(text: Column) -> Column:
-    return F.split(F.lower(text), "")
+_OFFSET_BITS = 33  # of monotonically_increasing_id: the place in the task
+_POSTINGS = "field string, gram string, first long, steps array<int>"
+
+
+def trigrams(texts: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct trigrams of some texts, in order of their letters' codes; for each one where its texts begin, and end with the next one's, in the last array: the numbers of the texts that have it."""
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+    if len(letters) < 3:
+        return [], np.zeros(1, dtype=np.int32), np.zeros(0, dtype=np.int32)
+    known, code = np.unique(letters, return_inverse=True)
+    of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+    inside = of[:-2] == of[2:]
+    code = code.astype(np.int64)
+    # Of at most 1.1 million letters and, in a stretch, as many texts: four factors in 63 bits unless there are very many of both.
+    n, k = len(texts), len(known)
+    grams = ((code[:-2] * k + code[1:-1]) * k + code[2:])[inside]
+    if k**3 * n < 1 << 62:
+        key = np.sort(grams * n + of[:-2][inside])
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+        grams, numbers = key // n, (key % n).astype(np.int32)
+    else:
+        both = np.unique(np.stack([grams, of[:-2][inside]], axis=1), axis=0)
+        grams, numbers = both[:, 0], both[:, 1].astype(np.int32)
+    starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, dtype=np.int64)
+    found = grams[starts]
+    spelled = [chr(known[g // (k * k)]) + chr(known[g // k % k]) + chr(known[g % k]) for g in found]
+    return spelled, np.append(starts, len(grams)).astype(np.int32), numbers
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows of ``__text`` (lower-case, as bytes), ``__place`` and ``field``."""
+    texts: list[str] = []
+    places: list[int] = []
+    field, chars = None, 0
+
+    def made() -> pa.RecordBatch:
+        grams, ends, numbers = trigrams(texts)
+        steps = (np.array(places, dtype=np.int64) - places[0]).astype(np.int32)[numbers]
+        columns = [pa.array([field] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(np.full(len(grams), places[0], dtype=np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(steps))]
+        return pa.RecordBatch.from_arrays(columns, names=["field", "gram", "first", "steps"])
+
+    for batch in batches:
+        for text, place, name in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if texts and (chars >= STRETCH_CHARS or name != field or not places[-1] < place < places[0] + (1 << 31)):
+                yield made()
+                texts, places, chars = [], [], 0
+            field = name
+            texts.append(text.as_py().decode("utf-8", "replace"))
+            places.append(place)
+            chars += len(texts[-1])
+    if texts:
+        yield made()
 
 
 class TextIndex:
@@ -62,15 +112,9 @@ class TextIndex:
             ends = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("__place").alias("first"), F.max("__place").alias("last"))
             ends.coalesce(1).write.mode("overwrite").parquet(of["files"])
             store.name_replaced(rows, epoch)
-            parts = []
-            for c in self.columns:
-                spelled = rows.where(F.col(c).isNotNull()).select(F.col(c).alias("__text"), "__place", characters(F.col(c)).alias("__chars"))
-                parts.append(spelled.select(F.lit(c).alias("field"), F.explode(trigrams(F.lower("__text"))).alias("gram"), F.col("__place").alias("place")))
-            made = parts[0]
-            for p in parts[1:]:
-                made = made.unionByName(p)
-            order = ["field", "gram", "place"]
-            made.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(of["postings"])
+            texts = [rows.where(F.col(c).isNotNull()).select(F.lower(c).cast("binary").alias("__text"), "__place", F.lit(c).alias("field")) for c in self.columns]
+            made = reduce(DataFrame.unionByName, [t.mapInArrow(_postings, _POSTINGS) for t in texts])
+            made.sortWithinPartitions("field", "gram", "first").write.option("parquet.page.row.count.limit", str(PAGE_POSTINGS)).mode("overwrite").parquet(of["postings"])
         store.name_keys(self.spark.read.parquet(of["rows"]), epoch)
 
     def read(self) -> DataFrame:
@@ -82,11 +126,12 @@ class TextIndex:
 
     def places(self, query: str, columns: Sequence[str], epochs: Sequence[int]) -> DataFrame | None:
         """``(epoch, place)`` of the rows that have all trigrams asked for in one of the columns; None where the query has none."""
-        asked = self.spark.range(1).select(F.lit(query).alias("__text")).withColumn("__chars", characters(F.col("__text"))).select(trigrams(F.lower("__text"))).first()[0]
+        asked = trigrams([self.spark.range(1).select(F.lower(F.lit(query))).first()[0]])[0]
         if not asked:
             return None
         asked = [asked[i * len(asked) // ASKED] for i in range(ASKED)] if len(asked) > ASKED else asked
         some = self.store.part("postings", epochs).where(F.col("field").isin(list(columns)) & F.col("gram").isin(asked))
+        some = some.select("epoch", "field", "first", F.explode("steps").alias("step")).withColumn("place", F.col("first") + F.col("step"))
         return some.groupBy("epoch", "field", "place").agg(F.count("*").alias("n")).where(F.col("n") == len(asked)).select("epoch", "place").distinct()
 
     def candidates(self, query: str, columns: Sequence[str] | None = None) -> DataFrame:
