@@ -260,3 +260,27 @@ def test_global_ranks_of_repeated_keys(spark, tmp_path):
     got = registry.queries()["win_13_global_ranks"](spark, str(tmp_path)).toPandas()
     want = con.execute(registry.oracle_sql()["win_13_global_ranks"]).df()[list(got.columns)]
     assert sorted(map(tuple, got.round(9).values.tolist())) == sorted(map(tuple, want.round(9).values.tolist()))
+
+
+@pytest.mark.parametrize("name", ["join_05_merge_rows", "join_07_point_merge", "join_10_fallback", "srt_06_07_merged_page", "srt_07_merged_top", "srt_04_null_as_zero"])
+def test_layers_with_nulls_and_rows_without_time(spark, tmp_path, name):
+    """Users without an error on a side, and events without a time: as in SQL, and none is left out."""
+    import duckdb
+
+    from tierflow.plans import registry
+
+    days = F.timestamp_seconds(F.lit(1_705_622_400) + F.col("id") % 5 * 86_400).cast("timestamp_ntz")
+    events = spark.range(300).select(
+        F.col("id").alias("event_id"), (F.col("id") % 47).alias("user_id"), F.when(F.col("id") % 7 == 0, "error").otherwise("view").alias("event_type"), (F.col("id") * 31 % 97 - 9.0).cast("double").alias("value"),
+        F.when(F.col("id") % 47 != 11, days).alias("ts"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    out = registry.queries()[name](spark, str(tmp_path))
+    got, want = out.collect(), con.execute(f"SELECT {', '.join(out.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    if name.startswith("join_0"):
+        assert len(got) == 47 and "11" in {r.user_id for r in got}
+    if name == "join_07_point_merge":
+        assert any(r.best_error is None for r in got)

@@ -88,15 +88,17 @@ EVENT_STATS_SQL = """b AS (SELECT event_type, count(*) AS n, CAST(sum(CAST(value
 
 
 def users(spark: SparkSession, sf_dir: str, speed: bool) -> DataFrame:
-    """One row per user: the last event of that side, and the best value."""
+    """One row per user: the last event of that side, the best value, and the best value of an error, null for users without one. Events without time are batch's."""
     events = table(spark, sf_dir, "events")
     cut = F.lit(SPLIT).cast("timestamp_ntz")
-    side = events.where(F.col("ts") >= cut) if speed else events.where(F.col("ts") < cut)
-    return side.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.max("value").alias("best"))
+    side = events.where(F.col("ts") >= cut) if speed else events.where(F.col("ts").isNull() | (F.col("ts") < cut))
+    error = F.when(F.col("event_type") == "error", F.col("value"))
+    return side.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.max("value").alias("best"), F.max(error).alias("best_error"))
 
 
-USERS_SQL = """b AS (SELECT user_id, max(event_id) AS last_event, max(value) AS best FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1),
- s AS (SELECT user_id, max(event_id) AS last_event, max(value) AS best FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1)"""
+_USER_SQL = "SELECT user_id, max(event_id) AS last_event, max(value) AS best, max(value) FILTER (WHERE event_type = 'error') AS best_error FROM events"
+USERS_SQL = f"""b AS ({_USER_SQL} WHERE ts < TIMESTAMP '2024-01-20' OR ts IS NULL GROUP BY 1),
+ s AS ({_USER_SQL} WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1)"""
 
 
 @dataclass(frozen=True)
