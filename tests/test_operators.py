@@ -245,6 +245,40 @@ def test_similar_classes_hold_all_pairs(spark):
     assert sorted(got) == sorted(want) and sum(r.n_pairs for r in found) == len(want)
 
 
+def test_similar_parts_are_listed_pair_by_pair(spark, tmp_path):
+    """Copies of a part are rows like others: every pair of rows is in the result, with both keys and prices."""
+    import duckdb
+
+    from tierflow.plans import registry
+
+    rows = [(i if i % 17 else None, "xy"[i % 3 % 2] if i % 13 else None, "t" if i % 11 else None, 900 + i % 7 * 0.2 if i % 19 else None) for i in range(240)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_retailprice double").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, registry.queries()["join_04_similar_pairs"](spark, str(tmp_path)).select("p_partkey_1", "p_partkey_2", "p_retailprice_1", "p_retailprice_2").collect()))
+    whole = [r for r in rows if None not in r]
+    assert got == sorted((a[0], b[0], a[3], b[3]) for a in whole for b in whole if a[:1] < b[:1] and a[1:3] == b[1:3] and abs(a[3] - b[3]) < 0.5)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    columns = "p_partkey_1, p_partkey_2, p_retailprice_1, p_retailprice_2"
+    assert sorted(con.execute(f"SELECT {columns} FROM ({registry.oracle_sql()['join_04_similar_pairs']})").fetchall()) == got
+
+
+def test_similar_pairs_of_a_large_block_are_dealt_out(spark, monkeypatch):
+    """A block far beyond a tile, of keys that a hash has chosen, next to small ones: the same pairs, in many tasks."""
+    monkeypatch.setattr(joins, "TILE_ROWS", 16)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 1_000)
+    keys = [r.id for r in spark.range(1_200).where("pmod(xxhash64(id), 3) = 0").collect()]
+    odd = [float("nan"), float("inf"), float("-inf"), -1e300, 1e300, None, -0.2, -0.0, 0.0, 0.2]
+    rows = [(k, "hot", 7.0 + k % 4 / 10, k % 3) for k in keys] + [(2_000 + i, None if i % 9 == 0 else "ab"[i % 2], i * 37 % 50 / 10, i) for i in range(60)]
+    rows += [(3_000 + i, "odd", odd[i % 10], i) for i in range(30)] + [(keys[0], "hot", 7.3, 5)]
+    pairs = joins.similar_pairs(spark.createDataFrame(rows, "id long, g string, v double, n int").repartition(3), "id", ["g"], "v", 0.5, ["n"])
+    assert pairs.columns == ["g", "id_1", "v_1", "n_1", "id_2", "v_2", "n_2"]
+    whole = [r for r in rows if None not in r]
+    want = [(a[1], a[0], *a[2:], b[0], *b[2:]) for a in whole for b in whole if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) < 0.5]
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+    tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(tasks) == len(want) > 50_000 and max(tasks) < len(want) / 10
+
+
 def test_global_ranks_of_repeated_keys(spark, tmp_path):
     """Lines of one key and price that differ in quantity: their places are the SQL's, not chance."""
     import duckdb

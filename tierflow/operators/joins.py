@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A dimension is broadcast if its plan's estimate is under this; a larger one is shuffled.
 BROADCAST_BYTES = 32 * 1024 * 1024
+#: Rows on a side of a tile and candidates for pairs in a task, both about.
+TILE_ROWS, TASK_PAIRS = 2_048, 8_000_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -37,20 +39,39 @@ def map_value(df: DataFrame, column: str, mapping: DataFrame, out: str, key: str
 
 
 def similar_pairs(df: DataFrame, key: str, equal_on: Sequence[str], value: str, width: float, keep: Sequence[str] = ()) -> DataFrame:
-    """Unordered pairs of rows with equal ``equal_on`` and values closer than ``width``, each once.
+    """Unordered pairs of rows with equal ``equal_on`` and values closer than ``width``, each once, the smaller key first.
 
-    Rows are blocked by floor(value / width): partners are in the same block or the
-    next one, so a large group is not compared with itself as a whole. Null keys
-    and values pair with nothing.
+    Rows are blocked by floor(value / width): partners with no smaller value are in a
+    row's block or the next one, so a large group is not compared with itself as a
+    whole. Nulls and values that are not finite pair with nothing. Pairs grow with the
+    square of a block: one small job counts the candidates, which set the number of tasks,
+    and a block of more than ``TILE_ROWS`` rows is cut into tiles for different tasks.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, *equal_on, value, *keep)
-    block = F.floor(F.col(value) / F.lit(width))
-    left = rows.select(*[F.col(c) for c in equal_on], *[F.col(c).alias(f"{c}_1") for c in (key, value, *keep)], block.alias("__block"))
-    right = rows.select(
-        *[F.col(c) for c in equal_on], *[F.col(c).alias(f"{c}_2") for c in (key, value, *keep)], F.explode(F.array(block - 1, block, block + 1)).alias("__block")
-    )
-    pairs = left.join(right, [*equal_on, "__block"]).where((F.col(f"{key}_1") < F.col(f"{key}_2")) & (F.abs(F.col(f"{value}_1") - F.col(f"{value}_2")) < width))
-    return pairs.drop("__block")
+    # A value less itself is 0, unless it is null, infinite or not a number.
+    rows = df.dropna(subset=[key, *equal_on]).where(F.col(value) - F.col(value) == 0).select(key, *equal_on, value, *keep)
+    block, on = F.floor(F.col(value) / F.lit(width)), [*equal_on, "__block"]
+    low, high = rows.withColumn("__block", block), rows.withColumn("__block", F.explode(F.array(block, F.try_subtract(block, F.lit(1)))))
+    sizes = high.groupBy(*on).agg(F.count_if(F.col("__block") == block).alias("__n_low"), F.count("*").alias("__n_high")).where("__n_low > 0")
+    candidates, most = sizes.agg(F.sum(F.col("__n_low") * F.col("__n_high")), F.max("__n_high")).first()
+    if (most or 0) > TILE_ROWS:
+        cuts = sizes.select(*on, *[F.ceil(F.col(f"__n_{s}") / TILE_ROWS).alias(f"__{s}") for s in ("low", "high")]).where("__high > 1")
+        low, high = _tiles(low, cuts, on, key, "low", "high"), _tiles(high, cuts, on, key, "high", "low")
+        on = [*on, "__low", "__high"]
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(candidates or 0) // TASK_PAIRS))
+    low, high = [side.repartition(n, *on).select(*on, *[F.col(c).alias(f"__{s}_{c}") for c in (key, value, *keep)]) for s, side in (("l", low), ("h", high))]
+    k_l, k_h, v_l, v_h = [F.col(f"__{s}_{c}") for c in (key, value) for s in "lh"]
+    # Of two equal values the one with the smaller key is the low one.
+    pairs = low.join(high, on).where((v_l <= v_h) & (v_h - v_l < width) & (k_l != k_h) & ((v_l < v_h) | (k_l < k_h)))
+    ends = [F.when((k_l < k_h) == F.lit(i == 1), F.col(f"__l_{c}")).otherwise(F.col(f"__h_{c}")).alias(f"{c}_{i}") for i in (1, 2) for c in (key, value, *keep)]
+    return pairs.select(*equal_on, *ends)
+
+
+def _tiles(rows: DataFrame, cuts: DataFrame, on: Sequence[str], key: str, own: str, other: str) -> DataFrame:
+    """Each row in its own part of its block, once for each part of the other side; blocks that are not in ``cuts`` are one tile."""
+    met = rows.join(cuts.withColumnsRenamed({f"__{own}": "__own", f"__{other}": "__other"}), list(on), "left")
+    # The hash of the key alone may have chosen the rows; these parts are independent of it.
+    mine = F.pmod(F.xxhash64(key, F.lit("tile")), F.coalesce("__own", F.lit(1)))
+    return met.withColumns({f"__{own}": mine, f"__{other}": F.explode(F.sequence(F.lit(0), F.coalesce("__other", F.lit(1)) - 1))}).drop("__own", "__other")
 
 
 def similar_classes(df: DataFrame, key: str, equal_on: Sequence[str], value: str, width: float) -> tuple[DataFrame, DataFrame]:
