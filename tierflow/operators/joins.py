@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: A dimension is broadcast if its plan's estimate is under this; a larger one is shuffled.
 BROADCAST_BYTES = 32 * 1024 * 1024
-#: Rows on a side of a tile and candidates for pairs in a task, both about.
-TILE_ROWS, TASK_PAIRS = 2_048, 8_000_000
+#: Rows on a side of a tile and candidates for pairs in a task, both about; with fewer candidates there are fewer tasks than shuffle partitions.
+TILE_ROWS, TASK_PAIRS, LEAST_PAIRS = 2_048, 8_000_000, 100_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -57,7 +58,8 @@ def similar_pairs(df: DataFrame, key: str, equal_on: Sequence[str], value: str,
         cuts = sizes.select(*on, *[F.ceil(F.col(f"__n_{s}") / TILE_ROWS).alias(f"__{s}") for s in ("low", "high")]).where("__high > 1")
         low, high = _tiles(low, cuts, on, key, "low", "high"), _tiles(high, cuts, on, key, "high", "low")
         on = [*on, "__low", "__high"]
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(candidates or 0) // TASK_PAIRS))
+    usual, candidates = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), candidates or 1
+    n = max(min(usual, math.ceil(candidates / LEAST_PAIRS)), math.ceil(candidates / TASK_PAIRS))
     low, high = [side.repartition(n, *on).select(*on, *[F.col(c).alias(f"__{s}_{c}") for c in (key, value, *keep)]) for s, side in (("l", low), ("h", high))]
     k_l, k_h, v_l, v_h = [F.col(f"__{s}_{c}") for c in (key, value) for s in "lh"]
     # Of two equal values the one with the smaller key is the low one.
